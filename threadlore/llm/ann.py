@@ -1,0 +1,179 @@
+"""Approximate nearest neighbours by cosine: a forest of random-projection trees and exact reranking.
+
+The trees are fitted on the driver on a bounded sample (SAMPLE rows) of the unit vectors: a node's direction is random, its cut the
+median of its points' projections.  Every row is then indexed: it goes to one leaf of each tree.  A query searches all trees
+through one shared priority queue, ordered by the least margin on the way to a node, and takes leaves until their share of the
+sample reaches PROBE.  Queries and rows meet by leaf; a leaf of many rows is dealt to several tasks.  Candidates
+are scored exactly on the original vectors in doubles, and a task returns at most k rows for each query.
+
+Copies of one vector would all meet in one leaf.  They have the same score and ties go to the smaller id, so of equal vectors
+only the k + 1 smallest ids can be in a result (one may be the query itself); only those are indexed, all of them are queries.
+
+Edge cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of unlike lengths are padded
+with zeros; fewer than k candidates found: all that were; repeated ids are rows like any other, but a query never meets rows of its own id;
+an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from threadlore.llm.common import cut
+from threadlore.llm.topk import matrix, widened
+from threadlore.llm.vectors import ranked, usable
+
+SAMPLE = 65536
+TREES = 4
+LEAF = 48
+#: Share of the sample that a query's leaves hold, over all trees; at least LEAST rows.
+PROBE = 0.30
+LEAST = 4096
+#: Rows of a leaf that one task takes, on average.
+TASK = 16384
+
+
+class Forest:
+    def __init__(self, sample: np.ndarray, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.width, self.n = sample.shape[1], len(sample)
+        self.roots: list[int] = []
+        direction: list[np.ndarray] = []
+        self.cut: list[float] = []
+        self.kids: list[tuple[int, int]] = []
+        self.held: list[int] = []  # sample points of a leaf
+        for _ in range(TREES):
+            self.roots.append(len(self.kids))
+            todo = [(self._node(), np.arange(len(sample)))]
+            while todo:
+                node, rows = todo.pop()
+                v = rng.normal(size=self.width)
+                x = sample[rows] @ v
+                cut = float(np.median(x)) if len(rows) else 0.0
+                left = x <= cut
+                if len(rows) <= LEAF or left.all():
+                    self.held[node] = len(rows)
+                    continue
+                kids = self._node(), self._node()
+                self.kids[node], self.cut[node] = kids, cut
+                direction.append((node, v / np.linalg.norm(v)))
+                self.cut[node] = cut / np.linalg.norm(v)
+                todo += [(kids[0], rows[left]), (kids[1], rows[~left])]
+        self.direction = np.zeros((len(self.kids), self.width), dtype=np.float32)
+        for node, v in direction:
+            self.direction[node] = v
+        self.cut = np.array(self.cut)
+
+    def _node(self) -> int:
+        self.kids.append((-1, -1))
+        self.cut.append(0.0)
+        self.held.append(0)
+        return len(self.kids) - 1
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Leaf of each row in each tree."""
+        kids, out = np.array(self.kids), []
+        for root in self.roots:
+            at = np.full(len(x), root)
+            while (inner := np.nonzero(kids[at, 0] >= 0)[0]).size:
+                node = at[inner]
+                side = np.einsum("ij,ij->i", x[inner], self.direction[node]) > self.cut[node]
+                at[inner] = kids[node, side.astype(int)]
+            out.append(at)
+        return np.stack(out, axis=1)
+
+    def probe(self, x: np.ndarray) -> list[int]:
+        """Leaves in the order of the shared queue, until they hold enough."""
+        margin = self.direction @ x - self.cut
+        want, out = max(PROBE * self.n, LEAST), []
+        queue = [(-np.inf, root) for root in self.roots]
+        while queue and want > 0:
+            worst, node = heapq.heappop(queue)
+            if self.kids[node][0] < 0:
+                out.append(node)
+                want -= max(1, self.held[node])
+                continue
+            m = margin[node]
+            heapq.heappush(queue, (max(worst, m), self.kids[node][0]))
+            heapq.heappush(queue, (max(worst, -m), self.kids[node][1]))
+        return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def fitted(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width]
+
+
+def cosines(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Each of q with each of p, in doubles."""
+    q, p = widened(q, p)
+    return (q @ p.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :])
+
+
+def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by `every`."""
+    spark = vectors.sparkSession
+    good = usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull()
+    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+    same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    # one more than k of each vector, and k + 1 of one id count once
+    items = cut(rows.distinct().withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n"))
+    sample = items.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    schema = "query_id long, vec_id long, score double"
+    if not len(sample):
+        return ranked(spark.createDataFrame([], schema), k)
+    forest = spark.sparkContext.broadcast(Forest(unit(matrix(sample["v"]))))
+
+    def index(batches):
+        own = forest.value
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                some = batch.iloc[at : at + 2048]
+                found = own.leaves(fitted(unit(matrix(some["v"])), own.width))
+                yield pd.DataFrame({"leaf": found.ravel(), "vec_id": np.repeat(some["vec_id"].to_numpy(), TREES), "v": some["v"].repeat(TREES).to_numpy()})
+
+    placed = items.mapInPandas(index, "leaf long, vec_id long, v array<double>")
+    # leaves with more rows than a task should take, which are at most as many as the trees have leaves
+    tasks = {r.leaf: -(-r["count"] // TASK) for r in placed.groupBy("leaf").count().where(F.col("count") > TASK).collect()}
+
+    def probe(batches):
+        own = forest.value
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
+                rows = [(i, leaf, task) for i, x in enumerate(fitted(unit(matrix(some["v"])), own.width)) for leaf in own.probe(x) for task in range(tasks.get(leaf, 1))] if len(some) else []
+                i, leaf, task = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+                yield pd.DataFrame({"leaf": leaf, "task": task, "vec_id": some["vec_id"].to_numpy()[i], "v": some["v"].to_numpy()[i]})
+
+    many = F.lit(1)
+    for leaf, n in tasks.items():
+        many = F.when(F.col("leaf") == leaf, n).otherwise(many)
+    have = placed.withColumn("task", F.pmod(F.xxhash64("vec_id"), many.cast("long")))
+    asked = rows.where(F.col("vec_id") % every == 0).distinct().mapInPandas(probe, "leaf long, task long, vec_id long, v array<double>")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            q, q_ids, p, p_ids = matrix(left["v"]), left["vec_id"].to_numpy(), matrix(right["v"]), right["vec_id"].to_numpy()
+            for at in range(0, len(q), 512):
+                score = cosines(q[at : at + 512], p)
+                for i, own in enumerate(q_ids[at : at + 512]):
+                    other = np.nonzero(p_ids != own)[0]
+                    s = score[i, other]
+                    if len(s) > 4 * k:
+                        keep = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12)[0]
+                        other, s = other[keep], s[keep]
+                    top = np.lexsort((p_ids[other], -s))[: 2 * k]
+                    out += [(own, p_ids[other[j]], s[j]) for j in top]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = asked.groupBy("leaf", "task").cogroup(have.groupBy("leaf", "task")).applyInPandas(meet, schema)
+    # one candidate may come from several trees
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

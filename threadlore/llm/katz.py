@@ -1,0 +1,375 @@
+"""Word bigram model with Katz backoff, learned from and applied to whole corpora.
+
+Tokens are the ASCII-lower-cased words of a text and one end token.  With c for training counts:
+
+    p(w | h) = (D(c(h,w)) / c(h))          if c(h,w) > 0
+               alpha(h) * p(w)             otherwise;  alpha = 1 where h never occurred
+    p(w)     = D1(c(w)) / N                if c(w) > 0,   p0 = what that leaves of 1, for all unknown words together
+
+D is the Good-Turing discounted count up to K (Katz's form, by the counts of counts of all training bigrams; D1: words), and c - DELTA
+above K, so that every history leaves some mass.  alpha(h) makes the sum over the vocabulary and the unknown word exactly one.
+
+The tables are partitioned by key and never gathered: an occurrence (h, w, document) goes to the partition of w, where c(w) and
+c(h,w) are complete.  As log p splits into a term of (h, w) and one of h, that partition can already score it, but for what
+h decides: the partition of h gets class counts of h's bigrams, and the occurrences whose bigram was never seen.  Sums by
+document meet in the partition of the document.  Discounts need global counts of counts: each partition of words sends its own
+(a dozen numbers) to all partitions, and log terms of discounted classes are kept as class counts until then.  What travels are
+compressed blocks of numpy arrays, one for each sending task and receiving partition.
+
+A word with a large share of all tokens is dealt out by its partner to several partitions (`hot`: chosen from a sample; the choice
+steers balance only, results don't depend on it).  Words are told apart by 64-bit hashes.
+
+Edge cases: null text counts as empty (an end token only); very long texts are cut nowhere; repeated rows are repeated documents;
+without training rows all scores are 0 (p0 = 1); an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+K = 5
+DELTA = 0.5
+#: Tokens that a task turns into one block per partition.
+CHUNK = 4_000_000
+#: Texts looked at to find words that are dealt to several partitions.
+LOOK = 3000
+END, START = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))
+
+
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def packed(x: np.ndarray) -> tuple:
+    """Bytes of like significance together, which compresses far better."""
+    if len(x) and x.dtype.kind in "iu" and x.min() >= 0:
+        x = x.astype(np.min_scalar_type(x.max()))
+    return x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+
+
+def unpacked(x: tuple) -> np.ndarray:
+    kind = np.dtype(x[0])
+    return np.ascontiguousarray(np.frombuffer(x[1], dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def block(kind: str, **columns) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((kind, {k: packed(v) for k, v in columns.items()}), protocol=5))
+
+
+def opened(blob: bytes) -> tuple[str, dict[str, np.ndarray]]:
+    kind, columns = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return kind, {k: unpacked(v) for k, v in columns.items()}
+
+
+def deltas(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=np.uint64(0)).astype(np.uint64)
+
+
+def sums(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x.astype(np.uint64), dtype=np.uint64)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The home partition of words or document keys."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+class Spread:
+    """Into how many partitions a word is dealt: hashes of hot words, ascending, and their counts of partitions."""
+
+    def __init__(self, hot: dict[int, int], parts: int):
+        self.parts = parts
+        self.keys = np.array(sorted(hot), dtype=np.uint64)
+        self.many = np.array([hot[int(k)] for k in self.keys], dtype=np.int64)
+
+    def width(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.many[at], 1)
+
+    def dest(self, keys: np.ndarray, partners: np.ndarray) -> np.ndarray:
+        width = self.width(keys)
+        home = part_of(keys, self.parts)
+        some = width > 1
+        home[some] = (home[some] + ((partners[some].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(35)).astype(np.int64) % width[some])) % self.parts
+        return home
+
+
+def _rows(out: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+
+def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows by destination; `order` sorts by it."""
+    at = np.nonzero(np.diff(dest[order], prepend=-1))[0] if len(order) else []
+    for i, j in zip(at, [*at[1:], len(order)], strict=True):
+        yield int(dest[order[i]]), order[i:j]
+
+
+def occurrences(spread: Spread):
+    """Map side: documents (key, id, known id, held out, text) -> blocks for the partitions of words."""
+
+    def emit(words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple]) -> pa.Table:
+        hashes = np.array([END, START, *(xxhash.xxh64_intdigest(w) for w in list(words)[2:])], dtype=np.uint64)
+        rank = np.empty(len(hashes), dtype=np.int64)
+        rank[order := np.argsort(hashes)] = np.arange(len(hashes))
+        hashes = hashes[order]
+        lengths = np.array([len(x) + 1 for x in ids])
+        ends = np.cumsum(lengths) - 1
+        w = np.zeros(ends[-1] + 1, dtype=np.int64)
+        w[np.delete(np.arange(len(w)), ends)] = np.concatenate(ids)
+        h = np.concatenate(([1], w[:-1]))
+        h[ends[:-1] + 1] = 1
+        w, h = rank[w], rank[h]
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        keys, own, known, held = (np.array(x) for x in zip(*docs, strict=True))
+        own_part = part_of(keys, spread.parts)
+        out = [(p, block("meta", key=keys[r], id=own[r], known=known[r].astype(np.uint8), held=held[r].astype(np.uint8), n=lengths[r])) for p, r in _split(own_part, np.argsort(own_part, kind="stable"))]
+        total = np.bincount(w[~held[doc]], minlength=len(hashes))
+        dest = part_of(hashes, spread.parts)[w]
+        wide = np.nonzero(spread.width(hashes) > 1)[0]
+        if len(wide):
+            some = np.isin(w, wide)
+            dest[some] = spread.dest(hashes[w[some]], hashes[h[some]])
+            for word in wide:
+                home, many = part_of(hashes[word : word + 1], spread.parts)[0], spread.width(hashes[word : word + 1])[0]
+                out += [(int((home + i) % spread.parts), block("wide", word=hashes[word : word + 1], count=total[word : word + 1])) for i in range(many)]
+        order = np.argsort(dest * len(hashes) + w, kind="stable")
+        for p, r in _split(dest, order):
+            uw, nw = np.unique(w[r], return_counts=True)
+            uh, ih = np.unique(h[r], return_inverse=True)
+            ud, di = np.unique(doc[r], return_inverse=True)
+            out.append((p, block("pairs", w=deltas(hashes[uw]), n=nw, h=deltas(hashes[uh]), hi=ih, key=keys[ud], train=(~held[ud]).astype(np.uint8), di=di)))
+        return _rows(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bytes, int] = {}
+        ids: list[np.ndarray] = []
+        docs: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for key, own, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not docs:
+                    words, size = {b"\x00 end": 0, b"\x00 start": 1}, 0
+                found = tokens(text)
+                ids.append(np.array([words.setdefault(x, len(words)) for x in found], dtype=np.int32))
+                docs.append((key, own or 0, own is not None, bool(held)))
+                size += len(found) + 1
+                if size >= CHUNK:
+                    yield from emit(words, ids, docs).to_batches()
+                    ids, docs = [], []
+        if docs:
+            yield from emit(words, ids, docs).to_batches()
+
+    return run
+
+
+def _combine(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Dictionaries and indices into them -> one sorted dictionary and all indices."""
+    every = np.unique(np.concatenate([d for d, _ in parts]))
+    return every, np.concatenate([np.searchsorted(every, d)[i] for d, i in parts])
+
+
+def _classes(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts, K + 1)
+
+
+def by_word(spread: Spread):
+    """Partition of words: counts, terms of the score that need no more than them, and what goes on to histories."""
+
+    def run(table: pa.Table) -> pa.Table:
+        here = table.column("part")[0].as_py()
+        out, pairs, wide = [], [], Counter()
+        for blob in table.column("blob"):
+            kind, x = opened(blob.as_py())
+            if kind == "meta":
+                out.append((here, blob.as_py()))
+            elif kind == "wide":
+                wide[int(x["word"][0])] += int(x["count"][0])
+            else:
+                pairs.append(x)
+        if not pairs:
+            return _rows(out)
+        uw, w = _combine([(sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs])
+        uh, h = _combine([(sums(x["h"]), x["hi"]) for x in pairs])
+        ud, d = _combine([(x["key"].astype(np.int64), x["di"]) for x in pairs])
+        train = np.concatenate([x["train"][x["di"]] for x in pairs]).astype(bool)
+        del pairs
+        cw = np.bincount(w[train], minlength=len(uw))
+        width = spread.width(uw)
+        for i in np.nonzero(width > 1)[0]:
+            cw[i] = wide[int(uw[i])]
+        pair, at = np.unique(w * len(uh) + h, return_inverse=True)
+        c = np.bincount(at[train], minlength=len(pair))
+        pw, ph = np.divmod(pair, len(uh))
+        # counts of counts; a word that is dealt to several partitions counts at its home alone
+        home = (width == 1) | (part_of(uw, spread.parts) == here)
+        stats = np.concatenate((np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2], np.bincount(np.minimum(cw[home], K + 2), minlength=K + 3)[1:], [cw[home].sum()]))
+        out += [(p, block("stats", x=stats)) for p in range(spread.parts)]
+        # what histories get: how many bigrams of each pair of classes they have, and their own count
+        seen = c > 0
+        code = (_classes(c[seen]) - 1) * (K + 1) + _classes(cw[pw[seen]]) - 1
+        both, back = np.unique(ph[seen] * (K + 1) ** 2 + code, return_inverse=True)
+        hist, code = np.divmod(both, (K + 1) ** 2)
+        many, mass = np.bincount(back, minlength=len(both)), np.bincount(back, weights=cw[pw[seen]], minlength=len(both)).astype(np.int64)
+        own = home & (cw > 0)
+        key = np.concatenate((uh[hist], np.where(uw[own] == END, START, uw[own])))
+        code = np.concatenate((code, np.full(own.sum(), (K + 1) ** 2)))
+        many, mass = np.concatenate((many, cw[own])), np.concatenate((mass, np.zeros(own.sum(), dtype=np.int64)))
+        rows = np.arange(len(key))
+        dest, first = [part_of(key, spread.parts)], [rows]
+        many_parts = spread.width(key)
+        for i in np.nonzero(many_parts > 1)[0]:
+            dest.append((dest[0][i] + np.arange(1, many_parts[i])) % spread.parts)
+            first.append(np.full(many_parts[i] - 1, i))
+        dest, rows = np.concatenate(dest), np.concatenate(first)
+        for p, r in _split(dest, np.lexsort((key[rows], dest))):
+            r = rows[r]
+            out.append((p, block("history", h=deltas(key[r]), code=code[r], many=many[r], mass=mass[r])))
+        # occurrences of bigrams never seen in training
+        new = np.nonzero(c[at] == 0)[0]
+        dest = spread.dest(uh[h[new]], ud[d[new]].astype(np.uint64))
+        for p, r in _split(dest, np.lexsort((h[new], dest))):
+            r = new[r]
+            out.append((p, block("unseen", h=deltas(uh[h[r]]), key=ud[d[r]], c=cw[w[r]])))
+        # sums by document
+        occ, cls = cw[w], c[at]
+        log = -np.log10(np.maximum(occ, 1)) + np.where(cls > K, np.log10(np.maximum(cls - DELTA, DELTA)), 0)
+        columns = {"log": np.bincount(d, weights=log, minlength=len(ud)), "base": np.bincount(d, weights=np.log10(occ + 1.0), minlength=len(ud)), "known": np.bincount(d, weights=occ > 0, minlength=len(ud)).astype(np.int64)}
+        columns |= {f"c{r}": np.bincount(d[cls == r], minlength=len(ud)) for r in range(1, K + 1)}
+        dest = part_of(ud, spread.parts)
+        out += [(p, block("sums", key=ud[r], **{k: v[r] for k, v in columns.items()})) for p, r in _split(dest, np.argsort(dest, kind="stable"))]
+        return _rows(out)
+
+    return run
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Discounted counts D(1) to D(K), from the numbers of types that occur once to K+1 times."""
+    n = n.astype(float)
+    r = np.arange(1, K + 1)
+    plain = r - DELTA  # where the counts of counts are too few for Good-Turing
+    if n[: K + 1].min() <= 0:
+        return plain
+    most = (K + 1) * n[K] / n[0]
+    ratio = ((r + 1) * n[1:] / (r * n[:K]) - most) / (1 - most) if most != 1 else np.full(K, -1.0)
+    return np.where((ratio > 0) & (ratio < 1), ratio * r, plain)
+
+
+class Totals:
+    """Global figures, from the partitions' counts of counts."""
+
+    def __init__(self, x: np.ndarray):
+        self.pairs = discounts(x[: K + 1])
+        words = x[K + 1 : 2 * K + 3]
+        self.words = discounts(words[: K + 1])
+        self.n, self.v = int(x[2 * K + 3]), int(words.sum())
+        left = ((np.arange(1, K + 1) - self.words) * words[:K]).sum() + DELTA * words[K:].sum()
+        self.p0 = left / self.n if self.n else 1.0
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """Probability of a word of count c."""
+        return np.where(c == 0, self.p0, np.where(c > K, c - DELTA, self.words[np.clip(c, 1, K) - 1]) / max(1, self.n))
+
+
+def by_history(spread: Spread):
+    """Partition of histories: backoff weights, and with them the occurrences of unseen bigrams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        here = table.column("part")[0].as_py()
+        out, hist, new, stats = [], [], [], np.zeros(2 * K + 4, dtype=np.int64)
+        for blob in table.column("blob"):
+            kind, x = opened(blob.as_py())
+            if kind in ("meta", "sums"):
+                out.append((here, blob.as_py()))
+            elif kind == "stats":
+                stats += x["x"].astype(np.int64)
+            else:
+                (hist if kind == "history" else new).append(x)
+        out.append((here, block("stats", x=stats)))
+        if not new:
+            return _rows(out)
+        total = Totals(stats)
+        key = np.concatenate([sums(x["h"]) for x in new])
+        uh, h = np.unique(key, return_inverse=True)
+        doc, c = np.concatenate([x["key"].astype(np.int64) for x in new]), np.concatenate([x["c"].astype(np.int64) for x in new])
+        own, left, used = np.zeros(len(uh)), np.zeros(len(uh)), np.zeros(len(uh))
+        for x in hist:
+            keys = sums(x["h"])
+            at = np.minimum(np.searchsorted(uh, keys), len(uh) - 1)
+            r = np.nonzero(uh[at] == keys)[0]
+            at, code, many, mass = at[r], x["code"][r].astype(np.int64), x["many"][r].astype(float), x["mass"][r].astype(float)
+            count = code == (K + 1) ** 2
+            np.add.at(own, at[count], many[count])
+            at, code, many, mass = at[~count], code[~count], many[~count], mass[~count]
+            pair, word = np.divmod(code, K + 1)
+            np.add.at(left, at, np.where(pair == K, DELTA, pair + 1 - total.pairs[np.minimum(pair, K - 1)]) * many)
+            np.add.at(used, at, np.where(word == K, mass - DELTA * many, total.words[np.minimum(word, K - 1)] * many))
+        # left / own is alpha's numerator; the history's own count was already taken off each of its occurrences
+        alpha = np.where(own > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - used / max(1, total.n), 1e-300)), 0.0)
+        ud, d = np.unique(doc, return_inverse=True)
+        log = np.bincount(d, weights=alpha[h] + np.log10(total.p(c)), minlength=len(ud))
+        dest = part_of(ud, spread.parts)
+        out += [(p, block("more", key=ud[r], log=log[r])) for p, r in _split(dest, np.argsort(dest, kind="stable"))]
+        return _rows(out)
+
+    return run
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    meta, parts, stats = [], [], np.zeros(2 * K + 4, dtype=np.int64)
+    for blob in table.column("blob"):
+        kind, x = opened(blob.as_py())
+        if kind == "stats":
+            stats = x["x"].astype(np.int64)
+        else:
+            (meta if kind == "meta" else parts).append(x)
+    total = Totals(stats)
+    join = lambda name, kind: np.concatenate([x[name] for x in meta]).astype(kind) if meta else np.zeros(0, dtype=kind)
+    key = join("key", np.int64)
+    keys = np.sort(key)
+    log, base, known = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key))
+    terms = np.log10(total.pairs)
+    for x in parts:
+        at = np.searchsorted(keys, x["key"].astype(np.int64))
+        np.add.at(log, at, x["log"])
+        if "base" in x:
+            np.add.at(base, at, x["base"])
+            np.add.at(known, at, x["known"])
+            for r in range(1, K + 1):
+                np.add.at(log, at, x[f"c{r}"] * terms[r - 1])
+    at, n = np.searchsorted(keys, key), join("n", np.int64)
+    ids = pa.array(join("id", np.int64), mask=join("known", np.uint8) == 0)
+    return pa.table({"doc_id": ids, "held_out": pa.array(join("held", np.uint8) > 0), "n_tokens": n, "n_known": known[at].astype(np.int64), "train_tokens": np.full(len(key), total.n), "base_score": base[at] - n * np.log10(total.n + total.v + 1), "score": log[at]})
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def hot_words(texts: DataFrame, rows: int, parts: int) -> dict[int, int]:
+    """Hashes of words with over half a partition's share of a sample's tokens, and how many partitions they are dealt to."""
+    share = min(1.0, LOOK / max(1, rows))
+    found = Counter(t for r in texts.sample(fraction=share, seed=3).limit(2 * LOOK).collect() for t in [*tokens(r.text), b"", b" "])
+    n = sum(found.values())
+    return {xxhash.xxh64_intdigest(w): int(min(parts, 1 + c * parts * 2 // n)) for w, c in found.items() if c * parts * 2 > n}
+
+
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    spread = Spread(hot_words(own.select("text"), docs.count(), parts), parts)
+    blocks = "part int, blob binary"
+    found = own.mapInArrow(occurrences(spread), blocks).groupBy("part").applyInArrow(by_word(spread), blocks)
+    return found.groupBy("part").applyInArrow(by_history(spread), blocks).groupBy("part").applyInArrow(by_document, SCORES)

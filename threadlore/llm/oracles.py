@@ -1,0 +1,39 @@
+"""DuckDB SQL for the operators that SQL can express."""
+
+OP1 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+s AS (
+  SELECT *, CASE role WHEN 'system' THEN 16 - 1 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS marks,
+    regexp_replace(text, '([<\\[])(\\\\*)(/?s>|/?INST\\]|<SYS>>|</SYS>>|/?ROLE\\]|/TURN\\])', '\\1\\\\\\2\\3', 'g') AS written,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY n)) AS loss_sha256,
+  sum(length(written) + marks)::BIGINT AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before <> 'user' WHEN 'assistant' THEN coalesce(before, '') = 'user' ELSE false END
+    AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM s GROUP BY conv_id
+"""
+
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS has_request, true AS has_metadata FROM f
+"""
+
+OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.v, p.v)::BIGINT AS score FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+SQL = {"op1_chat": OP1, "op3_warc": OP3, "op6_topk": OP6}

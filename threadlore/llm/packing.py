@@ -1,0 +1,161 @@
+"""Harmonic packing of token pieces into fixed-capacity sequences.
+
+A piece of length l belongs to reciprocal class k = capacity // l: k pieces of the class fill one bin.  `pieces` cuts a document
+so that each of its pieces wastes little in its class; `pack` then fills the bins of each class with exactly k pieces, on each
+of many workers independently.  What does not fill a bin on a worker (under k pieces a class) is filled again per class over all
+workers, and the under k pieces a class that are left then (a constant number of rows, whatever the input) go first-fit into
+common bins.
+
+Edge cases: null text counts as empty and still has its end id; documents of any length work (a piece never exceeds the
+capacity); repeated rows are packed each; an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from threadlore.llm.common import cut
+
+CAPACITY = 2048
+END_ID = 1
+#: Most of a bin that a class may leave empty before a piece is cut to the next class's size.
+WASTE = 0.02
+#: Pieces that one worker packs, on average.
+PER_WORKER = 1 << 16
+VOCABULARY = "byte_bpe_50k.json"
+#: Texts of these code points only: the two libraries' Unicode tables agree on them.
+PLAIN = regex.compile(r"[\x00-\x7E¡-ɏ‐-‧€]*")
+_encoders: dict = {}
+
+
+def encoder(path: str, ranks_path: str | None):
+    """texts -> list of id lists, equal to tokenizers' encode_batch(texts, add_special_tokens=False).
+
+    Where the same vocabulary is at hand as ranks, texts of plain code points are encoded by the ranks, which gives the same
+    ids at a third of the CPU time; all other texts go through tokenizers.
+    """
+    if (path, ranks_path) not in _encoders:
+        from tokenizers import Tokenizer
+
+        full = Tokenizer.from_file(path)
+        full.encode_special_tokens = True
+        fast = None
+        if ranks_path:
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            plain = [fast is not None and PLAIN.fullmatch(x) is not None for x in texts]
+            other = iter(full.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+            return [fast.encode_ordinary(x) if p else next(other).ids for x, p in zip(texts, plain, strict=True)]
+
+        _encoders[path, ranks_path] = encode
+    return _encoders[path, ranks_path]
+
+
+def cuts(length: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
+    """Piece lengths that sum to `length`."""
+    out = [capacity] * (length // capacity)
+    rest = length % capacity
+    while rest:
+        k = capacity // rest
+        if capacity - k * rest <= waste * capacity:
+            out.append(rest)
+            break
+        out.append(part := capacity // (k + 1))
+        rest -= part
+    return out
+
+
+def pieces(docs: DataFrame, path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): the pieces of each document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, ranks_path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                row, start, length, crc, total, held = [], [], [], [], [], []
+                for i, found in enumerate(encode(texts)):
+                    ids = np.array([*found, end_id], dtype="<u4")
+                    to = 0
+                    for n in cuts(len(ids), capacity):
+                        part = ids[to : to + n]
+                        row.append(i)
+                        start.append(to)
+                        length.append(n)
+                        crc.append(zlib.crc32(part.tobytes()))
+                        total.append(len(ids))
+                        if with_ids:
+                            held.append(part.astype(np.int32))
+                        to += n
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(held, pa.list_(pa.int32()))] if with_ids else []), names=[x.split()[0] for x in schema.split(", ")])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to rows with `length`; the rows of a sequence lie gapless from offset 0."""
+    held = cut(found.withColumn("_key", F.monotonically_increasing_id()))
+    workers = max(1, -(-held.count() // PER_WORKER))
+    columns = found.columns
+    dealt = held.withColumn("_class", F.floor(F.lit(capacity) / F.col("length")).cast("long")).withColumn("_worker", F.pmod(F.xxhash64("_key"), F.lit(workers)))
+
+    def fill(rows: DataFrame, keys: list[str]) -> DataFrame:
+        own = Window.partitionBy(*keys)
+        return rows.withColumn("_n", F.row_number().over(own.orderBy(F.desc("length"), "_key")) - 1).withColumn("_bin", F.floor(F.col("_n") / F.col("_class"))).withColumn("_full", F.col("_bin") < F.floor(F.count("*").over(own) / F.col("_class")))
+
+    def name(rows: DataFrame, level: int, worker) -> DataFrame:
+        """A sequence_id of level, class, worker and bin."""
+        return rows.withColumn("sequence_id", F.lit(level << 60) + F.shiftleft(F.col("_class"), 44) + F.shiftleft(worker, 22) + F.col("_bin"))
+
+    first = fill(dealt, ["_worker", "_class"])
+    # only rows that fill no bin on their worker: under k a class and worker
+    second = cut(fill(first.where("NOT _full").drop("_n", "_bin", "_full"), ["_class"]))
+
+    def first_fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "_key"], ascending=[False, True])
+        room: list[int] = []
+        bins = []
+        for n in rows["length"]:
+            at = next((i for i, x in enumerate(room) if x >= n), len(room))
+            if at == len(room):
+                room.append(capacity)
+            room[at] -= n
+            bins.append(at)
+        return rows.assign(_bin=np.array(bins, dtype=np.int64))
+
+    last = second.where("NOT _full").select(*columns, "_key", "_class", F.lit(0).cast("long").alias("_bin"))
+    last = last.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: first_fit(rows.drop(columns="_all")), last.schema)
+    keep = [*columns, "_key", "sequence_id"]
+    out = name(first.where("_full"), 0, F.col("_worker")).select(*keep)
+    out = out.union(name(second.where("_full"), 1, F.lit(0).cast("long")).select(*keep))
+    out = out.union(last.withColumn("sequence_id", F.lit(2 << 60) + F.col("_bin")).select(*keep))
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_key")
+    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("_key")
+
+
+def padded(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(sequence_id, tokens, size): size is the length after padding, tokens itself where that is a power of two."""
+    sums = packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"))
+    power = F.col("tokens").bitwiseAND(F.col("tokens") - 1) == 0
+    return sums.withColumn("size", F.when(power, F.col("tokens")).otherwise(F.lit(capacity).cast("long")))

@@ -1,0 +1,196 @@
+"""SimHash near-duplicate groups found with vantage-point trees.
+
+Fingerprints: 64 bits over 4-word shingles.  Linking is exact: every pair of fingerprints at Hamming distance <= radius
+is found.  The way there:
+
+1. Equal fingerprints become one class (a map-side combined minimum), so copies never meet as pairs.
+2. The driver grows the top of a vantage-point tree from a bounded sample (`SAMPLE` fingerprints); its leaves are the shards.
+   The sample only steers balance; any tree gives the same links.
+3. Each fingerprint has one home shard, and by the triangle inequality it can only have neighbours in the shards whose
+   boundary its ball of radius r overlaps.  A task owns a pair of shards and gets of each side only what reaches the other.
+4. A task grows a vantage-point tree over one side, walks the other side through it in batches pruning by the triangle bounds,
+   and returns a spanning forest of the links it saw, so a group of g near copies yields fewer than g rows, not g^2.
+5. Components of the links, and the smallest doc_id of each.
+
+Edge cases: null text counts as empty; no words give fingerprint zero, linked like any other; under four words the whole
+sequence is the only shingle; repeated rows (also of one doc_id) keep their rows; an empty table gives an empty result;
+other columns are not read.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadlore.llm.common import components, cut, group_pairs
+
+RADIUS = 4
+SHINGLE = 4
+SEED = 42
+#: Fingerprints that the driver sees to lay out shards.
+SAMPLE = 8192
+#: Fingerprints of a shard, on average.
+SHARD = 16384
+LEAF = 48
+BLOCK = 1 << 16
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if not n:
+        return 0
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if n <= width:
+        return digest(joined, SEED)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    total, counts = n - width + 1, np.zeros(64, dtype=np.int64)
+    for at in range(0, total, BLOCK):
+        to = min(total, at + BLOCK)
+        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], dtype="<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+
+
+def distance(codes: np.ndarray, vantage: np.uint64) -> np.ndarray:
+    return np.bitwise_count(codes ^ vantage)
+
+
+class Shards:
+    """The top of a vantage-point tree in heap order: node i has children 2i+1 (inside) and 2i+2 (outside)."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.vantage = np.zeros((1 << depth) - 1, dtype=np.uint64)
+        self.cut = np.full((1 << depth) - 1, 32, dtype=np.int16)
+        held = {0: sample}
+        for node in range(len(self.vantage)):
+            codes = held.pop(node, sample[:0])
+            if len(codes):
+                self.vantage[node] = codes[len(codes) // 3]
+                far = distance(codes, self.vantage[node])
+                self.cut[node] = np.partition(far, (len(far) - 1) // 2)[(len(far) - 1) // 2]
+                held[2 * node + 1], held[2 * node + 2] = codes[far <= self.cut[node]], codes[far > self.cut[node]]
+
+    def place(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Home leaf of each code, and which leaves its ball overlaps."""
+        home = np.zeros(len(codes), dtype=np.int32)
+        reach = [np.ones(len(codes), dtype=bool)]
+        for node in range(len(self.vantage)):
+            far = distance(codes, self.vantage[node]).astype(np.int16)
+            at = home == node
+            home[at] = np.where(far[at] <= self.cut[node], 2 * node + 1, 2 * node + 2)
+            reach += [reach[node] & (far <= self.cut[node] + radius), reach[node] & (far > self.cut[node] - radius)]
+        first = (1 << self.depth) - 1
+        return home - first, np.stack(reach[first:], axis=1)
+
+
+def near_pairs(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (point, query) within the radius, by a vantage-point tree over the points walked by all queries at once."""
+    todo = [(np.arange(len(points)), np.arange(len(queries)))]
+    while todo:
+        p, q = todo.pop()
+        if not len(p) or not len(q):
+            continue
+        if len(p) > LEAF:
+            v = points[p[len(p) // 2]]
+            far = distance(points[p], v).astype(np.int16)
+            mid = np.partition(far, (len(far) - 1) // 2)[(len(far) - 1) // 2]
+            inside = far <= mid
+            if not inside.all():
+                own = distance(queries[q], v).astype(np.int16)
+                todo += [(p[inside], q[own <= mid + radius]), (p[~inside], q[own > mid - radius])]
+                continue
+        for at in range(0, len(q), step := max(1, (1 << 21) // len(p))):
+            some = q[at : at + step]
+            left, right = np.nonzero(np.bitwise_count(points[p][:, None] ^ queries[some][None, :]) <= radius)
+            yield p[left], some[right]
+
+
+def spanning(codes: np.ndarray, sides: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two index sets of codes."""
+    left, right, pending = [], [], 0
+    label = np.arange(len(codes))
+    for a, b in near_pairs(codes[sides[0]], codes[sides[1]], radius):
+        left.append(sides[0][a])
+        right.append(sides[1][b])
+        pending += len(a)
+        if pending > 1 << 21:
+            label = group_pairs(len(codes), np.concatenate(left), np.concatenate(right))
+            left, right, pending = [np.arange(len(codes))], [label], 0
+    if left:
+        label = group_pairs(len(codes), np.concatenate(left), np.concatenate(right))
+    moved = np.nonzero(label != np.arange(len(codes)))[0]
+    return codes[moved], codes[label[moved]]
+
+
+def link(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges whose components are those of all links between the distinct fingerprints `fp`."""
+    spark = classes.sparkSession
+    n = classes.count()
+    sample = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
+    shards = spark.sparkContext.broadcast(Shards(sample, depth))
+    width = 1 << depth
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                codes = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).astype(np.int64)
+                home, reach = shards.value.place(codes.view(np.uint64), radius)
+                row, other = np.nonzero(reach)
+                own = home[row].astype(np.int64)
+                pair = np.minimum(own, other) * width + np.maximum(own, other)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(own.astype(np.int32)), pa.array(codes[row])], names=["pair", "home", "fp"])
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = divmod(int(key[0]), width)
+        codes, home = rows["fp"].to_numpy(dtype=np.int64).view(np.uint64), rows["home"].to_numpy()
+        a, b = spanning(codes, (np.nonzero(home == low)[0], np.nonzero(home == high)[0]), radius)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return classes.select("fp").mapInArrow(place, "pair long, home int, fp long").groupBy("pair").applyInPandas(search, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per document: (doc_id, fp, component_id), component_id being the smallest doc_id reachable over links."""
+    marks = cut(fingerprints(docs, id_col, text_col))
+    classes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = components(link(classes, radius))
+    named = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return marks.join(named.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents less all but the smallest doc_id of each group; repeated rows of that doc_id leave one.
+
+    Rows without a doc_id have no place in a group's order and stay.
+    """
+    found = cut(near_duplicates(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id"))
+    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if repeated.limit(1).count():
+        out = out.where("doc_id IS NULL").union(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return out
