@@ -40,6 +40,8 @@ K = 5
 DELTA = 0.5
 #: Tokens that a task turns into one block per partition.
 CHUNK = 4_000_000
+#: Partitions of words, histories and documents; more where spark.sql.shuffle.partitions is.
+LEAST_PARTS = 64
 #: Texts looked at to find words that are dealt to several partitions.
 LOOK = 3000
 END, START = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -61,13 +63,24 @@ def unpacked(x: tuple) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x[1], dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def block(kind: str, **columns) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((kind, {k: packed(v) for k, v in columns.items()}), protocol=5))
+def opened(table: pa.Table) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+    for blob in table.column("blob"):
+        for kind, columns in pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_buffer())):
+            yield kind, {k: unpacked(v) for k, v in columns.items()}
+
+
+class Outbox:
+    """What one task sends: one compressed block for each receiving partition."""
 
+    def __init__(self) -> None:
+        self.held: dict[int, list] = {}
 
-def opened(blob: bytes) -> tuple[str, dict[str, np.ndarray]]:
-    kind, columns = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-    return kind, {k: unpacked(v) for k, v in columns.items()}
+    def add(self, part: int, kind: str, **columns: np.ndarray) -> None:
+        self.held.setdefault(int(part), []).append((kind, {k: packed(v) for k, v in columns.items()}))
+
+    def table(self) -> pa.Table:
+        blobs = [zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5)) for x in self.held.values()]
+        return pa.table({"part": pa.array(list(self.held), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
 def deltas(sorted_keys: np.ndarray) -> np.ndarray:
@@ -105,10 +118,6 @@ class Spread:
         return home
 
 
-def _rows(out: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
-
-
 def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows by destination; `order` sorts by it."""
     at = np.nonzero(np.diff(dest[order], prepend=-1))[0] if len(order) else []
@@ -130,11 +139,13 @@ def occurrences(spread: Spread):
         w[np.delete(np.arange(len(w)), ends)] = np.concatenate(ids)
         h = np.concatenate(([1], w[:-1]))
         h[ends[:-1] + 1] = 1
-        w, h = rank[w], rank[h]
-        doc = np.repeat(np.arange(len(ids)), lengths)
+        w, h = rank[w].astype(np.int32), rank[h].astype(np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         keys, own, known, held = (np.array(x) for x in zip(*docs, strict=True))
+        out = Outbox()
         own_part = part_of(keys, spread.parts)
-        out = [(p, block("meta", key=keys[r], id=own[r], known=known[r].astype(np.uint8), held=held[r].astype(np.uint8), n=lengths[r])) for p, r in _split(own_part, np.argsort(own_part, kind="stable"))]
+        for p, r in _split(own_part, np.argsort(own_part, kind="stable")):
+            out.add(p, "meta", key=keys[r], id=own[r], known=known[r].astype(np.uint8), held=held[r].astype(np.uint8), n=lengths[r])
         total = np.bincount(w[~held[doc]], minlength=len(hashes))
         dest = part_of(hashes, spread.parts)[w]
         wide = np.nonzero(spread.width(hashes) > 1)[0]
@@ -143,14 +154,15 @@ def occurrences(spread: Spread):
             dest[some] = spread.dest(hashes[w[some]], hashes[h[some]])
             for word in wide:
                 home, many = part_of(hashes[word : word + 1], spread.parts)[0], spread.width(hashes[word : word + 1])[0]
-                out += [(int((home + i) % spread.parts), block("wide", word=hashes[word : word + 1], count=total[word : word + 1])) for i in range(many)]
+                for i in range(many):
+                    out.add((home + i) % spread.parts, "wide", word=hashes[word : word + 1], count=total[word : word + 1])
         order = np.argsort(dest * len(hashes) + w, kind="stable")
         for p, r in _split(dest, order):
             uw, nw = np.unique(w[r], return_counts=True)
             uh, ih = np.unique(h[r], return_inverse=True)
             ud, di = np.unique(doc[r], return_inverse=True)
-            out.append((p, block("pairs", w=deltas(hashes[uw]), n=nw, h=deltas(hashes[uh]), hi=ih, key=keys[ud], train=(~held[ud]).astype(np.uint8), di=di)))
-        return _rows(out)
+            out.add(p, "pairs", w=deltas(hashes[uw]), n=nw, h=deltas(hashes[uh]), hi=ih, key=keys[ud], train=(~held[ud]).astype(np.uint8), di=di)
+        return out.table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bytes, int] = {}
@@ -189,17 +201,16 @@ def by_word(spread: Spread):
 
     def run(table: pa.Table) -> pa.Table:
         here = table.column("part")[0].as_py()
-        out, pairs, wide = [], [], Counter()
-        for blob in table.column("blob"):
-            kind, x = opened(blob.as_py())
+        out, pairs, wide = Outbox(), [], Counter()
+        for kind, x in opened(table):
             if kind == "meta":
-                out.append((here, blob.as_py()))
+                out.add(here, "meta", **x)
             elif kind == "wide":
                 wide[int(x["word"][0])] += int(x["count"][0])
             else:
                 pairs.append(x)
         if not pairs:
-            return _rows(out)
+            return out.table()
         uw, w = _combine([(sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs])
         uh, h = _combine([(sums(x["h"]), x["hi"]) for x in pairs])
         ud, d = _combine([(x["key"].astype(np.int64), x["di"]) for x in pairs])
@@ -215,7 +226,8 @@ def by_word(spread: Spread):
         # counts of counts; a word that is dealt to several partitions counts at its home alone
         home = (width == 1) | (part_of(uw, spread.parts) == here)
         stats = np.concatenate((np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2], np.bincount(np.minimum(cw[home], K + 2), minlength=K + 3)[1:], [cw[home].sum()]))
-        out += [(p, block("stats", x=stats)) for p in range(spread.parts)]
+        for p in range(spread.parts):
+            out.add(p, "stats", x=stats)
         # what histories get: how many bigrams of each pair of classes they have, and their own count
         seen = c > 0
         code = (_classes(c[seen]) - 1) * (K + 1) + _classes(cw[pw[seen]]) - 1
@@ -235,21 +247,22 @@ def by_word(spread: Spread):
         dest, rows = np.concatenate(dest), np.concatenate(first)
         for p, r in _split(dest, np.lexsort((key[rows], dest))):
             r = rows[r]
-            out.append((p, block("history", h=deltas(key[r]), code=code[r], many=many[r], mass=mass[r])))
+            out.add(p, "history", h=deltas(key[r]), code=code[r], many=many[r], mass=mass[r])
         # occurrences of bigrams never seen in training
         new = np.nonzero(c[at] == 0)[0]
         dest = spread.dest(uh[h[new]], ud[d[new]].astype(np.uint64))
         for p, r in _split(dest, np.lexsort((h[new], dest))):
             r = new[r]
-            out.append((p, block("unseen", h=deltas(uh[h[r]]), key=ud[d[r]], c=cw[w[r]])))
+            out.add(p, "unseen", h=deltas(uh[h[r]]), key=ud[d[r]], c=cw[w[r]])
         # sums by document
         occ, cls = cw[w], c[at]
         log = -np.log10(np.maximum(occ, 1)) + np.where(cls > K, np.log10(np.maximum(cls - DELTA, DELTA)), 0)
         columns = {"log": np.bincount(d, weights=log, minlength=len(ud)), "base": np.bincount(d, weights=np.log10(occ + 1.0), minlength=len(ud)), "known": np.bincount(d, weights=occ > 0, minlength=len(ud)).astype(np.int64)}
         columns |= {f"c{r}": np.bincount(d[cls == r], minlength=len(ud)) for r in range(1, K + 1)}
         dest = part_of(ud, spread.parts)
-        out += [(p, block("sums", key=ud[r], **{k: v[r] for k, v in columns.items()})) for p, r in _split(dest, np.argsort(dest, kind="stable"))]
-        return _rows(out)
+        for p, r in _split(dest, np.argsort(dest, kind="stable")):
+            out.add(p, "sums", key=ud[r], **{k: v[r] for k, v in columns.items()})
+        return out.table()
 
     return run
 
@@ -286,19 +299,14 @@ def by_history(spread: Spread):
     """Partition of histories: backoff weights, and with them the occurrences of unseen bigrams."""
 
     def run(table: pa.Table) -> pa.Table:
-        here = table.column("part")[0].as_py()
-        out, hist, new, stats = [], [], [], np.zeros(2 * K + 4, dtype=np.int64)
-        for blob in table.column("blob"):
-            kind, x = opened(blob.as_py())
-            if kind in ("meta", "sums"):
-                out.append((here, blob.as_py()))
-            elif kind == "stats":
+        out, hist, new, stats = Outbox(), [], [], np.zeros(2 * K + 4, dtype=np.int64)
+        for kind, x in opened(table):
+            if kind == "stats":
                 stats += x["x"].astype(np.int64)
-            else:
+            elif kind in ("history", "unseen"):
                 (hist if kind == "history" else new).append(x)
-        out.append((here, block("stats", x=stats)))
         if not new:
-            return _rows(out)
+            return out.table()
         total = Totals(stats)
         key = np.concatenate([sums(x["h"]) for x in new])
         uh, h = np.unique(key, return_inverse=True)
@@ -320,20 +328,22 @@ def by_history(spread: Spread):
         ud, d = np.unique(doc, return_inverse=True)
         log = np.bincount(d, weights=alpha[h] + np.log10(total.p(c)), minlength=len(ud))
         dest = part_of(ud, spread.parts)
-        out += [(p, block("more", key=ud[r], log=log[r])) for p, r in _split(dest, np.argsort(dest, kind="stable"))]
-        return _rows(out)
+        for p, r in _split(dest, np.argsort(dest, kind="stable")):
+            out.add(p, "more", key=ud[r], log=log[r])
+        return out.table()
 
     return run
 
 
-def by_document(table: pa.Table) -> pa.Table:
+def by_document(first: pa.Table, second: pa.Table) -> pa.Table:
+    """Partition of documents: what partitions of words and of histories have sent about each."""
     meta, parts, stats = [], [], np.zeros(2 * K + 4, dtype=np.int64)
-    for blob in table.column("blob"):
-        kind, x = opened(blob.as_py())
-        if kind == "stats":
-            stats = x["x"].astype(np.int64)
-        else:
-            (meta if kind == "meta" else parts).append(x)
+    for table in (first, second):
+        for kind, x in opened(table):
+            if kind == "stats":
+                stats += x["x"].astype(np.int64)
+            elif kind in ("meta", "sums", "more"):
+                (meta if kind == "meta" else parts).append(x)
     total = Totals(stats)
     join = lambda name, kind: np.concatenate([x[name] for x in meta]).astype(kind) if meta else np.zeros(0, dtype=kind)
     key = join("key", np.int64)
@@ -367,9 +377,10 @@ def hot_words(texts: DataFrame, rows: int, parts: int) -> dict[int, int]:
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     spread = Spread(hot_words(own.select("text"), docs.count(), parts), parts)
     blocks = "part int, blob binary"
-    found = own.mapInArrow(occurrences(spread), blocks).groupBy("part").applyInArrow(by_word(spread), blocks)
-    return found.groupBy("part").applyInArrow(by_history(spread), blocks).groupBy("part").applyInArrow(by_document, SCORES)
+    words = own.mapInArrow(occurrences(spread), blocks).groupBy("part").applyInArrow(by_word(spread), blocks)
+    # both consumers read one exchange of `words`
+    return words.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), blocks).groupBy("part")).applyInArrow(by_document, SCORES)
