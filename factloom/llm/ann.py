@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlore.llm.common import cut
-from threadlore.llm.topk import matrix, widened
-from threadlore.llm.vectors import ranked, usable
+from factloom.llm.common import cut
+from factloom.llm.topk import matrix, widened
+from factloom.llm.vectors import ranked, usable
 
 SAMPLE = 65536
 TREES = 4

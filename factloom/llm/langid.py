@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlore.llm.common import crc_mod
+from factloom.llm.common import crc_mod
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)

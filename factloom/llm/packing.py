@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlore.llm.common import cut
+from factloom.llm.common import cut
 
 CAPACITY = 2048
 END_ID = 1

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlore.llm.common import components, cut, group_pairs
+from factloom.llm.common import components, cut, group_pairs
 
 RADIUS = 4
 SHINGLE = 4

@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlore.llm.common import cut
-from threadlore.llm.vectors import ranked, usable
+from factloom.llm.common import cut
+from factloom.llm.vectors import ranked, usable
 
 RANGES = 32
 BUCKET = 8192

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlore.llm.common import cut, shared_dir
+from factloom.llm.common import cut, shared_dir
 
 LEAST = 1000
 PER_FILE = 2000
