@@ -14,9 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlore.llm import langid, pii, simhash
-from threadlore.llm.common import shared_dir, table
-from threadlore.llm.queries import packed
+from factloom.llm import langid, pii, simhash
+from factloom.llm.common import shared_dir, table
+from factloom.llm.queries import packed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
