@@ -7,7 +7,8 @@ encoder needs, of what it has read, only the prefixes from which a vocabulary en
 The transducer's states are these sets: for each live prefix its tokens that are not emitted yet, next to the last emitted
 token.  Reading a byte extends all spellings, drops the dead ones, and emits what all live prefixes' encodings share; as no
 spelling is longer than the longest entry, the lookahead is bounded by it.  States and moves are built when first needed and kept in a
-table that is emptied when it reaches `STATES` entries, as is the memo of whole matches at `WORDS`; neither changes any result.
+table that is emptied when it reaches `STATES` entries, as is the older half of the memo of whole matches at `WORDS`; neither
+changes any result.
 
 As the public encoding does, a match that is a vocabulary entry itself is that one token.
 
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Moves and matches that are kept at once, in each worker.
-STATES = 400_000
-WORDS = 400_000
-PAIRS = 400_000
+STATES = 800_000
+WORDS = 500_000
+PAIRS = 500_000
 #: Longer matches are not memoised.
 LONG = 64
 
@@ -198,17 +199,20 @@ class Codec:
         with open(path, "rb") as lines:
             self.transducer = Transducer({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
         self.split = regex.compile(pattern)
+        # two generations: what is used while the younger fills up outlives the older
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> np.ndarray:
         words, out = self.words, []
         for match in self.split.findall(text):
             ids = words.get(match)
             if ids is None:
-                ids = self.transducer.encode(match.encode())
+                ids = self.older.get(match) or self.transducer.encode(match.encode())
                 if len(match) <= LONG:
                     if len(words) >= WORDS:
-                        words.clear()
+                        self.older, self.words = words, {}
+                        words = self.words
                     words[match] = ids
             out += ids
         return np.array(out, dtype="<u4")
