@@ -37,7 +37,7 @@ SEED = 42
 #: Fingerprints that the driver sees to lay out shards.
 SAMPLE = 8192
 #: Fingerprints of a shard, on average.
-SHARD = 16384
+SHARD = 65536
 LEAF = 48
 BLOCK = 1 << 16
 
