@@ -31,6 +31,7 @@ FILTERS = 16
 #: Bounds of the training sample.
 PER_LABEL = 400
 PER_TEXT = 3
+PARTS = 256
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
@@ -163,8 +164,12 @@ class Network:
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network:
     """Learns from the labelled texts of `rows`; label values are taken as they are."""
     own = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = [r.id for r in own.select("id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LABEL).select("id").collect()]
+    order = (F.xxhash64("id"), "id")
+    # first within PARTS parts of each label, so that no task sorts all rows of a common label
+    first = own.select("id", "label", F.pmod(F.hash("id"), F.lit(PARTS)).alias("part"))
+    for keys in (("label", "part"), ("label",)):
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= PER_LABEL)
+    picked = [r.id for r in first.select("id").collect()]
     # evenly spread windows of each picked text, cut on the executors
     span = F.greatest(F.lit(0), F.length("text") - WINDOW)
     starts = [(span * k / max(1, PER_TEXT - 1)).cast("int") + 1 for k in range(PER_TEXT)]
