@@ -173,7 +173,8 @@ def archived(spark: SparkSession, pages: DataFrame, path: str | None = None) ->
     """
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    found = cut(assemble(read(spark, path, with_payload=False).drop("payload")).withColumns({"has_request": F.col("request").isNotNull(), "has_metadata": F.col("metadata").isNotNull()}).select("page_id", "main.*", "has_request", "has_metadata"))
+    records = cut(read(spark, path, with_payload=False).drop("payload"))  # the archive is parsed once
+    found = cut(assemble(records).withColumns({"has_request": F.col("request").isNotNull(), "has_metadata": F.col("metadata").isNotNull()}).select("page_id", "main.*", "has_request", "has_metadata"))
     first = F.regexp_extract("refers_to", "^<urn:payload:([0-9-]+):", 1)
     found = found.withColumn("refers_to", F.when(first != "", first.cast("long")))
     stored = found.where("record_type = 'response' AND header_digest = payload_digest").groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
