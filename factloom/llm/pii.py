@@ -82,7 +82,7 @@ def mod97(match: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
 
-    return F.aggregate(F.split(order, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.regexp_extract_all(order, F.lit("."), F.lit(0)), F.lit(0), step)
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -108,12 +108,12 @@ def _span_of(k: Kind, rank: int) -> Callable[[Column], Column]:
     return span
 
 
-def detect(df: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
-    """Adds the array of spans (kind, start, end, score), in order of start, then kind as listed; end is exclusive."""
-    columns = df.columns
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _found(df: DataFrame, text_col: str) -> DataFrame:
+    """(_row, _spans): the row as a struct, so that no working column can clash with one of its own."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    text = F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
-    found = df
+    found = rows
     for k in KINDS:  # each step is a projection of its own, so that no regular expression is evaluated twice
         hint = F.contains(text, F.lit(k.hint)) if k.hint == "@" else text.rlike(k.hint)
         found = found.withColumn(f"_m_{k.name}", F.when(hint, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none))
@@ -122,10 +122,15 @@ def detect(df: DataFrame, text_col: str = "text", out_col: str = "spans") -> Dat
     found = found.withColumns(ends)
     each = []
     for rank, k in enumerate(KINDS):
-        rows = F.arrays_zip(F.col(f"_m_{k.name}").alias("m"), F.slice(f"_g_{k.name}", F.lit(1), F.size(f"_m_{k.name}")).alias("g"), F.col(f"_e_{k.name}").alias("e"))
-        each.append(F.filter(F.transform(rows, _span_of(k, rank)), lambda x: x.isNotNull()))
+        matches = F.arrays_zip(F.col(f"_m_{k.name}").alias("m"), F.slice(f"_g_{k.name}", F.lit(1), F.size(f"_m_{k.name}")).alias("g"), F.col(f"_e_{k.name}").alias("e"))
+        each.append(F.filter(F.transform(matches, _span_of(k, rank)), lambda x: x.isNotNull()))
     spans = F.transform(F.array_sort(F.concat(*each)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
-    return found.select(*(F.col(c) for c in columns if c != out_col), spans.alias(out_col))
+    return found.select("_row", spans.alias("_spans"))
+
+
+def detect(df: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+    """Adds (or replaces) the array of spans (kind, start, end, score), in order of start, then kind as listed; end is exclusive."""
+    return _found(df, text_col).select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns if c != out_col), F.col("_spans").alias(out_col))
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -136,24 +141,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def _merge(acc: Column, x: Column) -> Column:
+    """Spans in order, overlapping ones joined under the kind of the first."""
+    own = F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    before = F.try_element_at(acc, F.lit(-1))
+    wider = F.struct(before["kind"].alias("kind"), before["start"].alias("start"), F.greatest(before["end"], x["end"]).alias("end"))
+    return F.when((F.size(acc) > 0) & (before["end"] > x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(own)))
+
+
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows with each span (overlapping ones joined) replaced by its first kind in capitals, as <EMAIL>."""
-    columns = df.columns
-    found = detect(df, text_col, "_spans")
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    last = F.try_element_at
-
-    def merge(acc: Column, x: Column) -> Column:
-        own = F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-        before = last(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (before["end"] > x["start"])
-        wider = F.struct(before["kind"].alias("kind"), before["start"].alias("start"), F.greatest(before["end"], x["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(own)))
-
-    found = found.withColumn("_merged", F.aggregate("_spans", F.expr(f"cast(array() as {kind})"), merge))
+    text = F.col(f"_row.`{text_col}`")
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
+    found = _found(df, text_col).select("_row", F.aggregate("_spans", none, _merge).alias("_merged"))
     froms = F.concat(F.array(F.lit(0)), F.transform("_merged", lambda x: x["end"]))
-    tos = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.length(text_col)))
+    tos = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.length(text)))
     marks = F.concat(F.transform("_merged", lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))), F.array(F.lit("")))
-    parts = F.transform(F.arrays_zip(froms.alias("a"), tos.alias("b"), marks.alias("m")), lambda x: F.concat(F.substring(F.col(text_col), x["a"] + 1, x["b"] - x["a"]), x["m"]))
-    masked = F.when(F.size("_merged") > 0, F.array_join(parts, "")).otherwise(F.col(text_col))
-    return found.select(*(masked.alias(c) if c == text_col else F.col(c) for c in columns))
+    parts = F.transform(F.arrays_zip(froms.alias("a"), tos.alias("b"), marks.alias("m")), lambda x: F.concat(F.substring(text, x["a"] + 1, x["b"] - x["a"]), x["m"]))
+    masked = F.when(F.size("_merged") > 0, F.array_join(parts, "")).otherwise(text)
+    return found.select(*((masked if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns))
