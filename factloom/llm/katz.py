@@ -120,7 +120,9 @@ class Spread:
 
 def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows by destination; `order` sorts by it."""
-    at = np.nonzero(np.diff(dest[order], prepend=-1))[0] if len(order) else []
+    if not len(order):
+        return
+    at = np.nonzero(np.diff(dest[order], prepend=-1))[0]
     for i, j in zip(at, [*at[1:], len(order)], strict=True):
         yield int(dest[order[i]]), order[i:j]
 
@@ -209,12 +211,14 @@ def by_word(spread: Spread):
                 wide[int(x["word"][0])] += int(x["count"][0])
             else:
                 pairs.append(x)
-        if not pairs:
+        if not pairs and not wide:
             return out.table()
-        uw, w = _combine([(sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs])
-        uh, h = _combine([(sums(x["h"]), x["hi"]) for x in pairs])
-        ud, d = _combine([(x["key"].astype(np.int64), x["di"]) for x in pairs])
-        train = np.concatenate([x["train"][x["di"]] for x in pairs]).astype(bool)
+        none = np.zeros(0, dtype=np.int64)
+        # a word that is dealt out is counted at its home even if none of its occurrences came there
+        uw, w = _combine([(np.array(sorted(wide), dtype=np.uint64), none), *((sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs)])
+        uh, h = _combine([(none.astype(np.uint64), none), *((sums(x["h"]), x["hi"]) for x in pairs)])
+        ud, d = _combine([(none, none), *((x["key"].astype(np.int64), x["di"]) for x in pairs)])
+        train = np.concatenate([none, *(x["train"][x["di"]] for x in pairs)]).astype(bool)
         del pairs
         cw = np.bincount(w[train], minlength=len(uw))
         width = spread.width(uw)
