@@ -383,7 +383,7 @@ def access_tracking(spark, sf_dir):
 SELECT doc_id, md5(text) AS key, cached IS NOT NULL AS hit, cached FROM documents LEFT JOIN c ON key = md5(text)""")
 def embedding_cache_lookup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    written = docs.where("doc_id % 2 = 0 AND text IS NOT NULL").select(text.cache_key(F.col("text")).alias("key"), F.array(F.col("doc_id").cast("float")).alias("embedding"), F.col("doc_id").alias("pos"))
+    written = docs.where("doc_id % 2 = 0 AND text IS NOT NULL").select(text.cache_key(F.col("text")).alias("key"), F.array(F.col("doc_id").cast("double")).alias("embedding"), F.col("doc_id").alias("pos"))
     found = cache.looked_up(docs, cache.latest(written))
     return found.select("doc_id", F.lower(F.hex("key")).alias("key"), "hit", F.col("embedding")[0].cast("long").alias("cached"))
 
