@@ -136,7 +136,7 @@ class Engine:
 
     def hits(self, facts: DataFrame, text: str, vector: list[float], limit: int) -> DataFrame:
         c = self.config
-        return search.hybrid(facts, vector, text, limit, c.min_similarity, self.model, c.utility_lambda)
+        return search.hybrid(facts, vector, text, limit, c.min_similarity, self.model, c.utility_lambda, english=True)
 
     def search_one(self, path: str, text: str, vector: list[float], limit: int) -> dict:
         with self.lock:

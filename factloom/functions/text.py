@@ -42,7 +42,11 @@ def cache_key(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Search terms of a text, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def rfc3339(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def searchable(content: Column, context: Column) -> Column:

@@ -26,3 +26,8 @@ def missing(texts: DataFrame, cache: DataFrame, make: Callable[[], Embedder] = H
     """(key, embedding) to append: each text that is not cached, once."""
     keyed = texts.select(text.cache_key(F.col("text")).alias("key"), "text").where("text IS NOT NULL").dropDuplicates(["key"])
     return keyed.join(cache, "key", "left_anti").select("key", embedded(F.col("text"), make).alias("embedding"))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds (key, embedding) rows to the stored cache; of a key that is there twice, `latest` takes the last."""
+    rows.withColumn("pos", F.unix_micros(F.current_timestamp())).write.mode("append").parquet(path)

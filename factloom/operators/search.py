@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import belief, text, vectors
+from factloom.functions import english as analysis
 from factloom.operators.rerank import Reranker, reranked
 from factloom.operators.windows import top
 
@@ -41,16 +42,24 @@ def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys("".join(c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in query.lower()).split()))
 
 
-def lexical(facts: DataFrame, query: str, limit: int | None = None, with_context: bool = True) -> DataFrame:
+def lexical(facts: DataFrame, query: str, limit: int | None = None, with_context: bool = True, english: bool = False) -> DataFrame:
     """(project_id, ord, bm25, rank): Okapi BM25 within each project, facts with a matching term only.
 
-    Only the query's terms are counted, in place; what is shuffled for the statistics is one partial row a project.
+    Only the query's terms are counted, in place; what is shuffled for the statistics is one partial row a project.  With
+    `english`, stop words go and stems are compared.
     """
-    terms = terms_of(query)
     body = text.searchable(F.col("content"), F.col("context_window")) if with_context else F.col("content")
-    words = F.coalesce(text.words(body), F.expr("cast(array() as array<string>)"))
-    counted = facts.select(*KEY, words.alias("_words"))
-    counted = counted.select(*KEY, F.size("_words").alias("_dl"), *(F.size(F.filter("_words", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    body = F.coalesce(body, F.lit(""))
+    if english:
+        terms = list(dict.fromkeys(analysis.terms(query)))
+        found = facts.select(*KEY, analysis.analysed(body).alias("_words"))
+        found = found.select(*KEY, F.size("_words").alias("_dl"), F.filter("_words", lambda x: x.isin(terms)).alias("_hits"))
+    else:
+        terms = terms_of(query)
+        low = F.lower(body)
+        some = "(?<![a-z0-9])(?:" + "|".join(terms or ["(?!)"]) + ")(?![a-z0-9])"
+        found = facts.select(*KEY, F.size(text.words(body)).alias("_dl"), F.regexp_extract_all(low, F.lit(some), F.lit(0)).alias("_hits"))
+    counted = found.select(*KEY, "_dl", *(F.size(F.filter("_hits", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)))
     stats = counted.groupBy("project_id").agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -92,11 +101,11 @@ def normalised(rows: DataFrame, score: str = "rrf", by: str = "project_id") -> D
     return rows.withColumn("norm", (F.col(score) - low) / F.greatest(high - low, F.lit(vectors.SMALL)))
 
 
-def hybrid(facts: DataFrame, query: list[float], query_text: str, limit: int, threshold: float = 0.15, reranker: Reranker | None = None, utility_lambda: float = 0.0, seed: int = 0) -> DataFrame:
+def hybrid(facts: DataFrame, query: list[float], query_text: str, limit: int, threshold: float = 0.15, reranker: Reranker | None = None, utility_lambda: float = 0.0, seed: int = 0, english: bool = False) -> DataFrame:
     """(project_id, ord, score, rank): each project's `limit` best facts."""
     legs = [dense(facts, query, threshold, utility_lambda, seed)]
-    if terms_of(query_text):
-        legs.append(lexical(facts, query_text, limit * LEXICAL_FACTOR))
+    if query_text and (analysis.terms(query_text) if english else terms_of(query_text)):
+        legs.append(lexical(facts, query_text, limit * LEXICAL_FACTOR, english=english))
     hits = fused(*legs).withColumnRenamed("rrf", "score")
     if reranker is not None:
         hits = normalised(hits, "score")

@@ -16,6 +16,7 @@ from factloom.operators import cache, catalog, feedback, ingest, search
 from factloom.operators.rerank import Reranker, features_of, stats_of
 from factloom.operators.windows import top
 from factloom.plans.tables import FACTS_SQL, QUERY_TEXT, facts, lexical_sql, query_vector, sessions, table
+from factloom.sources import documents
 from factloom.sources.shared import working_dir
 from factloom.streaming import feedback as stream
 
@@ -281,6 +282,25 @@ def recent_sessions(spark, sf_dir):
     return catalog.recent_sessions(order_sessions(spark, sf_dir)).select("project_id", "recency", "summary", "facts_count", "created_at")
 
 
+@query("SELECT conv_id AS project_id, turn AS ord, role AS category, md5(text) AS content, coalesce(len(text), 0) % 2 = 0 AS even FROM conversations WHERE text IS NOT NULL")
+def document_scan(spark, sf_dir):
+    """Conversations written as documents, scanned and normalised again."""
+    to = working_dir(spark, "documents")
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    item = F.struct("turn", F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("content"), F.col("role").alias("category")).alias("fact"))
+    docs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    own = docs.select(F.concat(F.lit("/conv/"), F.col("conv_id").cast("string")).alias("project_path"), F.col("conv_id").cast("string").alias("project_hash"), F.transform("items", lambda x: x["fact"]).alias("facts"), F.expr("cast(array() as array<string>)").alias("sessions"))
+    own.write.json(to)
+    _, found, _ = documents.normalised(documents.scan(spark, [to], lines=True))
+    return found.select(F.element_at(F.split("fact_id", "-"), 1).cast("long").alias("project_id"), F.element_at(F.split("fact_id", "-"), 2).cast("long").alias("ord"), "category", F.md5("content").alias("content"), (F.length("content") % 2 == 0).alias("even"))
+
+
+@query()
+def english_search(spark, sf_dir):
+    """Stemmed search over the documents."""
+    return search.lexical(corpus(spark, sf_dir), QUERY_TEXT + " anding", 20, with_context=False, english=True).select("project_id", "ord", six("bm25"), "rank")
+
+
 def item_facts(spark, sf_dir):
     """Returned line items as decisions of their supplier, the others as general facts."""
     own = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")

@@ -17,9 +17,9 @@ from factloom.config import FOLDER
 BROKEN = "_corrupt"
 
 
-def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Documents of the given files; a file that can't be parsed is an error."""
-    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schemas.THREAD).json(paths)
+def scan(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Documents of the given files, one a file or one a line; what can't be parsed is an error."""
+    return spark.read.option("multiLine", not lines).option("mode", "FAILFAST").schema(schemas.THREAD).json(paths)
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:

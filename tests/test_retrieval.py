@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import belief, text, vectors
+from factloom.functions import belief, english, text, vectors
 from factloom.functions.embedding import HashingEmbedder, embedded
 from factloom.operators import cache, feedback, search
 from factloom.operators.rerank import Reranker, Stats, decode, decode_posterior, encode, encode_posterior, stats_of, try_load
@@ -172,3 +172,31 @@ def test_embedding_cache(spark, tmp_path):
 def test_embedder(spark):
     own = spark.createDataFrame([("a b",), (None,)], "t string").select(embedded(F.col("t"))).collect()
     assert own[0][0] == pytest.approx(HashingEmbedder().embed(["a b"])[0]) and own[1][0] is None
+
+
+@pytest.mark.parametrize("word, expected", [w.split(":") for w in "consigned:consign knocking:knock happy:happi relational:relat running:run hopping:hop hoping:hope generously:generous skies:sky ties:tie cries:cri gas:gas kiwis:kiwi feed:feed agreed:agre dying:die by:by say:say conditional:condit digitizer:digit hopeful:hope goodness:good adjustment:adjust adoption:adopt rate:rate controll:control luxuriated:luxuri".split()])
+def test_stems(word, expected):
+    assert english.stem(word) == expected
+
+
+def test_english_search_meets_other_forms(spark):
+    rows = spark.createDataFrame([("p", 0, "The runner was running", None, []), ("p", 1, "the the the", None, [])], FACTS)
+    assert [r.ord for r in search.lexical(rows, "the runs", english=True).collect()] == [0]
+    assert search.lexical(rows, "runs").count() == 0 and search.lexical(rows, "the", english=True).count() == 0
+
+
+def test_model_states(spark, tmp_path):
+    from factloom.sources import model
+
+    (tmp_path / "w").write_bytes(encode(fixture(2)))
+    prior = model.read_weights(spark, str(tmp_path / "w"))
+    for n in (1, 2):
+        model.append_state(spark, prior.updated(stats(*[([1, 0.5], 0.8)] * n)), str(tmp_path / "state"))
+    assert model.latest_state(spark, prior, str(tmp_path / "state")).updates == 2
+
+
+def test_cache_append(spark, tmp_path):
+    rows = spark.createDataFrame([(b"k", [1.0])], "key binary, embedding array<float>")
+    cache.append(rows, str(tmp_path / "c"))
+    cache.append(rows.withColumn("embedding", F.array(F.lit(2.0).cast("float"))), str(tmp_path / "c"))
+    assert cache.latest(spark.read.parquet(str(tmp_path / "c"))).first().embedding == [2.0]
