@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 from factloom.llm import langid, pii, simhash
 from factloom.llm.common import shared_dir, table
 from factloom.llm.queries import packed
+from factloom.session import importable
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: texts without a recognisable language go."""
+    importable(spark)
     return langid.keep_known(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: one document of each near-duplicate group stays."""
+    importable(spark)
     return simhash.keep_one(docs)
 
 
@@ -37,6 +40,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the texts as pieces of 2048-token sequences."""
+    importable(spark)
     return packed(docs)
 
 
