@@ -31,7 +31,7 @@ FILTERS = 16
 #: Bounds of the training sample.
 PER_LABEL = 400
 PER_TEXT = 3
-PARTS = 256
+PARTS = 16
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
