@@ -16,6 +16,9 @@ document meet in the partition of the document.  Discounts need global counts of
 (a dozen numbers) to all partitions, and log terms of discounted classes are kept as class counts until then.  What travels are
 compressed blocks of numpy arrays, one for each sending task and receiving partition.
 
+`scored` streams the counts through these partitions without keeping them.  `store` writes them as Parquet tables, partitioned
+alike, with the backoff weight of every history, and `evaluate` scores texts from such tables by joins; both give the same scores.
+
 A word with a large share of all tokens is dealt out by its partner to several partitions (`hot`: chosen from a sample; the choice
 steers balance only, results don't depend on it).  Words are told apart by 64-bit hashes.
 
@@ -42,6 +45,7 @@ DELTA = 0.5
 CHUNK = 4_000_000
 #: Partitions of words, histories and documents; more where spark.sql.shuffle.partitions is.
 LEAST_PARTS = 64
+BLOCKS = "part int, blob binary"
 #: Texts looked at to find words that are dealt to several partitions.
 LOOK = 3000
 END, START = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -213,17 +217,8 @@ def by_word(spread: Spread):
                 pairs.append(x)
         if not pairs and not wide:
             return out.table()
-        none = np.zeros(0, dtype=np.int64)
-        # a word that is dealt out is counted at its home even if none of its occurrences came there
-        uw, w = _combine([(np.array(sorted(wide), dtype=np.uint64), none), *((sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs)])
-        uh, h = _combine([(none.astype(np.uint64), none), *((sums(x["h"]), x["hi"]) for x in pairs)])
-        ud, d = _combine([(none, none), *((x["key"].astype(np.int64), x["di"]) for x in pairs)])
-        train = np.concatenate([none, *(x["train"][x["di"]] for x in pairs)]).astype(bool)
+        uw, ud, d, width, w, h, train, cw, uh = _gathered(pairs, wide, spread)
         del pairs
-        cw = np.bincount(w[train], minlength=len(uw))
-        width = spread.width(uw)
-        for i in np.nonzero(width > 1)[0]:
-            cw[i] = wide[int(uw[i])]
         pair, at = np.unique(w * len(uh) + h, return_inverse=True)
         c = np.bincount(at[train], minlength=len(pair))
         pw, ph = np.divmod(pair, len(uh))
@@ -367,6 +362,48 @@ def by_document(first: pa.Table, second: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "held_out": pa.array(join("held", np.uint8) > 0), "n_tokens": n, "n_known": known[at].astype(np.int64), "train_tokens": np.full(len(key), total.n), "base_score": base[at] - n * np.log10(total.n + total.v + 1), "score": log[at]})
 
 
+def counted(spread: Spread):
+    """Partition of words as rows: (w, c) of its words with h null, and (h, w, c, cw) of its bigrams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        here = table.column("part")[0].as_py()
+        pairs, wide = [], Counter()
+        for kind, x in opened(table):
+            if kind == "wide":
+                wide[int(x["word"][0])] += int(x["count"][0])
+            elif kind == "pairs":
+                pairs.append(x)
+        uw, _, _, _, w, h, train, cw, uh = _gathered(pairs, wide, spread)
+        pair, c = np.unique(w[train] * max(1, len(uh)) + h[train], return_counts=True)
+        pw, ph = np.divmod(pair, max(1, len(uh)))
+        own = ((spread.width(uw) == 1) | (part_of(uw, spread.parts) == here)) & (cw > 0)
+        none = own.sum()
+        return pa.table({
+            "part": pa.array(np.full(none + len(pair), here, dtype=np.int32)),
+            "h": pa.array(np.concatenate((np.zeros(none, dtype=np.int64), uh[ph].view(np.int64))), mask=np.arange(none + len(pair)) < none),
+            "w": np.concatenate((uw[own], uw[pw])).view(np.int64),
+            "c": np.concatenate((cw[own], c)),
+            "cw": np.concatenate((cw[own], cw[pw])),
+        })
+
+    return run
+
+
+def _gathered(pairs: list[dict], wide: Counter, spread: Spread) -> tuple:
+    """What all senders have told of a partition's occurrences: dictionaries of words, histories and documents, and indices into them."""
+    none = np.zeros(0, dtype=np.int64)
+    # a word that is dealt out is counted at its home even if none of its occurrences came there
+    uw, w = _combine([(np.array(sorted(wide), dtype=np.uint64), none), *((sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs)])
+    uh, h = _combine([(none.astype(np.uint64), none), *((sums(x["h"]), x["hi"]) for x in pairs)])
+    ud, d = _combine([(none, none), *((x["key"].astype(np.int64), x["di"]) for x in pairs)])
+    train = np.concatenate([none, *(x["train"][x["di"]] for x in pairs)]).astype(bool)
+    cw = np.bincount(w[train], minlength=len(uw))
+    width = spread.width(uw)
+    for i in np.nonzero(width > 1)[0]:
+        cw[i] = wide[int(uw[i])]
+    return uw, ud, d, width, w, h, train, cw, uh
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -378,13 +415,64 @@ def hot_words(texts: DataFrame, rows: int, parts: int) -> dict[int, int]:
     return {xxhash.xxh64_intdigest(w): int(min(parts, 1 + c * parts * 2 // n)) for w, c in found.items() if c * parts * 2 > n}
 
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
-    spark = docs.sparkSession
-    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _sent(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> tuple[DataFrame, Spread]:
+    """Blocks for the partitions of words, and how words are dealt to them."""
+    parts = max(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     spread = Spread(hot_words(own.select("text"), docs.count(), parts), parts)
-    blocks = "part int, blob binary"
-    words = own.mapInArrow(occurrences(spread), blocks).groupBy("part").applyInArrow(by_word(spread), blocks)
+    return own.mapInArrow(occurrences(spread), BLOCKS), spread
+
+
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
+    sent, spread = _sent(docs, held_out, id_col, text_col)
+    words = sent.groupBy("part").applyInArrow(by_word(spread), BLOCKS)
     # both consumers read one exchange of `words`
-    return words.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), blocks).groupBy("part")).applyInArrow(by_document, SCORES)
+    return words.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), BLOCKS).groupBy("part")).applyInArrow(by_document, SCORES)
+
+
+def store(docs: DataFrame, held_out: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> Totals:
+    """Writes the model's tables under `path`: counts (part, h, w, c, cw; h null for words) and backoff (h, own, alpha)."""
+    sent, spread = _sent(docs, held_out, id_col, text_col)
+    sent.groupBy("part").applyInArrow(counted(spread), "part int, h long, w long, c long, cw long").write.mode("overwrite").partitionBy("part").parquet(f"{path}/counts")
+    counts = docs.sparkSession.read.schema("h long, w long, c long, cw long, part int").parquet(f"{path}/counts")
+    total = totals(counts)
+    pairs = counts.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("own"), F.sum(_cut("c", total.pairs)).alias("kept"), (F.sum(_cut("cw", total.words)) / max(1, total.n)).alias("used"))
+    pairs.select("h", "own", ((1 - F.col("kept") / F.col("own")) / (1 - F.col("used"))).alias("alpha")).write.mode("overwrite").parquet(f"{path}/backoff")
+    return total
+
+
+def totals(counts: DataFrame) -> Totals:
+    """Global figures of a table of counts: a dozen sums."""
+    exact = [F.count(F.when(F.col("h").isNotNull() & (F.col("c") == r), 1)) for r in range(1, K + 2)] + [F.count(F.when(F.col("h").isNull() & (F.col("c") == r), 1)) for r in range(1, K + 2)]
+    rest = [F.count(F.when(F.col("h").isNull() & (F.col("c") > K + 1), 1)), F.sum(F.when(F.col("h").isNull(), F.col("c")))]
+    return Totals(np.array([x or 0 for x in counts.agg(*(x.alias(f"x{i}") for i, x in enumerate([*exact, *rest]))).first()], dtype=np.int64))
+
+
+def _cut(count: str, low: np.ndarray) -> Column:
+    """The discounted count."""
+    out = F.col(count) - DELTA
+    for r in range(1, K + 1):
+        out = F.when(F.col(count) == r, float(low[r - 1])).otherwise(out)
+    return out
+
+
+def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, position, log10_p) of each token: the bigram if the tables have it, else its history's weight times the word."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w = np.array([*(xxhash.xxh64_intdigest(t) for t in tokens(batch.column(1)[i].as_py())), END], dtype=np.uint64)
+                h = np.concatenate(([START], w[:-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(w), i))), pa.array(np.arange(len(w))), pa.array(h.view(np.int64)), pa.array(w.view(np.int64))], names=["doc_id", "position", "h", "w"])
+
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    counts, backoff = spark.read.schema("h long, w long, c long, cw long, part int").parquet(f"{path}/counts"), spark.read.parquet(f"{path}/backoff")
+    total = totals(counts)
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, f"doc_id {kind}, position long, h long, w long")
+    found = asked.join(counts.where("h IS NOT NULL").select("h", "w", F.col("c").alias("pair")), ["h", "w"], "left").join(backoff, "h", "left").join(counts.where("h IS NULL").select("w", F.col("c").alias("word")), "w", "left")
+    word = F.when(F.col("word").isNull(), float(total.p0)).otherwise(_cut("word", total.words) / max(1, total.n))
+    p = F.when(F.col("pair").isNotNull(), _cut("pair", total.pairs) / F.col("own")).otherwise(F.coalesce("alpha", F.lit(1.0)) * word)
+    return found.select("doc_id", "position", F.log10(p).alias("log10_p"))

@@ -392,6 +392,15 @@ def test_katz(spark, docs, monkeypatch, parts):
         assert math.isclose(sum(p(h, w) for w in uni) + p(h, b"never seen"), 1, rel_tol=1e-9)
 
 
+def test_katz_tables(spark, docs, tmp_path):
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    frame = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    katz.store(frame, held, str(tmp_path / "model"))
+    stored = {r.doc_id: r.s for r in katz.evaluate(frame, str(tmp_path / "model")).groupBy("doc_id").agg(F.sum("log10_p").alias("s")).collect()}
+    direct = {r.doc_id: r.score for r in katz.scored(frame, held).collect()}
+    assert all(math.isclose(stored[i], s, rel_tol=1e-9) for i, s in direct.items()) and len(stored) == len(direct)
+
+
 def test_katz_rows(spark, docs, empty):
     found = katz.scored(docs, crc_mod(F.col("doc_id"), 7) == 2)
     assert found.count() == docs.count() and found.where("score > 0 OR isnan(score)").count() == 0
