@@ -16,10 +16,11 @@ def with_context(facts: DataFrame, n: int = 2, by: tuple[str, ...] = ("project_i
 
 def newest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key in the given order, numbered from 1 in `recency`."""
-    return rows.withColumn("recency", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("recency") <= n)
+    return rows.withColumn("recency", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("recency") <= n).withColumn("recency", F.col("recency").cast("long"))
 
 
 def top(rows: DataFrame, by: list[str], score: str, ties: list[str], n: int | None = None, rank: str = "rank") -> DataFrame:
     """Ranks from 1 by score, highest first; scores that agree to nine digits are ties."""
     out = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), *ties)))
-    return out if n is None else out.where(F.col(rank) <= n)
+    out = out if n is None else out.where(F.col(rank) <= n)
+    return out.withColumn(rank, F.col(rank).cast("long"))

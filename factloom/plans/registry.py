@@ -364,7 +364,7 @@ listed AS (
 @query(LISTING_SQL + "SELECT *, row_number() OVER (ORDER BY updated_at DESC, path) AS place FROM listed ORDER BY place LIMIT 100")
 def project_listing(spark, sf_dir):
     newest_first = listed(spark, sf_dir).orderBy(F.desc("updated_at"), "path").limit(100)
-    return newest_first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "path")))
+    return newest_first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "path")).cast("long"))
 
 
 @query(LISTING_SQL + "SELECT status, count(*) AS n, md5(string_agg(path, ',' ORDER BY path)) AS paths FROM listed GROUP BY status")
