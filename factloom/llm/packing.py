@@ -12,6 +12,7 @@ capacity); repeated rows are packed each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,7 @@ def encoder(path: str, ranks_path: str | None):
     ids at a third of the CPU time; all other texts go through tokenizers.
     """
     if (path, ranks_path) not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(path)

@@ -8,8 +8,8 @@ so its time stays linear in the text, and from recursing on long runs.
 Kinds: email, ip, card and phone as validated base kinds, and iban (ISO 13616, mod 97).  A span has a score: its kind's prior, plus
 CONTEXT where one of the kind's words stands within NEAR characters before it.  No validated span is dropped by its score.
 
-Edge cases: null text counts as empty (no spans); very long texts and many matches take linear time; spans of different kinds may
-overlap, masking joins them; repeated rows get repeated results; an empty table gives an empty result; other columns pass
+Edge cases: null text counts as empty (no spans); detection takes linear time in long texts and many matches, masking reads a text once for each
+of its spans; spans of different kinds may overlap, masking joins them; repeated rows get repeated results; an empty table gives an empty result; other columns pass
 through (`detect` adds only the column it is asked to).
 """
 
