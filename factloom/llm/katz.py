@@ -9,18 +9,19 @@ Tokens are the ASCII-lower-cased words of a text and one end token.  With c for
 D is the Good-Turing discounted count up to K (Katz's form, by the counts of counts of all training bigrams; D1: words), and c - DELTA
 above K, so that every history leaves some mass.  alpha(h) makes the sum over the vocabulary and the unknown word exactly one.
 
-The tables are partitioned by key and never gathered: an occurrence (h, w, document) goes to the partition of w, where c(w) and
-c(h,w) are complete.  As log p splits into a term of (h, w) and one of h, that partition can already score it, but for what
-h decides: the partition of h gets class counts of h's bigrams, and the occurrences whose bigram was never seen.  Sums by
-document meet in the partition of the document.  Discounts need global counts of counts: each partition of words sends its own
-(a dozen numbers) to all partitions, and log terms of discounted classes are kept as class counts until then.  What travels are
-compressed blocks of numpy arrays, one for each sending task and receiving partition.
+The tables are partitioned by key and never gathered.  A task reads its documents in chunks.  Of each chunk, the partition of w gets
+the distinct bigrams (h, w) with their training counts in the chunk, adds up c(w) and c(h,w), and answers the chunk with both; the
+partition of h gets class counts of h's bigrams, and answers chunks whose bigrams were never seen with the backoff weight.  The
+chunk's tokens, as positions in its list of bigrams, wait in the chunk's home partition, where the answers meet them.  So what
+travels is bounded by the chunks' distinct bigrams, however many partitions there are.  Discounts need global counts of counts:
+each partition of words sends its own (a dozen numbers) to all partitions.  What travels are compressed blocks of numpy arrays,
+one for each sending task, receiving partition and kind.
 
 `scored` streams the counts through these partitions without keeping them.  `store` writes them as Parquet tables, partitioned
 alike, with the backoff weight of every history, and `evaluate` scores texts from such tables by joins; both give the same scores.
 
-A word with a large share of all tokens is dealt out by its partner to several partitions (`hot`: chosen from a sample; the choice
-steers balance only, results don't depend on it).  Words are told apart by 64-bit hashes.
+A word with a large share of all tokens is dealt out by its partner to several partitions (`hot_words`: chosen from a sample; the
+choice steers balance only, results don't depend on it).  Words are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty (an end token only); very long texts are cut nowhere; repeated rows are repeated documents;
 without training rows all scores are 0 (p0 = 1); an empty table gives an empty result; other columns are not read.
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -41,11 +43,11 @@ from pyspark.sql import functions as F
 
 K = 5
 DELTA = 0.5
-#: Tokens that a task turns into one block per partition.
+#: Tokens of a chunk, and one document more.
 CHUNK = 4_000_000
-#: Partitions of words, histories and documents; more where spark.sql.shuffle.partitions is.
-LEAST_PARTS = 64
-BLOCKS = "part int, blob binary"
+#: Partitions of words, histories and chunks; more where spark.sql.shuffle.partitions is.
+LEAST_PARTS = 8
+BLOCKS = "part int, sort string, blob binary"
 #: Texts looked at to find words that are dealt to several partitions.
 LOOK = 3000
 END, START = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -67,24 +69,27 @@ def unpacked(x: tuple) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x[1], dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def opened(table: pa.Table) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
-    for blob in table.column("blob"):
-        for kind, columns in pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_buffer())):
-            yield kind, {k: unpacked(v) for k, v in columns.items()}
+def opened(table: pa.Table, *sorts: str) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+    """Messages (kind and columns) of the blocks of these sorts."""
+    for sort, blob in zip(table.column("sort"), table.column("blob"), strict=True):
+        if sort.as_py() in sorts:
+            for kind, columns in pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_buffer())):
+                yield kind, {k: unpacked(v) for k, v in columns.items()}
 
 
 class Outbox:
-    """What one task sends: one compressed block for each receiving partition."""
+    """What one task sends: one compressed block for each receiving partition and sort."""
 
     def __init__(self) -> None:
-        self.held: dict[int, list] = {}
+        self.held: dict[tuple[int, str], list] = {}
 
-    def add(self, part: int, kind: str, **columns: np.ndarray) -> None:
-        self.held.setdefault(int(part), []).append((kind, {k: packed(v) for k, v in columns.items()}))
+    def add(self, part: int, sort: str, kind: str, **columns: np.ndarray) -> None:
+        self.held.setdefault((int(part), sort), []).append((kind, {k: packed(v) for k, v in columns.items()}))
 
     def table(self) -> pa.Table:
         blobs = [zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5)) for x in self.held.values()]
-        return pa.table({"part": pa.array(list(self.held), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        parts, sorts = [p for p, _ in self.held], [s for _, s in self.held]
+        return pa.table({"part": pa.array(parts, pa.int32()), "sort": pa.array(sorts, pa.string()), "blob": pa.array(blobs, pa.binary())})
 
 
 def deltas(sorted_keys: np.ndarray) -> np.ndarray:
@@ -131,10 +136,10 @@ def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(dest[order[i]]), order[i:j]
 
 
-def occurrences(spread: Spread):
-    """Map side: documents (key, id, known id, held out, text) -> blocks for the partitions of words."""
+def chunks(spread: Spread, least: int = CHUNK):
+    """Map side: documents (key, id, held out, text) -> bigrams for the partitions of words, tokens for the chunk's home."""
 
-    def emit(words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple]) -> pa.Table:
+    def emit(words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], nth: int) -> pa.Table:
         hashes = np.array([END, START, *(xxhash.xxh64_intdigest(w) for w in list(words)[2:])], dtype=np.uint64)
         rank = np.empty(len(hashes), dtype=np.int64)
         rank[order := np.argsort(hashes)] = np.arange(len(hashes))
@@ -145,36 +150,42 @@ def occurrences(spread: Spread):
         w[np.delete(np.arange(len(w)), ends)] = np.concatenate(ids)
         h = np.concatenate(([1], w[:-1]))
         h[ends[:-1] + 1] = 1
-        w, h = rank[w].astype(np.int32), rank[h].astype(np.int32)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         keys, own, known, held = (np.array(x) for x in zip(*docs, strict=True))
-        out = Outbox()
-        own_part = part_of(keys, spread.parts)
-        for p, r in _split(own_part, np.argsort(own_part, kind="stable")):
-            out.add(p, "meta", key=keys[r], id=own[r], known=known[r].astype(np.uint8), held=held[r].astype(np.uint8), n=lengths[r])
-        total = np.bincount(w[~held[doc]], minlength=len(hashes))
-        dest = part_of(hashes, spread.parts)[w]
+        learn = np.repeat(~held, lengths)
+        pair, at = np.unique(rank[w] * len(hashes) + rank[h], return_inverse=True)
+        times = np.bincount(at[learn], minlength=len(pair))
+        w, h = np.divmod(pair, len(hashes))
+        out, dest = Outbox(), part_of(hashes, spread.parts)[w]
         wide = np.nonzero(spread.width(hashes) > 1)[0]
         if len(wide):
             some = np.isin(w, wide)
             dest[some] = spread.dest(hashes[w[some]], hashes[h[some]])
+            total = np.bincount(w, weights=times, minlength=len(hashes)).astype(np.int64)
             for word in wide:
                 home, many = part_of(hashes[word : word + 1], spread.parts)[0], spread.width(hashes[word : word + 1])[0]
                 for i in range(many):
-                    out.add((home + i) % spread.parts, "wide", word=hashes[word : word + 1], count=total[word : word + 1])
-        order = np.argsort(dest * len(hashes) + w, kind="stable")
+                    out.add((home + i) % spread.parts, "ask", "wide", word=hashes[word : word + 1], count=total[word : word + 1])
+        # the list of bigrams is in the order of what each partition gets; `first` is where a partition's part of it begins
+        order = np.argsort(dest, kind="stable")
+        slot = np.empty(len(order), dtype=np.int64)
+        slot[order] = np.arange(len(order))
+        chunk = keys[:1]
+        # chunks of a task go to neighbouring homes, first chunks of neighbouring tasks too
+        home = (int(chunk[0] >> 33) + nth) % spread.parts
+        out.add(home, "chunk", "chunk", chunk=chunk, id=own, known=known.astype(np.uint8), held=held.astype(np.uint8), n=lengths, slot=slot[at], size=np.array([len(pair)]))
+        first = 0
         for p, r in _split(dest, order):
             uw, nw = np.unique(w[r], return_counts=True)
             uh, ih = np.unique(h[r], return_inverse=True)
-            ud, di = np.unique(doc[r], return_inverse=True)
-            out.add(p, "pairs", w=deltas(hashes[uw]), n=nw, h=deltas(hashes[uh]), hi=ih, key=keys[ud], train=(~held[ud]).astype(np.uint8), di=di)
+            out.add(p, "ask", "pairs", chunk=chunk, home=np.array([home]), first=np.array([first]), w=deltas(hashes[uw]), n=nw, h=deltas(hashes[uh]), hi=ih, times=times[r])
+            first += len(r)
         return out.table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         docs: list[tuple] = []
-        size = 0
+        size = nth = 0
         for batch in batches:
             for key, own, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not docs:
@@ -183,11 +194,11 @@ def occurrences(spread: Spread):
                 ids.append(np.array([words.setdefault(x, len(words)) for x in found], dtype=np.int32))
                 docs.append((key, own or 0, own is not None, bool(held)))
                 size += len(found) + 1
-                if size >= CHUNK:
-                    yield from emit(words, ids, docs).to_batches()
-                    ids, docs = [], []
+                if size >= least:
+                    yield from emit(words, ids, docs, nth).to_batches()
+                    ids, docs, nth = [], [], nth + 1
         if docs:
-            yield from emit(words, ids, docs).to_batches()
+            yield from emit(words, ids, docs, nth).to_batches()
 
     return run
 
@@ -203,30 +214,28 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def by_word(spread: Spread):
-    """Partition of words: counts, terms of the score that need no more than them, and what goes on to histories."""
+    """Partition of words: counts, answers to the chunks, and what goes on to histories."""
 
     def run(table: pa.Table) -> pa.Table:
         here = table.column("part")[0].as_py()
         out, pairs, wide = Outbox(), [], Counter()
-        for kind, x in opened(table):
-            if kind == "meta":
-                out.add(here, "meta", **x)
-            elif kind == "wide":
+        for kind, x in opened(table, "ask"):
+            if kind == "wide":
                 wide[int(x["word"][0])] += int(x["count"][0])
             else:
                 pairs.append(x)
+        through = table.filter(pc.equal(table.column("sort"), "chunk"))
         if not pairs and not wide:
-            return out.table()
-        uw, ud, d, width, w, h, train, cw, uh = _gathered(pairs, wide, spread)
-        del pairs
-        pair, at = np.unique(w * len(uh) + h, return_inverse=True)
-        c = np.bincount(at[train], minlength=len(pair))
-        pw, ph = np.divmod(pair, len(uh))
+            return through
+        uw, uh, w, h, times, cw, width = _gathered(pairs, wide, spread)
+        pair, at = np.unique(w * max(1, len(uh)) + h, return_inverse=True)
+        c = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
+        pw, ph = np.divmod(pair, max(1, len(uh)))
         # counts of counts; a word that is dealt to several partitions counts at its home alone
         home = (width == 1) | (part_of(uw, spread.parts) == here)
         stats = np.concatenate((np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2], np.bincount(np.minimum(cw[home], K + 2), minlength=K + 3)[1:], [cw[home].sum()]))
         for p in range(spread.parts):
-            out.add(p, "stats", x=stats)
+            out.add(p, "history", "stats", x=stats)
         # what histories get: how many bigrams of each pair of classes they have, and their own count
         seen = c > 0
         code = (_classes(c[seen]) - 1) * (K + 1) + _classes(cw[pw[seen]]) - 1
@@ -246,22 +255,24 @@ def by_word(spread: Spread):
         dest, rows = np.concatenate(dest), np.concatenate(first)
         for p, r in _split(dest, np.lexsort((key[rows], dest))):
             r = rows[r]
-            out.add(p, "history", h=deltas(key[r]), code=code[r], many=many[r], mass=mass[r])
-        # occurrences of bigrams never seen in training
+            out.add(p, "history", "history", h=deltas(key[r]), code=code[r], many=many[r], mass=mass[r])
+        # answers in the order of the questions, and the slots of bigrams never seen in training
+        asked, slots, start = np.zeros(len(w), dtype=np.int32), np.zeros(len(w), dtype=np.int64), 0
+        for i, x in enumerate(pairs):
+            some = slice(start, start + len(x["hi"]))
+            asked[some], slots[some] = i, int(x["first"][0]) + np.arange(len(x["hi"]))
+            words = w[some][np.cumsum(x["n"].astype(np.int64)) - 1]
+            out.add(int(x["home"][0]), "answer", "counts", chunk=x["chunk"], first=x["first"], c=c[at[some]], n=x["n"], cw=cw[words])
+            start = some.stop
         new = np.nonzero(c[at] == 0)[0]
-        dest = spread.dest(uh[h[new]], ud[d[new]].astype(np.uint64))
-        for p, r in _split(dest, np.lexsort((h[new], dest))):
+        chunk, homes = (np.array([int(x[name][0]) for x in pairs], dtype=np.int64) for name in ("chunk", "home"))
+        dest = spread.dest(uh[h[new]], slots[new] + asked[new])
+        for p, r in _split(dest, np.lexsort((h[new], asked[new], dest))):
             r = new[r]
-            out.add(p, "unseen", h=deltas(uh[h[r]]), key=ud[d[r]], c=cw[w[r]])
-        # sums by document
-        occ, cls = cw[w], c[at]
-        log = -np.log10(np.maximum(occ, 1)) + np.where(cls > K, np.log10(np.maximum(cls - DELTA, DELTA)), 0)
-        columns = {"log": np.bincount(d, weights=log, minlength=len(ud)), "base": np.bincount(d, weights=np.log10(occ + 1.0), minlength=len(ud)), "known": np.bincount(d, weights=occ > 0, minlength=len(ud)).astype(np.int64)}
-        columns |= {f"c{r}": np.bincount(d[cls == r], minlength=len(ud)) for r in range(1, K + 1)}
-        dest = part_of(ud, spread.parts)
-        for p, r in _split(dest, np.argsort(dest, kind="stable")):
-            out.add(p, "sums", key=ud[r], **{k: v[r] for k, v in columns.items()})
-        return out.table()
+            ua, ia = np.unique(asked[r], return_inverse=True)
+            uu, iu = np.unique(h[r], return_inverse=True)
+            out.add(p, "history", "unseen", h=deltas(uh[uu]), hi=iu, chunk=chunk[ua], home=homes[ua], ci=ia, slot=slots[r])
+        return pa.concat_tables([through, out.table()])
 
     return run
 
@@ -295,21 +306,22 @@ class Totals:
 
 
 def by_history(spread: Spread):
-    """Partition of histories: backoff weights, and with them the occurrences of unseen bigrams."""
+    """Partition of histories: backoff weights for the chunks' unseen bigrams."""
 
     def run(table: pa.Table) -> pa.Table:
         out, hist, new, stats = Outbox(), [], [], np.zeros(2 * K + 4, dtype=np.int64)
-        for kind, x in opened(table):
+        for kind, x in opened(table, "history"):
             if kind == "stats":
                 stats += x["x"].astype(np.int64)
-            elif kind in ("history", "unseen"):
+            else:
                 (hist if kind == "history" else new).append(x)
+        out.add(table.column("part")[0].as_py(), "weight", "stats", x=stats)
         if not new:
             return out.table()
         total = Totals(stats)
-        key = np.concatenate([sums(x["h"]) for x in new])
-        uh, h = np.unique(key, return_inverse=True)
-        doc, c = np.concatenate([x["key"].astype(np.int64) for x in new]), np.concatenate([x["c"].astype(np.int64) for x in new])
+        uh, h = _combine([(sums(x["h"]), x["hi"]) for x in new])
+        chunk, slot = np.concatenate([x["chunk"].astype(np.int64)[x["ci"]] for x in new]), np.concatenate([x["slot"].astype(np.int64) for x in new])
+        home = np.concatenate([x["home"].astype(np.int64)[x["ci"]] for x in new])
         own, left, used = np.zeros(len(uh)), np.zeros(len(uh)), np.zeros(len(uh))
         for x in hist:
             keys = sums(x["h"])
@@ -322,44 +334,55 @@ def by_history(spread: Spread):
             pair, word = np.divmod(code, K + 1)
             np.add.at(left, at, np.where(pair == K, DELTA, pair + 1 - total.pairs[np.minimum(pair, K - 1)]) * many)
             np.add.at(used, at, np.where(word == K, mass - DELTA * many, total.words[np.minimum(word, K - 1)] * many))
-        # left / own is alpha's numerator; the history's own count was already taken off each of its occurrences
+        # left / own is alpha's numerator; the history's own count is taken off each of its occurrences by the chunk
         alpha = np.where(own > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - used / max(1, total.n), 1e-300)), 0.0)
-        ud, d = np.unique(doc, return_inverse=True)
-        log = np.bincount(d, weights=alpha[h] + np.log10(total.p(c)), minlength=len(ud))
-        dest = part_of(ud, spread.parts)
-        for p, r in _split(dest, np.argsort(dest, kind="stable")):
-            out.add(p, "more", key=ud[r], log=log[r])
+        for p, r in _split(home, np.lexsort((h, chunk, home))):
+            # one weight for each history of a chunk, and how many of the slots it holds for
+            edge = np.nonzero((np.diff(chunk[r], prepend=-1) != 0) | (np.diff(h[r], prepend=-1) != 0))[0]
+            uc, ic = np.unique(chunk[r[edge]], return_inverse=True)
+            out.add(p, "weight", "weights", chunk=uc, ci=ic, alpha=alpha[h[r[edge]]], n=np.diff(edge, append=len(r)), slot=slot[r])
         return out.table()
 
     return run
 
 
-def by_document(first: pa.Table, second: pa.Table) -> pa.Table:
-    """Partition of documents: what partitions of words and of histories have sent about each."""
-    meta, parts, stats = [], [], np.zeros(2 * K + 4, dtype=np.int64)
-    for table in (first, second):
-        for kind, x in opened(table):
-            if kind == "stats":
-                stats += x["x"].astype(np.int64)
-            elif kind in ("meta", "sums", "more"):
-                (meta if kind == "meta" else parts).append(x)
+def by_chunk(first: pa.Table, second: pa.Table) -> pa.Table:
+    """Home of chunks: tokens, and what partitions of words and of histories have answered about their bigrams."""
+    answers: dict[int, list] = {}
+    weights: dict[int, list] = {}
+    stats = np.zeros(2 * K + 4, dtype=np.int64)
+    for kind, x in opened(second, "weight"):
+        if kind == "stats":
+            stats += x["x"].astype(np.int64)
+        else:
+            alpha, owner = np.repeat(x["alpha"], x["n"]), np.repeat(x["ci"], x["n"])
+            for i, chunk in enumerate(x["chunk"].tolist()):
+                some = owner == i
+                weights.setdefault(chunk, []).append((x["slot"][some], alpha[some]))
+    for _, x in opened(first, "answer"):
+        answers.setdefault(int(x["chunk"][0]), []).append(x)
     total = Totals(stats)
-    join = lambda name, kind: np.concatenate([x[name] for x in meta]).astype(kind) if meta else np.zeros(0, dtype=kind)
-    key = join("key", np.int64)
-    keys = np.sort(key)
-    log, base, known = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key))
-    terms = np.log10(total.pairs)
-    for x in parts:
-        at = np.searchsorted(keys, x["key"].astype(np.int64))
-        np.add.at(log, at, x["log"])
-        if "base" in x:
-            np.add.at(base, at, x["base"])
-            np.add.at(known, at, x["known"])
-            for r in range(1, K + 1):
-                np.add.at(log, at, x[f"c{r}"] * terms[r - 1])
-    at, n = np.searchsorted(keys, key), join("n", np.int64)
-    ids = pa.array(join("id", np.int64), mask=join("known", np.uint8) == 0)
-    return pa.table({"doc_id": ids, "held_out": pa.array(join("held", np.uint8) > 0), "n_tokens": n, "n_known": known[at].astype(np.int64), "train_tokens": np.full(len(key), total.n), "base_score": base[at] - n * np.log10(total.n + total.v + 1), "score": log[at]})
+    # log10 of the discounted count of a class; the others follow from the count
+    low = np.log10(np.concatenate(([1.0], total.pairs)))
+    out = []
+    for _, own in opened(first, "chunk"):
+        size, chunk = int(own["size"][0]), int(own["chunk"][0])
+        c, cw, alpha = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size)
+        for x in answers.pop(chunk, []):
+            some = slice(int(x["first"][0]), int(x["first"][0]) + len(x["c"]))
+            c[some], cw[some] = x["c"], np.repeat(x["cw"], x["n"])
+        for slot, value in weights.pop(chunk, []):
+            alpha[slot] = value
+        bigram = np.where(c > K, np.log10(np.maximum(c - DELTA, DELTA)), low[np.minimum(c, K)])
+        # a word's occurrence stands for its count as the next token's history; the end's for that of the next start
+        score = np.where(c > 0, bigram, alpha + np.log10(total.p(cw))) - np.log10(np.maximum(cw, 1))
+        slot, n = own["slot"], own["n"].astype(np.int64)
+        at = np.cumsum(n) - n
+        add = lambda x, slot=slot, at=at: np.add.reduceat(x[slot], at)
+        ids = pa.array(own["id"].astype(np.int64), mask=own["known"] == 0)
+        known, base = add((cw > 0).astype(np.int64)), add(np.log10(cw + 1.0)) - n * np.log10(total.n + total.v + 1)
+        out.append(pa.table({"doc_id": ids, "held_out": pa.array(own["held"] > 0), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total.n), "base_score": base, "score": add(score)}))
+    return pa.concat_tables(out) if out else SCHEMA.empty_table()
 
 
 def counted(spread: Spread):
@@ -368,15 +391,17 @@ def counted(spread: Spread):
     def run(table: pa.Table) -> pa.Table:
         here = table.column("part")[0].as_py()
         pairs, wide = [], Counter()
-        for kind, x in opened(table):
+        for kind, x in opened(table, "ask"):
             if kind == "wide":
                 wide[int(x["word"][0])] += int(x["count"][0])
-            elif kind == "pairs":
+            else:
                 pairs.append(x)
-        uw, _, _, _, w, h, train, cw, uh = _gathered(pairs, wide, spread)
-        pair, c = np.unique(w[train] * max(1, len(uh)) + h[train], return_counts=True)
+        uw, uh, w, h, times, cw, width = _gathered(pairs, wide, spread)
+        pair, at = np.unique(w * max(1, len(uh)) + h, return_inverse=True)
+        c = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
+        pair, c = pair[c > 0], c[c > 0]
         pw, ph = np.divmod(pair, max(1, len(uh)))
-        own = ((spread.width(uw) == 1) | (part_of(uw, spread.parts) == here)) & (cw > 0)
+        own = ((width == 1) | (part_of(uw, spread.parts) == here)) & (cw > 0)
         none = own.sum()
         return pa.table({
             "part": pa.array(np.full(none + len(pair), here, dtype=np.int32)),
@@ -390,21 +415,21 @@ def counted(spread: Spread):
 
 
 def _gathered(pairs: list[dict], wide: Counter, spread: Spread) -> tuple:
-    """What all senders have told of a partition's occurrences: dictionaries of words, histories and documents, and indices into them."""
+    """What all chunks ask of a partition: dictionaries of words and histories, indices into them with training counts, and words' counts."""
     none = np.zeros(0, dtype=np.int64)
-    # a word that is dealt out is counted at its home even if none of its occurrences came there
+    # a word that is dealt out is counted at its home even if none of its bigrams came there
     uw, w = _combine([(np.array(sorted(wide), dtype=np.uint64), none), *((sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs)])
     uh, h = _combine([(none.astype(np.uint64), none), *((sums(x["h"]), x["hi"]) for x in pairs)])
-    ud, d = _combine([(none, none), *((x["key"].astype(np.int64), x["di"]) for x in pairs)])
-    train = np.concatenate([none, *(x["train"][x["di"]] for x in pairs)]).astype(bool)
-    cw = np.bincount(w[train], minlength=len(uw))
+    times = np.concatenate([none, *(x["times"].astype(np.int64) for x in pairs)])
+    cw = np.bincount(w, weights=times, minlength=len(uw)).astype(np.int64)
     width = spread.width(uw)
     for i in np.nonzero(width > 1)[0]:
         cw[i] = wide[int(uw[i])]
-    return uw, ud, d, width, w, h, train, cw, uh
+    return uw, uh, w, h, times, cw, width
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def hot_words(texts: DataFrame, rows: int, parts: int) -> dict[int, int]:
@@ -415,20 +440,20 @@ def hot_words(texts: DataFrame, rows: int, parts: int) -> dict[int, int]:
     return {xxhash.xxh64_intdigest(w): int(min(parts, 1 + c * parts * 2 // n)) for w, c in found.items() if c * parts * 2 > n}
 
 
-def _sent(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> tuple[DataFrame, Spread]:
+def _sent(docs: DataFrame, held_out: Column, id_col: str, text_col: str, chunk: int = CHUNK) -> tuple[DataFrame, Spread]:
     """Blocks for the partitions of words, and how words are dealt to them."""
     parts = max(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     spread = Spread(hot_words(own.select("text"), docs.count(), parts), parts)
-    return own.mapInArrow(occurrences(spread), BLOCKS), spread
+    return own.mapInArrow(chunks(spread, chunk), BLOCKS), spread
 
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
-    sent, spread = _sent(docs, held_out, id_col, text_col)
+    sent, spread = _sent(docs, held_out, id_col, text_col, chunk)
     words = sent.groupBy("part").applyInArrow(by_word(spread), BLOCKS)
     # both consumers read one exchange of `words`
-    return words.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), BLOCKS).groupBy("part")).applyInArrow(by_document, SCORES)
+    return words.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), BLOCKS).groupBy("part")).applyInArrow(by_chunk, SCORES)
 
 
 def store(docs: DataFrame, held_out: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> Totals:

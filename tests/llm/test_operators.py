@@ -373,14 +373,14 @@ def katz_brute(texts, held):
     return uni, n, v, p
 
 
-@pytest.mark.parametrize("parts", [1, 5, 64])
-def test_katz(spark, docs, monkeypatch, parts):
+@pytest.mark.parametrize(("parts", "chunk"), [(1, 4_000_000), (5, 200), (64, 4_000_000), (64, 1)])
+def test_katz(spark, docs, monkeypatch, parts, chunk):
     monkeypatch.setattr(katz, "LEAST_PARTS", parts)
     rng = random.Random(9)
     words = ["The", "the", "of", *(f"w{i}" for i in range(40))]
     texts = [" ".join(rng.choices(words, weights=[400, 200, 100, *(40 / (i + 1) for i in range(40))], k=rng.choice([0, 1, 5, 60]))) for _ in range(300)] + ["new words only", None, "the " * 3000]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r.doc_id: r for r in katz.scored(frame, crc_mod(F.col("doc_id"), 7) == 2).collect()}
+    found = {r.doc_id: r for r in katz.scored(frame, crc_mod(F.col("doc_id"), 7) == 2, chunk=chunk).collect()}
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     uni, n, v, p = katz_brute(texts, held)
     for i, t in enumerate(texts):
