@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 K = 5
 DELTA = 0.5
 #: Tokens of a chunk, and one document more.
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 #: Partitions of words, histories and chunks; more where spark.sql.shuffle.partitions is.
 LEAST_PARTS = 8
 BLOCKS = "part int, sort string, blob binary"
@@ -146,13 +146,20 @@ def chunks(spread: Spread, least: int = CHUNK):
         hashes = hashes[order]
         lengths = np.array([len(x) + 1 for x in ids])
         ends = np.cumsum(lengths) - 1
-        w = np.zeros(ends[-1] + 1, dtype=np.int64)
+        w = np.zeros(ends[-1] + 1, dtype=np.int32)
         w[np.delete(np.arange(len(w)), ends)] = np.concatenate(ids)
-        h = np.concatenate(([1], w[:-1]))
+        ids.clear()
+        h = np.concatenate((np.ones(1, dtype=np.int32), w[:-1]))
         h[ends[:-1] + 1] = 1
         keys, own, known, held = (np.array(x) for x in zip(*docs, strict=True))
         learn = np.repeat(~held, lengths)
-        pair, at = np.unique(rank[w] * len(hashes) + rank[h], return_inverse=True)
+        code = rank[w]
+        code *= len(hashes)
+        code += rank[h]
+        del w, h
+        pair, at = np.unique(code, return_inverse=True)
+        del code
+        at = at.astype(np.int32)
         times = np.bincount(at[learn], minlength=len(pair))
         w, h = np.divmod(pair, len(hashes))
         out, dest = Outbox(), part_of(hashes, spread.parts)[w]
@@ -224,9 +231,8 @@ def by_word(spread: Spread):
                 wide[int(x["word"][0])] += int(x["count"][0])
             else:
                 pairs.append(x)
-        through = table.filter(pc.equal(table.column("sort"), "chunk"))
         if not pairs and not wide:
-            return through
+            return out.table()
         uw, uh, w, h, times, cw, width = _gathered(pairs, wide, spread)
         pair, at = np.unique(w * max(1, len(uh)) + h, return_inverse=True)
         c = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
@@ -272,7 +278,7 @@ def by_word(spread: Spread):
             ua, ia = np.unique(asked[r], return_inverse=True)
             uu, iu = np.unique(h[r], return_inverse=True)
             out.add(p, "history", "unseen", h=deltas(uh[uu]), hi=iu, chunk=chunk[ua], home=homes[ua], ci=ia, slot=slots[r])
-        return pa.concat_tables([through, out.table()])
+        return out.table()
 
     return run
 
@@ -306,7 +312,7 @@ class Totals:
 
 
 def by_history(spread: Spread):
-    """Partition of histories: backoff weights for the chunks' unseen bigrams."""
+    """Partition of histories: backoff weights for the chunks' unseen bigrams; answers about counts pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         out, hist, new, stats = Outbox(), [], [], np.zeros(2 * K + 4, dtype=np.int64)
@@ -316,8 +322,9 @@ def by_history(spread: Spread):
             else:
                 (hist if kind == "history" else new).append(x)
         out.add(table.column("part")[0].as_py(), "weight", "stats", x=stats)
+        answers = table.filter(pc.equal(table.column("sort"), "answer"))
         if not new:
-            return out.table()
+            return pa.concat_tables([answers, out.table()])
         total = Totals(stats)
         uh, h = _combine([(sums(x["h"]), x["hi"]) for x in new])
         chunk, slot = np.concatenate([x["chunk"].astype(np.int64)[x["ci"]] for x in new]), np.concatenate([x["slot"].astype(np.int64) for x in new])
@@ -341,7 +348,7 @@ def by_history(spread: Spread):
             edge = np.nonzero((np.diff(chunk[r], prepend=-1) != 0) | (np.diff(h[r], prepend=-1) != 0))[0]
             uc, ic = np.unique(chunk[r[edge]], return_inverse=True)
             out.add(p, "weight", "weights", chunk=uc, ci=ic, alpha=alpha[h[r[edge]]], n=np.diff(edge, append=len(r)), slot=slot[r])
-        return out.table()
+        return pa.concat_tables([answers, out.table()])
 
     return run
 
@@ -359,7 +366,7 @@ def by_chunk(first: pa.Table, second: pa.Table) -> pa.Table:
             for i, chunk in enumerate(x["chunk"].tolist()):
                 some = owner == i
                 weights.setdefault(chunk, []).append((x["slot"][some], alpha[some]))
-    for _, x in opened(first, "answer"):
+    for _, x in opened(second, "answer"):
         answers.setdefault(int(x["chunk"][0]), []).append(x)
     total = Totals(stats)
     # log10 of the discounted count of a class; the others follow from the count
@@ -452,8 +459,8 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
     sent, spread = _sent(docs, held_out, id_col, text_col, chunk)
     words = sent.groupBy("part").applyInArrow(by_word(spread), BLOCKS)
-    # both consumers read one exchange of `words`
-    return words.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), BLOCKS).groupBy("part")).applyInArrow(by_chunk, SCORES)
+    # the tokens are read from the exchange that the partitions of words have read, and written once
+    return sent.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), BLOCKS).groupBy("part")).applyInArrow(by_chunk, SCORES)
 
 
 def store(docs: DataFrame, held_out: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> Totals:
