@@ -1,15 +1,19 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.  Built-in functions only.
 
 A kind's matches are found with `regexp_extract_all` and the text between them with `split` by the same pattern; running sums of
-their lengths give the positions, in code points.  The patterns match exactly what their plain forms (in the comments) match
-leftmost without overlap; possessive repeats and run-start conditions only spare the matcher from trying again what must fail,
-so its time stays linear in the text, and from recursing on long runs.
+their lengths give the positions, in code points.  The patterns of the base kinds match exactly what their plain forms (in the
+comments) match leftmost without overlap; possessive repeats and run-start conditions only spare the matcher from trying again
+what must fail, so its time stays linear in the text, and from recursing on long runs.
+
+An IBAN may be followed by a word or number that could belong to it, or stand after one that looks like a beginning.  So its
+pattern consumes one letter and looks ahead at the longest candidate that ends with a word (15 to 34 characters without spaces);
+of the candidate's beginnings that end with a word the longest one that mod 97 confirms is the span, leftmost without overlap.
 
 Kinds: email, ip, card and phone as validated base kinds, and iban (ISO 13616, mod 97).  A span has a score: its kind's prior, plus
 CONTEXT where one of the kind's words stands within NEAR characters before it.  No validated span is dropped by its score.
 
-Edge cases: null text counts as empty (no spans); detection takes linear time in long texts and many matches, masking reads a text once for each
-of its spans; spans of different kinds may overlap, masking joins them; repeated rows get repeated results; an empty table gives an empty result; other columns pass
+Edge cases: null text counts as empty (no spans); detection takes linear time in long texts and many matches, but reads a text once for each
+of its IBANs, and masking once for each of its spans; spans of different kinds may overlap, masking joins them; repeated rows get repeated results; an empty table gives an empty result; other columns pass
 through (`detect` adds only the column it is asked to).
 """
 
@@ -46,7 +50,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]{4}|[0-9][ -][0-9]", "card|visa|master|credit|karte|carte|tarjeta", 0.6),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", r"phone|call|\btel\b|mobile|telefon|teléfono", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}[ A-Z0-9]", r"iban|account|konto|compte|cuenta", 0.7),
+    # a candidate in group 1: [A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30} between other characters than letters and digits
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]", "[A-Z]{2}[0-9]{2}[ A-Z0-9]", r"iban|account|konto|compte|cuenta", 0.7),
 )
 BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -97,6 +102,31 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _iban_in(candidate: Column) -> Column:
+    """The candidate's longest valid beginning that ends with a word, or null."""
+    words = F.split(candidate, " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    return F.try_element_at(F.filter(heads, lambda x: valid("iban", x)), F.lit(-1))
+
+
+def _iban_spans(k: Kind, rank: int, text: Column, candidates: Column, ends: Column) -> Column:
+    """The spans of all candidates (ends: of the one letter that each of them consumed), leftmost without overlap."""
+    found = F.transform(F.arrays_zip(candidates.alias("c"), ends.alias("e")), lambda x: F.struct((x["e"] - 1).alias("start"), _iban_in(x["c"]).alias("m")))
+
+    def kept(acc: Column, x: Column) -> Column:
+        since = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+        own = F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), since.alias("since"))
+        return F.when(x["start"] >= since, F.concat(acc, F.array(own))).otherwise(acc)
+
+    def span(x: Column) -> Column:
+        near_from = F.greatest(x["since"], x["start"] - NEAR)
+        near = F.lower(F.substring(text, near_from + 1, x["start"] - near_from)).rlike(k.words)
+        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(k.name).alias("kind"), F.when(near, k.prior + CONTEXT).otherwise(k.prior).alias("score"))
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int,since:int>>)")
+    return F.transform(F.aggregate(F.filter(found, lambda x: x["m"].isNotNull()), none, kept), span)
+
+
 def _span_of(k: Kind, rank: int) -> Callable[[Column], Column]:
     """The span of a match (m: match, g: the text since the match before, e: end), or null if the match is not valid."""
 
@@ -117,11 +147,15 @@ def _found(df: DataFrame, text_col: str) -> DataFrame:
     for k in KINDS:  # each step is a projection of its own, so that no regular expression is evaluated twice
         hint = F.contains(text, F.lit(k.hint)) if k.hint == "@" else text.rlike(k.hint)
         found = found.withColumn(f"_m_{k.name}", F.when(hint, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none))
-    found = found.withColumns({f"_g_{k.name}": F.when(F.size(f"_m_{k.name}") > 0, F.split(text, k.pattern, -1)).otherwise(none) for k in KINDS})
+    candidates = {k.name: F.when(F.size(f"_m_{k.name}") > 0, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(1))).otherwise(none) for k in KINDS if k.name == "iban"}
+    found = found.withColumns({f"_g_{k.name}": F.when(F.size(f"_m_{k.name}") > 0, F.split(text, k.pattern, -1)).otherwise(none) for k in KINDS} | {f"_c_{name}": c for name, c in candidates.items()})
     ends = {f"_e_{k.name}": F.when(F.size(f"_m_{k.name}") > 0, running(F.zip_with(f"_m_{k.name}", F.slice(f"_g_{k.name}", F.lit(1), F.size(f"_m_{k.name}")), lambda m, g: F.length(m) + F.length(g)))).otherwise(F.expr("cast(array() as array<int>)")) for k in KINDS}
     found = found.withColumns(ends)
     each = []
     for rank, k in enumerate(KINDS):
+        if k.name in candidates:
+            each.append(_iban_spans(k, rank, text, F.col(f"_c_{k.name}"), F.col(f"_e_{k.name}")))
+            continue
         matches = F.arrays_zip(F.col(f"_m_{k.name}").alias("m"), F.slice(f"_g_{k.name}", F.lit(1), F.size(f"_m_{k.name}")).alias("g"), F.col(f"_e_{k.name}").alias("e"))
         each.append(F.filter(F.transform(matches, _span_of(k, rank)), lambda x: x.isNotNull()))
     spans = F.transform(F.array_sort(F.concat(*each)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))

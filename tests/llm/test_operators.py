@@ -340,6 +340,40 @@ def test_pii(spark, docs, empty):
     assert [r.text for r in out] == ["é <EMAIL>, card <CARD>!", None, "no"]
 
 
+def remainder(iban):
+    bare = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def iban_spans(text):
+    """By brute force: from each beginning, the longest run of words that is valid."""
+    out, at = [], 0
+    while at < len(text):
+        ends = [e for e in range(at + 15, min(len(text), at + 70) + 1) if (e == len(text) or not re.match("[A-Za-z0-9]", text[e])) and re.fullmatch(r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", text[at:e])]
+        good = [e for e in ends if remainder(text[at:e]) == 1]
+        if good and (at == 0 or not re.match("[A-Za-z0-9]", text[at - 1])):
+            out.append((at, max(good)))
+        at = out[-1][1] if out and out[-1][0] == at else at + 1
+    return out
+
+
+def test_iban_before_words(spark):
+    bare, spaced, german = "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    expected = {f"{bare} Please pay": [bare], f"{spaced} Please": [spaced], f"{bare} BIC": [bare], f"{bare} 12 euros": [bare], f"{german} I paid": [german], f"{spaced} A1 {german}": [spaced, german], f"{bare} {german} {spaced}": [bare, german, spaced], f"AB12 {german} Z": [german], f"AB12CD34EF56GH78 {german}": [german], f"{bare}x": [], f"x{bare}": [], f"é\U0001f600 {bare} É": [bare], f"{bare[:-1]}3 Please": []}
+    rng = random.Random(9)
+    bits = [bare, spaced, german, "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "AB12", "A", "7", "Please", "12 euros", "BIC", " ", " ", " ", ".", "é", "\n", "iban "]
+    texts = [*expected, *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(1500)), "AB12 " * 3000, "AB12" * 5000, f"{bare} " * 500]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.detect(frame).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == iban_spans(t), t[:200]
+    for i, t in enumerate(expected):
+        assert [t[a:b] for a, b in found[i]] == expected[t], t
+    scores = pii.detect(spark.createDataFrame([(f"my IBAN AB12 {german} and {spaced} Please",)], "text string")).first().spans
+    assert [(s.kind, s.score) for s in scores if s.kind == "iban"] == [("iban", 0.95), ("iban", 0.7)]
+    assert [r.text for r in pii.mask(spark.createDataFrame([(f"to {bare} Please",)], "text string")).collect()] == ["to <IBAN> Please"]
+
+
 # 8 Katz
 
 
