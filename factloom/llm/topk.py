@@ -3,7 +3,7 @@
 Vectors are grouped by length: at most RANGES ranges of norm (limits from all rows' quantiles), each dealt into buckets of about BUCKET
 rows.  Every query first scores one bounded set, SEEDS vectors of the greatest norm, which gives a lower limit of its k-th best score.  A query
 meets a bucket only if its norm times the bucket's greatest norm reaches that limit.  Within a bucket the limit becomes a local
-cosine threshold, limit / (|q| |p|max), and the bucket takes one of two prunings: where the threshold is low, by length (the
+cosine threshold, limit / (|q| |p|max) (none for limits below zero), and the bucket takes one of two prunings: where the threshold is low, by length (the
 prefix of its vectors, longest first, that can reach the limit), where it is high, by coordinate (the vectors whose component in
 the query's largest coordinate lies in the interval that the threshold allows).  What is left is verified by exact products.
 Queries meet buckets in blocks; a task holds QUERIES queries and one bucket, and returns at most k rows for each query.
@@ -72,7 +72,8 @@ def search_bucket(q: np.ndarray, q_ids: np.ndarray, limit: np.ndarray, p: np.nda
     todo = np.nonzero(reach >= limit)[0]
     if not len(todo):
         return []
-    local = limit[todo] / reach[todo]
+    # below zero, shorter vectors reach the limit at smaller cosines than the longest do: no threshold holds for all
+    local = np.where(limit[todo] < 0, -1.0, limit[todo] / reach[todo])
     out: list[tuple[int, int, int]] = []
 
     def verify(i: int, some: np.ndarray | slice, score: np.ndarray | None = None) -> None:

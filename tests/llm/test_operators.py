@@ -276,6 +276,23 @@ def test_topk(spark, monkeypatch, norms, bucket, steep):
         assert best == [(ids[j], score[j]) for j in order]
 
 
+def test_topk_negative_limit_in_a_cone():
+    rng = np.random.default_rng(5)
+    p = np.column_stack([rng.integers(500, 1001, 60), rng.integers(-20, 21, (60, 3))]).astype(float)
+    q = np.vstack([p[:20], [[-1000.0, 0, 0, 0], [-700.0, 30, 0, 0]]])
+    p_ids, q_ids, k = np.arange(60), np.array([*range(20), 900, 901]), 5
+    score = (q @ p.T).astype(int)
+    score[np.arange(20), np.arange(20)] = -(2**62)  # own id
+    seeds = np.argsort(-np.linalg.norm(p, axis=1), kind="stable")[:30]
+    limit = np.sort(score[:, seeds], axis=1)[:, -k].astype(float)
+    assert (limit[20:] < 0).all() and np.median(limit / (np.linalg.norm(q, axis=1) * np.linalg.norm(p, axis=1).max())) >= topk.STEEP
+    found = collections.defaultdict(list)
+    for a, b, s in topk.search_bucket(q, q_ids, limit, p, p_ids, k):
+        found[a].append((b, s))
+    for i, a in enumerate(q_ids.tolist()):
+        assert sorted(found[a], key=lambda x: (-x[1], x[0])) == [(j, score[i, j]) for j in np.lexsort((p_ids, -score[i]))[:k]]
+
+
 def test_vectors_small(spark):
     _, frame = vectors(spark, 30)
     for run in (lambda f: topk.exact_top(f, 10, 5), lambda f: ann.nearest(f, 10, 5)):
