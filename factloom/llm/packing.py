@@ -41,14 +41,14 @@ def encoder(path: str, ranks_path: str | None):
     """texts -> list of id lists, equal to tokenizers' encode_batch(texts, add_special_tokens=False).
 
     Where the same vocabulary is at hand as ranks, texts of plain code points are encoded by the ranks, which gives the same
-    ids at a third of the CPU time; all other texts go through tokenizers.
+    ids at a third of the CPU time; all other texts, and those that hold an added token's string, go through tokenizers.
     """
     if (path, ranks_path) not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(path)
-        full.encode_special_tokens = True
+        added = [x.content for x in full.get_added_tokens_decoder().values()]
         fast = None
         if ranks_path:
             import base64
@@ -61,7 +61,7 @@ def encoder(path: str, ranks_path: str | None):
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(texts: list[str]) -> list[list[int]]:
-            plain = [fast is not None and PLAIN.fullmatch(x) is not None for x in texts]
+            plain = [fast is not None and PLAIN.fullmatch(x) is not None and not any(t in x for t in added) for x in texts]
             other = iter(full.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
             return [fast.encode_ordinary(x) if p else next(other).ids for x, p in zip(texts, plain, strict=True)]
 

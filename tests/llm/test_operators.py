@@ -133,6 +133,15 @@ def test_fast_encoder_equals_tokenizers():
     assert fast(texts) == full(texts)
 
 
+def test_added_tokens_are_encoded_as_by_default():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "日本語<|endoftext|><|endoftext|>x", "<|endoftext |>", "plain"]
+    expected = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 220, 50256, 275]
+    for ranks in (public_tokenizers.path("byte_bpe_50k.tiktoken"), None):
+        assert packing.encoder(path, ranks)(texts) == expected
+
+
 # 3 WARC
 
 
