@@ -3,14 +3,14 @@
 The trees are fitted on the driver on a bounded sample (SAMPLE rows) of the unit vectors: a node's direction is random, its cut the
 median of its points' projections.  Every row is then indexed: it goes to one leaf of each tree.  A query searches all trees
 through one shared priority queue, ordered by the squared margins by which it misses a node's cuts, and takes leaves until they
-hold PROBE of the sample.  Queries and rows meet by leaf; a leaf of many rows is dealt to several tasks.  Candidates
+hold PROBE of the sample, or LEAST points where that is more.  Queries and rows meet by leaf; a leaf of many rows is dealt to several tasks.  Candidates
 are scored exactly on the original vectors in doubles, and a task returns at most k rows for each query.
 
 Copies of one vector would all meet in one leaf.  They have the same score and ties go to the smaller id, so of equal vectors
 only the k + 1 smallest ids can be in a result (one may be the query itself); only those are indexed, all of them are queries.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of unlike lengths are padded
-with zeros; fewer than k candidates found: all that were; repeated ids are rows like any other, but a query never meets rows of its own id;
+with zeros; fewer than k candidates found: all that were; repeated ids count once, with the best score of their rows, and a query never meets rows of its own id;
 an empty table gives an empty result; other columns are not read.
 """
 
