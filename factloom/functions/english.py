@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +18,8 @@ DONE = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed"
 STEP2 = {"ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion", "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al", "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble", "ogi": "og", "li": ""}
 STEP3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic", "ness": "", "ful": ""}
 STEP4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
-STOP = frozenset(
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with "
-    "i me my we our you your he him his she her its them what which who whom am were been being have has had do does did so than too very".split()
-)
+#: A word: letters and digits, with one apostrophe within.
+TOKEN = r"[\p{L}\p{N}]++(?:'[\p{L}\p{N}]++)?"
 
 VOWELS = "aeiouy"
 R1 = re.compile(r"^(?:gener|commun|arsen)|[aeiouy][^aeiouy]")
@@ -88,17 +87,42 @@ def stem(word: str) -> str:
     return word.lower()
 
 
+@lru_cache(maxsize=1)
+def stop_words() -> frozenset[str]:
+    """Spark's own list for English; asked of the running session."""
+    return frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def terms(text: str) -> list[str]:
     """Stems of a text, in order, without stop words."""
-    return [stem(w) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", text.lower()) if w not in STOP]
+    return [stem(w) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", text.lower()) if w not in stop_words()]
+
+
+def content_words(low: Column) -> Column:
+    """Words of a lower-cased text, in order, without stop words."""
+    return F.filter(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*sorted(stop_words())))
+
+
+def candidate(stems_: list[str]) -> Callable[[Column], Column]:
+    """Whether a word can have one of the stems: stemming changes no more than a stem's last letter, but for the special words."""
+    heads = sorted({s[:-1] for s in stems_})
+    special = [w for w, s in SPECIAL.items() if s in stems_]
+
+    def near(word: Column) -> Column:
+        out = word.isin(*special) if special else F.lit(False)
+        for head in heads:
+            out = out | word.startswith(head)
+        return out
+
+    return near
 
 
-def analysed(text: Column) -> Column:
-    """array<string> of stems; null for null."""
+def stems(words: Column) -> Column:
+    """array<string> of the words' stems."""
 
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([None if x is None else terms(x) for x in part], dtype=object)
+            yield pd.Series([None if x is None else [stem(w) for w in x] for x in part], dtype=object)
 
-    return run(text)
+    return run(words)

@@ -46,8 +46,8 @@ def listing(registry: DataFrame, live: DataFrame, threads: DataFrame, now: Colum
 
 
 def by_status(listed: DataFrame) -> DataFrame:
-    """(status, paths): the project paths of each status, sorted."""
-    return listed.groupBy("status").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    """(status, path) rows; an array a status is made only by who answers with one."""
+    return listed.select("status", "path")
 
 
 def preferred(local: DataFrame, shared: DataFrame, key: str) -> DataFrame:

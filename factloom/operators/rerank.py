@@ -152,6 +152,22 @@ def features_of(model: Reranker, query: Column, fact: Column) -> Column:
     return run(query, fact)
 
 
+def predicted_of(model: Reranker, query: Column, fact: Column) -> Column:
+    """struct<mean, variance> for two vector columns of the model's dimension; null where a vector is null or of another length."""
+
+    @F.pandas_udf("mean double, variance double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for phi in parts:
+            out = np.full((len(phi), 2), np.nan)
+            good = phi.notna().to_numpy()
+            if good.any():
+                out[good] = np.stack(model.predict(np.stack(phi[good].to_list())), axis=1)
+            yield pd.DataFrame(out, columns=["mean", "variance"])
+
+    phi = features_of(model, query, fact)
+    return F.when(phi.isNotNull(), run(phi))
+
+
 def mean_of(model: Reranker, query: list[float], fact: Column) -> Column:
     """The posterior mean for each fact vector; null where the vector is null or of another length than the query."""
     q = np.asarray(query, dtype=float)

@@ -13,6 +13,7 @@ from factloom.functions import belief, text, vectors
 from factloom.functions import english as analysis
 from factloom.operators.rerank import Reranker, reranked
 from factloom.operators.windows import top
+from factloom.sources.shared import kept
 
 RRF_K = 60
 LEXICAL_FACTOR = 3
@@ -45,21 +46,22 @@ def terms_of(query: str) -> list[str]:
 def lexical(facts: DataFrame, query: str, limit: int | None = None, with_context: bool = True, english: bool = False) -> DataFrame:
     """(project_id, ord, bm25, rank): Okapi BM25 within each project, facts with a matching term only.
 
-    Only the query's terms are counted, in place; what is shuffled for the statistics is one partial row a project.  With
-    `english`, stop words go and stems are compared.
+    Texts are read once: of each fact its length and its counts of the query's terms are kept, which statistics (one partial row a
+    project) and scores are then made of.  With `english`, stop words go and stems are compared.
     """
     body = text.searchable(F.col("content"), F.col("context_window")) if with_context else F.col("content")
-    body = F.coalesce(body, F.lit(""))
+    low = F.lower(F.coalesce(body, F.lit("")))
     if english:
         terms = list(dict.fromkeys(analysis.terms(query)))
-        found = facts.select(*KEY, analysis.analysed(body).alias("_words"))
-        found = found.select(*KEY, F.size("_words").alias("_dl"), F.filter("_words", lambda x: x.isin(terms)).alias("_hits"))
+        # words that can have a stem of the query are few: only they are stemmed
+        words = facts.select(*KEY, analysis.content_words(low).alias("_words"))
+        found = words.select(*KEY, F.size("_words").alias("_dl"), F.filter("_words", analysis.candidate(terms)).alias("_near"))
+        found = found.select(*KEY, "_dl", F.when(F.size("_near") > 0, analysis.stems(F.col("_near"))).otherwise(F.col("_near")).alias("_hits"))
     else:
         terms = terms_of(query)
-        low = F.lower(body)
-        some = "(?<![a-z0-9])(?:" + "|".join(terms or ["(?!)"]) + ")(?![a-z0-9])"
-        found = facts.select(*KEY, F.size(text.words(body)).alias("_dl"), F.regexp_extract_all(low, F.lit(some), F.lit(0)).alias("_hits"))
-    counted = found.select(*KEY, "_dl", *(F.size(F.filter("_hits", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)))
+        words = facts.select(*KEY, F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)).alias("_words"))
+        found = words.select(*KEY, F.size("_words").alias("_dl"), F.filter("_words", lambda x: x.isin(terms)).alias("_hits"))
+    counted = kept(found.select(*KEY, "_dl", *(F.size(F.filter("_hits", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms))))
     stats = counted.groupBy("project_id").agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import belief, text, vectors
 from factloom.operators import cache, catalog, feedback, ingest, search
-from factloom.operators.rerank import Reranker, features_of, stats_of
-from factloom.operators.windows import top
-from factloom.plans.tables import FACTS_SQL, QUERY_TEXT, facts, lexical_sql, query_vector, sessions, table
+from factloom.operators.rerank import Reranker, features_of, predicted_of, stats_of
+from factloom.operators.windows import numbered, top
+from factloom.plans.tables import FACTS_SQL, QUERY_TEXT, SESSIONS_SQL, facts, lexical_sql, query_vector, sessions, table
 from factloom.sources import documents
 from factloom.sources.shared import working_dir
 from factloom.streaming import feedback as stream
@@ -121,13 +121,13 @@ def hybrid_search_cross_project(spark, sf_dir):
     return hits.join(rows.select("project_id", "ord", "content"), ["project_id", "ord"]).select("project_id", "ord", six("score"), "content")
 
 
-@query(FACTS_SQL + ", s AS (SELECT conv_id AS project_id, 'turns: ' || count(*) AS summary FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id) SELECT project_id, ord, category, summary AS session_summary FROM facts LEFT JOIN s USING (project_id)")
+@query(FACTS_SQL + f", {SESSIONS_SQL} SELECT project_id, ord, category, summary AS session_summary FROM facts LEFT JOIN s USING (project_id)")
 def session_summary_join(spark, sf_dir):
     rows, own = facts(spark, sf_dir, context=False), sessions(spark, sf_dir)
     return rows.join(own, ["project_id", "session_id"], "left").select("project_id", "ord", "category", F.col("summary").alias("session_summary"))
 
 
-@query(fused_sql(LIMIT) + ", s AS (SELECT conv_id AS project_id, 'turns: ' || count(*) AS summary FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id) SELECT project_id, rank, fact_id, content, category, round(score, 6) AS score, array_to_string(context_window, '|') AS context, summary AS session_summary, 0.5::DOUBLE AS utility_mean, 0::BIGINT AS access_count, TIMESTAMP '2025-01-01' AS created_at FROM best JOIN facts USING (project_id, ord) LEFT JOIN s USING (project_id) WHERE rank <= 5")
+@query(fused_sql(LIMIT) + f", {SESSIONS_SQL} SELECT project_id, rank, fact_id, content, category, round(score, 6) AS score, array_to_string(context_window, '|') AS context, summary AS session_summary, 0.5::DOUBLE AS utility_mean, 0::BIGINT AS access_count, TIMESTAMP '2025-01-01' AS created_at FROM best JOIN facts USING (project_id, ord) LEFT JOIN s USING (project_id) WHERE rank <= 5")
 def search_result_projection(spark, sf_dir):
     rows = facts(spark, sf_dir).withColumns({"utility": F.expr("named_struct('alpha', 1f, 'beta', 1f, 'decay_rate', 0f)"), "access_count": F.lit(0).cast("long"), "created_at": F.lit(NOW).cast("timestamp")})
     found = search.results(search.hybrid(rows, query_vector(spark, sf_dir), QUERY_TEXT, LIMIT), rows, sessions(spark, sf_dir))
@@ -156,13 +156,9 @@ def predict_sql(version: int) -> str:
 
 
 def predicted(spark, sf_dir, version):
-    model, q = weights(version), vectors.literal(query_vector(spark, sf_dir)).cast("array<float>")
-    rows = facts(spark, sf_dir, context=False).where("embedding IS NOT NULL").select("project_id", "ord", features_of(model, q, F.col("embedding")).alias("phi"))
-    mean = F.aggregate(F.zip_with("phi", vectors.literal(model.mu), lambda x, m: x * m), F.lit(model.bias), lambda acc, x: acc + x)
-    a, b = F.col("phi")[0], F.col("phi")[1]
-    s = model.sigma
-    variance = F.greatest(a * a * s[0, 0] + a * b * (s[0, 1] + s[1, 0]) + b * b * s[1, 1] + model.sigma_sq, F.lit(1e-8))
-    return rows.select("project_id", "ord", F.round(mean, 6).alias("mean"), F.round(variance, 6).alias("variance"))
+    q = vectors.literal(query_vector(spark, sf_dir)).cast("array<float>")
+    rows = facts(spark, sf_dir, context=False).where("embedding IS NOT NULL").select("project_id", "ord", predicted_of(weights(version), q, F.col("embedding")).alias("p"))
+    return rows.select("project_id", "ord", F.round("p.mean", 6).alias("mean"), F.round("p.variance", 6).alias("variance"))
 
 
 @query(predict_sql(1))
@@ -218,21 +214,34 @@ def bll_posterior(spark, sf_dir):
 
 
 def search_log(spark, sf_dir):
-    """A search in each project: it returned the facts of even turns."""
+    """A search in each project, which returned all of its facts."""
     q = vectors.literal(query_vector(spark, sf_dir)).cast("array<float>")
-    rows = facts(spark, sf_dir, context=False).where("ord % 2 = 0")
+    rows = facts(spark, sf_dir, context=False)
     return rows.groupBy("project_id").agg(F.collect_list("fact_id").alias("returned_fact_ids")).select(F.concat(F.lit("s"), F.col("project_id").cast("string")).alias("search_id"), "project_id", q.alias("query_embedding"), "returned_fact_ids")
 
 
-@query(FACTS_SQL + """, recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord DESC) AS n FROM facts) WHERE n <= 3 AND embedding IS NOT NULL),
+def reward_sql(other: str) -> str:
+    return FACTS_SQL + f""", recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord DESC) AS n FROM facts) WHERE n <= 50 AND embedding IS NOT NULL),
 s AS (SELECT f.project_id, f.fact_id, greatest(0, coalesce(max(list_dot_product(f.embedding, r.embedding) / sqrt(list_dot_product(f.embedding, f.embedding) * list_dot_product(r.embedding, r.embedding))), 0)) AS similarity
-  FROM facts f LEFT JOIN recent r ON r.project_id = f.project_id AND r.fact_id <> f.fact_id WHERE f.ord % 2 = 0 AND f.embedding IS NOT NULL GROUP BY ALL)
-SELECT 's' || project_id AS search_id, fact_id, round(similarity, 6) AS similarity, round(CASE WHEN similarity > 0.55 THEN similarity ELSE 0 END, 6) AS reward FROM s WHERE similarity > 0.55 OR similarity < 0.3""")
-def feedback_reward(spark, sf_dir):
-    found = feedback.rewards(search_log(spark, sf_dir), facts(spark, sf_dir, context=False), recent=3, exclude_self=True)
+  FROM facts f LEFT JOIN recent r ON r.project_id = f.project_id {other} WHERE f.embedding IS NOT NULL GROUP BY ALL)
+SELECT 's' || project_id AS search_id, fact_id, round(similarity, 6) AS similarity, round(CASE WHEN similarity > 0.55 THEN similarity ELSE 0 END, 6) AS reward FROM s WHERE similarity > 0.55 OR similarity < 0.3"""
+
+
+def rewarded(spark, sf_dir, exclude_self):
+    found = feedback.rewards(search_log(spark, sf_dir), facts(spark, sf_dir, context=False), exclude_self=exclude_self)
     return found.select("search_id", "fact_id", six("similarity"), six("reward"))
 
 
+@query(reward_sql(""))
+def feedback_reward(spark, sf_dir):
+    return rewarded(spark, sf_dir, False)
+
+
+@query(reward_sql("AND r.fact_id <> f.fact_id"))
+def feedback_reward_exclude_self(spark, sf_dir):
+    return rewarded(spark, sf_dir, True)
+
+
 # Saving
 
 
@@ -274,10 +283,10 @@ def order_sessions(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), (F.row_number().over(own) - 1).alias("ord"), F.col("o_orderpriority").alias("summary"), (F.col("o_orderkey") % 7).cast("long").alias("facts_count"), F.col("o_orderdate").alias("created_at"))
 
 
-SESSIONS_SQL = "s AS (SELECT o_custkey AS project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ord, o_orderpriority AS summary, o_orderkey % 7 AS facts_count, o_orderdate AS created_at FROM orders), rs AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord DESC) AS recency FROM s)"
+ORDER_SESSIONS_SQL = "s AS (SELECT o_custkey AS project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ord, o_orderpriority AS summary, o_orderkey % 7 AS facts_count, o_orderdate AS created_at FROM orders), rs AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord DESC) AS recency FROM s)"
 
 
-@query("WITH " + SESSIONS_SQL + "SELECT project_id, recency, summary, facts_count, created_at FROM rs WHERE recency <= 5")
+@query("WITH " + ORDER_SESSIONS_SQL + "SELECT project_id, recency, summary, facts_count, created_at FROM rs WHERE recency <= 5")
 def recent_sessions(spark, sf_dir):
     return catalog.recent_sessions(order_sessions(spark, sf_dir)).select("project_id", "recency", "summary", "facts_count", "created_at")
 
@@ -316,7 +325,7 @@ def recent_decisions(spark, sf_dir):
     return catalog.recent_decisions(item_facts(spark, sf_dir)).select("project_id", "recency", "content")
 
 
-@query("WITH " + SESSIONS_SQL + "," + ITEMS_SQL + """SELECT s_suppkey AS project_id, s_name AS architecture,
+@query("WITH " + ORDER_SESSIONS_SQL + "," + ITEMS_SQL + """SELECT s_suppkey AS project_id, s_name AS architecture,
   coalesce((SELECT string_agg(summary || ':' || facts_count, ',' ORDER BY recency) FROM rs WHERE rs.project_id = s_suppkey AND recency <= 5), '') AS recent_sessions,
   coalesce((SELECT string_agg(content, ',' ORDER BY recency) FROM rd WHERE rd.project_id = s_suppkey AND recency <= 10), '') AS recent_decisions,
   (SELECT count(*) FROM f WHERE f.project_id = s_suppkey) AS total_facts, (SELECT count(*) FROM s WHERE s.project_id = s_suppkey) AS total_sessions FROM supplier""")
@@ -335,11 +344,11 @@ PATH_SQL = "'/home/' || c_nationkey || '/p' || c_custkey"
 
 
 def registered(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), project_path().alias("last_known_path"), F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(c_custkey % 300 AS int))").alias("last_seen"))
+    return table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), project_path().alias("last_known_path"), F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(c_custkey % 300 AS int))").alias("last_seen"))
 
 
 def live_paths(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_nationkey % 4 <> 0").select(project_path().alias("path"))
+    return table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(project_path().alias("path"))
 
 
 def stored_threads(spark, sf_dir):
@@ -353,57 +362,53 @@ def listed(spark, sf_dir):
 
 LISTING_SQL = f"""
 WITH t AS (SELECT {PATH_SQL} AS path, c_custkey, count(*) AS facts_count, min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at, bool_or(o_orderstatus = 'F') AS has_architecture FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-r AS (SELECT c_custkey, {PATH_SQL} AS path, c_name AS name, CASE WHEN c_nationkey % 4 <> 0 THEN 'valid' ELSE 'invalid' END AS status, TIMESTAMP '2024-01-01' + to_days((c_custkey % 300)::INT) AS last_seen FROM customer WHERE c_custkey % 3 <> 0),
+r AS (SELECT c_custkey, {PATH_SQL} AS path, c_name AS name, CASE WHEN c_acctbal >= 0 THEN 'valid' ELSE 'invalid' END AS status, TIMESTAMP '2024-01-01' + to_days((c_custkey % 300)::INT) AS last_seen FROM customer WHERE c_mktsegment <> 'BUILDING'),
 listed AS (
   SELECT r.path, name, status, CASE WHEN status = 'valid' THEN coalesce(facts_count, 0) ELSE 0 END AS facts_count, CASE WHEN status = 'invalid' THEN last_seen ELSE coalesce(created_at, TIMESTAMP '{NOW}') END AS created_at,
     CASE WHEN status = 'invalid' THEN last_seen ELSE coalesce(updated_at, TIMESTAMP '{NOW}') END AS updated_at, status = 'valid' AND coalesce(has_architecture, false) AS has_architecture FROM r LEFT JOIN t USING (path)
-  UNION ALL SELECT path, 'p' || t.c_custkey, CASE WHEN c_nationkey % 4 <> 0 THEN 'valid' ELSE 'invalid' END, facts_count, created_at, updated_at, has_architecture FROM t JOIN customer c ON c.c_custkey = t.c_custkey WHERE t.c_custkey % 3 = 0)
+  UNION ALL SELECT path, 'p' || t.c_custkey, CASE WHEN c_acctbal >= 0 THEN 'valid' ELSE 'invalid' END, facts_count, created_at, updated_at, has_architecture FROM t JOIN customer c ON c.c_custkey = t.c_custkey WHERE c_mktsegment = 'BUILDING')
 """
 
 
-@query(LISTING_SQL + "SELECT *, row_number() OVER (ORDER BY updated_at DESC, path) AS place FROM listed ORDER BY place LIMIT 100")
+@query(LISTING_SQL + "SELECT *, row_number() OVER (ORDER BY updated_at DESC, path) AS place FROM listed")
 def project_listing(spark, sf_dir):
-    newest_first = listed(spark, sf_dir).orderBy(F.desc("updated_at"), "path").limit(100)
-    return newest_first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "path")).cast("long"))
+    return numbered(listed(spark, sf_dir), [F.desc("updated_at"), "path"])
 
 
-@query(LISTING_SQL + "SELECT status, count(*) AS n, md5(string_agg(path, ',' ORDER BY path)) AS paths FROM listed GROUP BY status")
+@query(LISTING_SQL + "SELECT status, path FROM listed")
 def valid_invalid_split(spark, sf_dir):
-    return catalog.by_status(listed(spark, sf_dir)).select("status", F.size("paths").cast("long").alias("n"), F.md5(F.array_join("paths", ",")).alias("paths"))
+    return catalog.by_status(listed(spark, sf_dir))
 
 
 @query(f"""
-WITH r AS (SELECT c_custkey AS project_id, c_name AS name, {PATH_SQL} AS path, TIMESTAMP '2024-01-01' + to_days((c_custkey % 300)::INT) AS last_seen FROM customer WHERE c_custkey % 3 <> 0),
-m AS (SELECT o_custkey AS project_id, max((o_orderdate, 'order ' || o_orderkey, '/moved/' || o_orderkey)) AS x FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+WITH r AS (SELECT c_custkey AS project_id, c_name AS name, {PATH_SQL} AS path, TIMESTAMP '2024-01-01' + to_days((c_custkey % 300)::INT) AS last_seen FROM customer WHERE c_mktsegment <> 'BUILDING'),
+m AS (SELECT o_custkey AS project_id, max((o_orderdate, 'order ' || o_orderkey, '/moved/' || o_orderkey)) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT coalesce(m.project_id, r.project_id) AS project_id, CASE WHEN m.x IS NULL THEN name ELSE struct_extract(x, 2) END AS name, CASE WHEN m.x IS NULL THEN path ELSE struct_extract(x, 3) END AS last_known_path, CASE WHEN m.x IS NULL THEN last_seen ELSE struct_extract(x, 1) END AS last_seen FROM r FULL JOIN m ON m.project_id = r.project_id""")
 def path_fix_upsert(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
-    seen = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("project_id"), F.concat(F.lit("order "), key).alias("name"), F.concat(F.lit("/moved/"), key).alias("last_known_path"), F.col("o_orderdate").alias("last_seen"))
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("project_id"), F.concat(F.lit("order "), key).alias("name"), F.concat(F.lit("/moved/"), key).alias("last_known_path"), F.col("o_orderdate").alias("last_seen"))
     return catalog.upserted(registered(spark, sf_dir), seen)
 
 
-@query("SELECT s_suppkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'local' ELSE 'global' END AS place, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE -s_acctbal END AS value FROM supplier")
+@query("SELECT s_suppkey AS path, CASE WHEN s_acctbal >= 0 THEN 'local' ELSE 'global' END AS place, CASE WHEN s_acctbal >= 0 THEN s_acctbal ELSE -s_acctbal END AS value FROM supplier")
 def local_global_fallback(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    local = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("path"), F.lit("local").alias("place"), F.col("s_acctbal").alias("value"))
+    local = s.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("path"), F.lit("local").alias("place"), F.col("s_acctbal").alias("value"))
     return catalog.preferred(local, s.select(F.col("s_suppkey").alias("path"), F.lit("global").alias("place"), (-F.col("s_acctbal")).alias("value")), "path")
 
 
-@query("""WITH u AS (SELECT user_id, event_type, count(*) AS access_count, max(ts) AS last_used_at FROM events GROUP BY ALL), t AS (SELECT DISTINCT event_type FROM events)
-SELECT c_custkey AS project_id, t.event_type AS fact_id, coalesce(access_count, 0) AS access_count, last_used_at FROM customer CROSS JOIN t LEFT JOIN u ON u.user_id = c_custkey AND u.event_type = t.event_type""")
+@query("SELECT l_suppkey AS project_id, l_partkey AS fact_id, count(*) FILTER (WHERE l_returnflag = 'R') AS access_count, max(l_shipdate) FILTER (WHERE l_returnflag = 'R') AS last_used_at FROM lineitem GROUP BY ALL")
 def access_tracking(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    kinds = F.explode(F.array(*(F.lit(r[0]) for r in events.select("event_type").distinct().orderBy("event_type").collect())))
-    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), kinds.alias("fact_id"))
-    log = events.select(F.col("user_id").alias("project_id"), F.col("event_type").alias("fact_id"), F.col("ts").alias("used_at"))
-    return catalog.with_usage(known, log)
+    """Parts as facts of their suppliers; a returned item is a use."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("project_id"), F.col("l_partkey").alias("fact_id"), F.col("l_shipdate").alias("used_at"), "l_returnflag")
+    return catalog.with_usage(items.select("project_id", "fact_id").distinct(), items.where("l_returnflag = 'R'"))
 
 
-@query("""WITH c AS (SELECT md5(text) AS key, max(doc_id) AS cached FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY 1)
+@query("""WITH c AS (SELECT md5(text) AS key, max(doc_id) AS cached FROM documents WHERE lang = 'en' AND text IS NOT NULL GROUP BY 1)
 SELECT doc_id, md5(text) AS key, cached IS NOT NULL AS hit, cached FROM documents LEFT JOIN c ON key = md5(text)""")
 def embedding_cache_lookup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    written = docs.where("doc_id % 2 = 0 AND text IS NOT NULL").select(text.cache_key(F.col("text")).alias("key"), F.array(F.col("doc_id").cast("double")).alias("embedding"), F.col("doc_id").alias("pos"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    written = docs.where("lang = 'en' AND text IS NOT NULL").select(text.cache_key(F.col("text")).alias("key"), F.array(F.col("doc_id").cast("double")).alias("embedding"), F.col("doc_id").alias("pos"))
     found = cache.looked_up(docs, cache.latest(written))
     return found.select("doc_id", F.lower(F.hex("key")).alias("key"), "hit", F.col("embedding")[0].cast("long").alias("cached"))
 

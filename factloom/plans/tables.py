@@ -1,7 +1,7 @@
 """The memory store's tables as views over the test data.
 
-A conversation is a project with one session, a turn a fact, its role the category.  Vectors are attached by a slot number that
-both sides compute, so that no global order is needed; some slots have none, which leaves facts without a vector.
+A conversation is a project with one session, a turn a fact, its role the category.  The facts of all roles but `system` are numbered,
+the vectors too, and fact i has vector i modulo their number: where there are as many facts as vectors, every vector takes part.
 """
 
 from __future__ import annotations
@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.windows import with_context
+from factloom.operators.windows import numbered, with_context
 
-SLOTS = 1009
 QUERY_TEXT = "the that of and heed tion"
 
 
@@ -19,38 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vectors_by_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slot, embedding): at most SLOTS rows."""
-    return table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").groupBy(F.pmod("vec_id", F.lit(SLOTS)).alias("slot")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-
-
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector of the smallest id."""
     return table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").agg(F.min_by("embedding", "vec_id")).first()[0]
 
 
 def facts(spark: SparkSession, sf_dir: str, context: bool = True) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("ord"), F.col("conv_id").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("fact_id"), F.col("text").alias("content"), F.col("role").alias("category"))
-    rows = rows.withColumn("slot", F.pmod(F.col("project_id") * 31 + F.col("ord") * 7, F.lit(SLOTS)))
-    rows = rows.join(vectors_by_slot(spark, sf_dir), "slot", "left").drop("slot")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("ord"), F.col("conv_id").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("fact_id"), F.col("text").alias("content"), F.col("role").alias("category"))
+    vectors = numbered(table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding"), ["vec_id"], "slot").drop("vec_id")
+    rows = numbered(turns, [F.col("category") == "system", "project_id", "ord", "category", "content"], "slot")
+    many = vectors.count()
+    slot = F.when(F.col("category") != "system", (F.col("slot") - 1) % many + 1) if many else F.lit(None).cast("long")
+    rows = rows.withColumn("slot", slot).join(vectors, "slot", "left").drop("slot")
     return with_context(rows) if context else rows
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session for each even conversation; its summary tells how many turns it has."""
-    own = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return own.select(F.col("conv_id").alias("project_id"), F.col("conv_id").alias("session_id"), F.concat(F.lit("turns: "), F.col("n").cast("string")).alias("summary"))
+    """A session for each conversation that has a turn of the system; its summary tells how many turns it has."""
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.col("role") == "system").alias("briefed"))
+    return own.where("briefed").select(F.col("conv_id").alias("project_id"), F.col("conv_id").alias("session_id"), F.concat(F.lit("turns: "), F.col("n").cast("string")).alias("summary"))
 
 
 #: The same views in DuckDB.
-FACTS_SQL = f"""
+FACTS_SQL = """
 WITH q AS (SELECT arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings WHERE embedding IS NOT NULL),
-slots AS (SELECT vec_id % {SLOTS} AS slot, arg_min(embedding, vec_id)::DOUBLE[] AS embedding FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1),
+slots AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, embedding::DOUBLE[] AS embedding FROM embeddings WHERE embedding IS NOT NULL),
+turns AS (SELECT *, CASE WHEN role <> 'system' THEN (row_number() OVER (ORDER BY role = 'system' NULLS FIRST, conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) % (SELECT count(*) FROM slots) END AS slot FROM conversations),
 facts AS (
   SELECT c.conv_id AS project_id, c.turn AS ord, c.conv_id AS session_id, c.conv_id || '-' || c.turn AS fact_id, c.text AS content, c.role AS category, s.embedding,
     coalesce(list(c.text) OVER (PARTITION BY c.conv_id ORDER BY c.turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), [])
       || coalesce(list(c.text) OVER (PARTITION BY c.conv_id ORDER BY c.turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), []) AS context_window
-  FROM conversations c LEFT JOIN slots s ON s.slot = (c.conv_id * 31 + c.turn * 7) % {SLOTS}),
+  FROM turns c LEFT JOIN slots s ON s.slot = c.slot),
 cosines AS (SELECT f.*, list_dot_product(f.embedding, q.q) / (sqrt(list_dot_product(f.embedding, f.embedding)) * sqrt(list_dot_product(q.q, q.q))) AS cosine FROM facts f, q WHERE f.embedding IS NOT NULL),
 dense AS (SELECT project_id, ord, cosine, row_number() OVER (PARTITION BY project_id ORDER BY round(cosine, 9) DESC, ord) AS rank FROM cosines WHERE cosine >= 0.15)
 """
@@ -72,3 +70,7 @@ scores AS (SELECT t.project_id, t.ord, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 ranked_bm25 AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY round(bm25, 9) DESC, ord) AS rank FROM scores),
 {name} AS (SELECT * FROM ranked_bm25{cut})
 """
+
+
+#: Summaries of the sessions, by project.
+SESSIONS_SQL = "s AS (SELECT conv_id AS project_id, 'turns: ' || count(*) AS summary FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system'))"

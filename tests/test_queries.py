@@ -1,12 +1,16 @@
 """Every registered query against its oracle on the smallest tables."""
 
+import collections
+import math
 from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
 
+from factloom.functions import english
 from factloom.plans import registry
+from factloom.plans.tables import QUERY_TEXT
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +50,24 @@ def test_thompson_draws_repeat(spark):
         pytest.skip("no test data")
     run = registry.queries()["thompson_blend"]
     assert plain(run(spark, SF).toPandas()) == plain(run(spark, SF).toPandas())
+
+
+def test_english_search_by_brute_force(spark):
+    if not Path(SF).exists():
+        pytest.skip("no test data")
+    asked = list(dict.fromkeys(english.terms(QUERY_TEXT + " anding")))
+    by = collections.defaultdict(dict)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        by[r.source][r.doc_id] = english.terms(r.text or "")
+    expected = set()
+    for source, docs in by.items():
+        mean, score = sum(map(len, docs.values())) / len(docs), collections.Counter()
+        for term in asked:
+            df = sum(term in words for words in docs.values())
+            for i, words in docs.items():
+                if tf := words.count(term):
+                    score[i] += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:20]
+        expected |= {(source, i, f"{score[i]:.6f}", n) for n, i in enumerate(best, 1)}
+    found = registry.queries()["english_search"](spark, SF).collect()
+    assert {(r.project_id, r.ord, f"{r.bm25:.6f}", r.rank) for r in found} == expected and expected

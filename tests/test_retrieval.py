@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from factloom.functions import belief, english, text, vectors
 from factloom.functions.embedding import HashingEmbedder, embedded
 from factloom.operators import cache, feedback, search
-from factloom.operators.rerank import Reranker, Stats, decode, decode_posterior, encode, encode_posterior, stats_of, try_load
-from factloom.operators.windows import with_context
+from factloom.operators.rerank import Reranker, Stats, decode, decode_posterior, encode, encode_posterior, predicted_of, stats_of, try_load
+from factloom.operators.windows import numbered, with_context
 from factloom.sources.vectors import cache_records, scan_cache
 
 FACTS = "project_id string, ord long, content string, embedding array<float>, context_window array<string>"
@@ -19,7 +20,7 @@ FACTS = "project_id string, ord long, content string, embedding array<float>, co
 
 @pytest.fixture(scope="module")
 def facts(spark):
-    rows = [("p", 0, "rust programming", [1.0, 0.0, 0.0], []), ("p", 1, "python programming", [0.9, 0.1, 0.0], []), ("p", 2, "cooking recipes", [0.0, 0.0, 1.0], [])]
+    rows = [("p", 0, "tide tables", [2.0, 0.0, 0.0], []), ("p", 1, "moon tables", [3.0, 1.0, 0.0], []), ("p", 2, "sail repair", [0.0, -1.0, 5.0], [])]
     return spark.createDataFrame(rows, FACTS)
 
 
@@ -37,19 +38,19 @@ def test_dense_only(facts):
 
 def test_empty_store(facts):
     none = facts.where("false")
-    assert search.hybrid(none, [1.0, 0.0, 0.0], "rust", 10, 0.0).count() == 0
+    assert search.hybrid(none, [1.0, 0.0, 0.0], "tide", 10, 0.0).count() == 0
     assert search.hybrid(none, [1.0, 0.0, 0.0], "", 10, 0.0, fixture(2, 3)).count() == 0
 
 
 def test_context_is_searched(spark):
-    rows = spark.createDataFrame([("p", 0, "rust programming", None, ["cargo build system", "memory safety"])], FACTS)
-    assert search.lexical(rows, "cargo").count() == 1 and search.lexical(rows, "cargo", with_context=False).count() == 0
+    rows = spark.createDataFrame([("p", 0, "tide tables", None, ["printed in the harbour", "read at dawn"])], FACTS)
+    assert search.lexical(rows, "dawn").count() == 1 and search.lexical(rows, "dawn", with_context=False).count() == 0
 
 
 def test_hybrid_is_bounded_and_ignores_row_order(facts):
-    found = search.hybrid(facts, [1.0, 0.0, 0.0], "rust programming", 3, 0.0).orderBy("rank").collect()
+    found = search.hybrid(facts, [1.0, 0.0, 0.0], "tide tables", 3, 0.0).orderBy("rank").collect()
     assert found[0].score == pytest.approx(2 / 61) and max(r.score for r in found) <= 2 / 61 + 1e-12
-    turned = search.hybrid(facts.orderBy(F.desc("ord")), [1.0, 0.0, 0.0], "rust programming", 3, 0.0).orderBy("rank").collect()
+    turned = search.hybrid(facts.orderBy(F.desc("ord")), [1.0, 0.0, 0.0], "tide tables", 3, 0.0).orderBy("rank").collect()
     assert found == turned
 
 
@@ -159,13 +160,13 @@ def test_texts(spark):
 
 
 def test_embedding_cache(spark, tmp_path):
-    key = hashlib.md5(b"test text one").digest()
-    rows = [(key, [0.0] * 8), (hashlib.md5(b"test text two").digest(), [(i + 100) * 0.001 for i in range(8)]), (key, [i * 0.001 for i in range(8)])]
+    key = hashlib.md5(b"a known line").digest()
+    rows = [(key, [0.0] * 8), (hashlib.md5(b"another line").digest(), [7.0 - i for i in range(8)]), (key, [i / 16 for i in range(8)])]
     (tmp_path / "cache.bin").write_bytes(cache_records(rows) + b"partial")
     found = cache.latest(scan_cache(spark, str(tmp_path / "cache.bin"), 8))
-    assert {bytes(r.key): r.embedding for r in found.collect()}[key] == pytest.approx([i * 0.001 for i in range(8)])
-    texts = spark.createDataFrame([("test text one",), ("new",), ("new",), (None,)], "text string")
-    assert [r.hit for r in cache.looked_up(texts, found).orderBy("text").collect()] == [False, False, False, True]
+    assert {bytes(r.key): r.embedding for r in found.collect()}[key] == [i / 16 for i in range(8)]
+    texts = spark.createDataFrame([("a known line",), ("new",), ("new",), (None,)], "text string")
+    assert [r.hit for r in cache.looked_up(texts, found).orderBy("text").collect()] == [False, True, False, False]
     assert cache.missing(texts, found).count() == 1
 
 
@@ -200,3 +201,38 @@ def test_cache_append(spark, tmp_path):
     cache.append(rows, str(tmp_path / "c"))
     cache.append(rows.withColumn("embedding", F.array(F.lit(2.0).cast("float"))), str(tmp_path / "c"))
     assert cache.latest(spark.read.parquet(str(tmp_path / "c"))).first().embedding == [2.0]
+
+
+def test_predictions_as_columns(spark):
+    rows = spark.createDataFrame([([1.0, 0.5, 0.0, 0.0], [0.5, 1.0, 0.0, 0.0]), ([1.0, 0.0, 0.0, 0.0], [1.0]), (None, None)], "q array<float>, c array<float>")
+    found = rows.select(predicted_of(fixture(2), F.col("q"), F.col("c")).alias("p")).collect()
+    assert (found[0].p.mean, found[0].p.variance) == (pytest.approx(0.75), pytest.approx(1.35)) and found[1].p is None and found[2].p is None
+
+
+def test_numbers_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "c"]), i) for i in range(500)]
+    found = numbered(spark.createDataFrame(rows, "k string, i int").repartition(7), [F.desc("k"), "i"]).collect()
+    assert [(r.k, r.i) for r in sorted(found, key=lambda r: r.place)] == sorted(rows, key=lambda x: (x[0] is None, -ord(x[0] or "a"), x[1]))
+    assert [r.place for r in sorted(found, key=lambda r: r.place)] == list(range(1, 501))
+    assert numbered(spark.createDataFrame([], "k string"), ["k"]).count() == 0
+
+
+def test_english_words_and_candidates(spark):
+    rng = random.Random(6)
+    bits = ["run", "ning", "ies", "y", "abil", "ity", "iz", "ation", "al", "'s", "'", "the", "don't", "é", "ß", "日", "٣", "_", " ", " ", "-", "sky", "skies", "dying", "ly", "ful", "ness", "ed"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", english.stems(english.content_words(F.lower("t"))).alias("s")).collect()
+    assert all(r.s == english.terms(r.t) for r in found)
+    words = {w for t in texts for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", t.lower())} | set(english.SPECIAL)
+    assert all(w.startswith(english.stem(w)[:-1]) or w in english.SPECIAL for w in words)
+
+
+def test_sampled_order_is_the_blend(spark):
+    rows = spark.createDataFrame([("p", i, [1.0, i / 9], (1.0 + i % 3, 1.0, 0.0)) for i in range(9)], "project_id string, ord long, embedding array<float>, utility struct<alpha:float,beta:float,decay_rate:float>")
+    found = search.dense(rows, [1.0, 0.0], utility_lambda=0.2, seed=7).collect()
+    draws = {r.ord: r.d for r in rows.select("ord", belief.sample(F.col("utility.alpha"), F.col("utility.beta"), F.struct("project_id", "ord"), 7).alias("d")).collect()}
+    near = {i: 1 / (1 + (i / 9) ** 2) ** 0.5 for i in range(9)}
+    order = {i: near[i] if i % 3 == 0 else 0.8 * near[i] + 0.2 * draws[i] for i in near}
+    assert [r.ord for r in sorted(found, key=lambda r: r.rank)] == sorted(order, key=lambda i: -order[i])
+    assert all(r.cosine == pytest.approx(near[r.ord], abs=1e-6) for r in found)
