@@ -54,7 +54,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     counts = [pii.count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, hex_digest(pii.joined(base)).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, hex_digest(pii.joined(base)).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), pii.scores(F.col("spans")).alias("scores"))
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
