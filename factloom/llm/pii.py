@@ -175,6 +175,11 @@ def _span_of(k: Kind, rank: int) -> Callable[[Column], Column]:
     return span
 
 
+def once(value: Column) -> Column:
+    """The value by way of a generator: filters on it are not pushed below, where they would compute it again."""
+    return F.explode(F.array(value))
+
+
 def _found(df: DataFrame, text_col: str) -> DataFrame:
     """(_row, _spans): the row as a struct, so that no working column can clash with one of its own."""
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
@@ -197,7 +202,7 @@ def _found(df: DataFrame, text_col: str) -> DataFrame:
         matches = F.arrays_zip(F.col(f"_m_{k.name}").alias("m"), F.slice(f"_g_{k.name}", F.lit(1), F.size(f"_m_{k.name}")).alias("g"), F.col(f"_e_{k.name}").alias("e"))
         each.append(F.filter(F.transform(matches, _span_of(k, rank)), lambda x: x.isNotNull()))
     spans = F.transform(F.array_sort(F.concat(*each)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
-    return found.select("_row", spans.alias("_spans"))
+    return found.select("_row", once(spans).alias("_spans"))
 
 
 def detect(df: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
@@ -236,4 +241,5 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     marks = F.concat(F.transform("_joined", lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))), F.array(F.lit("")))
     parts = F.transform(F.arrays_zip(froms.alias("a"), tos.alias("b"), marks.alias("m")), lambda x: F.concat(part(F.col("_pieces"), x["a"], x["b"]), x["m"]))
     masked = F.when(some, F.array_join(parts, "")).otherwise(text)
-    return found.select(*((masked if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns))
+    found = found.select("_row", once(masked).alias("_masked"))
+    return found.select(*((F.col("_masked") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns))
