@@ -10,9 +10,10 @@ is found.  The way there:
    boundary its ball of radius r overlaps.  A task owns a pair of shards and gets of each side only what reaches the other.
 4. A task grows a vantage-point tree over one side, walks the other side through it in batches pruning by the triangle bounds,
    and returns a spanning forest of the links it saw, so a group of g near copies yields fewer than g rows, not g^2.
-5. Components of the links, and the smallest doc_id of each.
+5. Components of the links.  A class is known by its smallest doc_id (and its fingerprint), so the smallest node of a component
+   bears the smallest doc_id: nothing is grouped or joined by component.
 
-Edge cases: null text counts as empty; no words give fingerprint zero, linked like any other; under four words the whole
+Edge cases: null text counts as empty; very long texts are hashed whole, in blocks of shingles; rows without a doc_id have the greatest place in the order; no words give fingerprint zero, linked like any other; under four words the whole
 sequence is the only shingle; repeated rows (also of one doc_id) keep their rows; an empty table gives an empty result;
 other columns are not read.
 """
@@ -23,13 +24,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import components, cut, group_pairs
+from factloom.llm.common import components, cut, group_pairs, small
 
 RADIUS = 4
 SHINGLE = 4
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def distance(codes: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -129,7 +129,7 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator
 
 
 def spanning(codes: np.ndarray, sides: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two index sets of codes."""
+    """A spanning forest of the links between two index sets of codes, as index pairs."""
     left, right, pending = [], [], 0
     label = np.arange(len(codes))
     for a, b in near_pairs(codes[sides[0]], codes[sides[1]], radius):
@@ -142,17 +142,23 @@ def spanning(codes: np.ndarray, sides: tuple[np.ndarray, np.ndarray], radius: in
     if left:
         label = group_pairs(len(codes), np.concatenate(left), np.concatenate(right))
     moved = np.nonzero(label != np.arange(len(codes)))[0]
-    return codes[moved], codes[label[moved]]
+    return moved, label[moved]
+
+
+def node(least: Column, fp: Column) -> Column:
+    """A class of equal fingerprints, in the order of its smallest doc_id; classes without one come last."""
+    return F.struct(least.isNull().alias("none"), least.alias("least"), fp.alias("fp"))
 
 
 def link(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges whose components are those of all links between the distinct fingerprints `fp`."""
+    """(a, b): edges between nodes, whose components are those of all links between the distinct fingerprints of `classes` (fp, least)."""
     spark = classes.sparkSession
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    sample = classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
     shards = spark.sparkContext.broadcast(Shards(sample, depth))
     width = 1 << depth
+    kind = classes.schema["least"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,35 +168,40 @@ def link(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 row, other = np.nonzero(reach)
                 own = home[row].astype(np.int64)
                 pair = np.minimum(own, other) * width + np.maximum(own, other)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(own.astype(np.int32)), pa.array(codes[row])], names=["pair", "home", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(own.astype(np.int32)), pa.array(codes[row]), batch.column(1).take(pa.array(row + at))], names=["pair", "home", "fp", "least"])
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = divmod(int(key[0]), width)
-        codes, home = rows["fp"].to_numpy(dtype=np.int64).view(np.uint64), rows["home"].to_numpy()
-        a, b = spanning(codes, (np.nonzero(home == low)[0], np.nonzero(home == high)[0]), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def search(key: tuple, rows: pa.Table) -> pa.Table:
+        low, high = divmod(key[0].as_py(), width)
+        codes, home = rows.column("fp").to_numpy().astype(np.int64).view(np.uint64), rows.column("home").to_numpy()
+        ends = spanning(codes, (np.nonzero(home == low)[0], np.nonzero(home == high)[0]), radius)
+        return pa.table({f"{side}_{c}": rows.column(c).take(pa.array(x)) for side, x in zip("ab", ends, strict=True) for c in ("fp", "least")})
 
-    return classes.select("fp").mapInArrow(place, "pair long, home int, fp long").groupBy("pair").applyInPandas(search, "a long, b long")
+    placed = classes.select("fp", "least").mapInArrow(place, f"pair long, home int, fp long, least {kind}")
+    edges = placed.groupBy("pair").applyInArrow(search, f"a_fp long, a_least {kind}, b_fp long, b_least {kind}")
+    return edges.select(node(F.col("a_least"), F.col("a_fp")).alias("a"), node(F.col("b_least"), F.col("b_fp")).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: (doc_id, fp, component_id), component_id being the smallest doc_id reachable over links."""
     marks = cut(fingerprints(docs, id_col, text_col))
     classes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(link(classes, radius))
-    named = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marks.join(named.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    groups = components(link(classes, radius)).select(F.col("node.fp").alias("_fp"), F.col("label.least").alias("_first"), F.lit(True).alias("_linked"))
+    named = classes.join(groups, classes.fp == groups._fp, "left").select("fp", F.when(F.col("_linked"), F.col("_first")).otherwise(F.col("least")).alias("component_id"))
+    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents less all but the smallest doc_id of each group; repeated rows of that doc_id leave one.
 
     Rows without a doc_id have no place in a group's order and stay.
     """
-    found = cut(near_duplicates(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id"))
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    quoted = F.col(f"`{id_col}`")
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), quoted.alias("_id"))
+    found = cut(near_duplicates(docs.where(quoted.isNotNull()), id_col, text_col).select("doc_id", "component_id"))
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    out = rows.join(small(gone), F.col("_id") == F.col("_gone"), "left_anti")
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if repeated.limit(1).count():
-        out = out.where("doc_id IS NULL").union(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return out
+        out = out.where("_id IS NULL").union(out.where("_id IS NOT NULL").dropDuplicates(["_id"]))
+    return out.select(*columns)
