@@ -2,12 +2,14 @@
 
 A piece of length l belongs to reciprocal class k = capacity // l: k pieces of the class fill one bin.  `pieces` cuts a document
 so that each of its pieces wastes little in its class; `pack` then fills the bins of each class with exactly k pieces, on each
-of many workers independently.  What does not fill a bin on a worker (under k pieces a class) is filled again per class over all
-workers, and the under k pieces a class that are left then (a constant number of rows, whatever the input) go first-fit into
-common bins.
+of many workers independently.  Class 1, a piece a bin, needs no worker.  What does not fill a bin on a worker (under k pieces a class) is
+filled again by groups of FAN workers, what is left there by groups of FAN groups, and so on, so that no task sees more than FAN
+times k pieces of a class; the under k pieces a class that are left of the one last group (some ten thousand rows at most,
+whatever the input) go first-fit into common bins.
 
 Edge cases: null text counts as empty and still has its end id; documents of any length work (a piece never exceeds the
-capacity); repeated rows are packed each; an empty table gives an empty result; other columns are not read.
+capacity); repeated rows are packed each; pieces that tie in length are taken in the order they were read; an empty table gives an
+empty result; `pieces` reads no other columns, `pack` passes them through, whatever their names, and replaces sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -29,8 +30,12 @@ CAPACITY = 2048
 END_ID = 1
 #: Most of a bin that a class may leave empty before a piece is cut to the next class's size.
 WASTE = 0.02
-#: Pieces that one worker packs, on average.
-PER_WORKER = 1 << 16
+#: Pieces that one worker packs, on average, and workers (or groups of them) whose remainders meet in one task.
+PER_WORKER = 1 << 14
+FAN = 64
+#: Bits of a sequence_id: level, class, worker or group, bin; a piece of class 1 has its own number in place of the last three.
+LEVEL, CLASS, GROUP = 58, 46, 22
+LAST = 15
 VOCABULARY = "byte_bpe_50k.json"
 #: Texts of these code points only: the two libraries' Unicode tables agree on them.
 PLAIN = regex.compile(r"[\x00-\x7E¡-ɏ‐-‧€]*")
@@ -111,49 +116,49 @@ def pieces(docs: DataFrame, path: str, ranks_path: str | None = None, id_col: st
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(held, pa.list_(pa.int32()))] if with_ids else []), names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with `length`; the rows of a sequence lie gapless from offset 0."""
-    held = cut(found.withColumn("_key", F.monotonically_increasing_id()))
-    workers = max(1, -(-held.count() // PER_WORKER))
-    columns = found.columns
-    dealt = held.withColumn("_class", F.floor(F.lit(capacity) / F.col("length")).cast("long")).withColumn("_worker", F.pmod(F.xxhash64("_key"), F.lit(workers)))
-
-    def fill(rows: DataFrame, keys: list[str]) -> DataFrame:
-        own = Window.partitionBy(*keys)
-        return rows.withColumn("_n", F.row_number().over(own.orderBy(F.desc("length"), "_key")) - 1).withColumn("_bin", F.floor(F.col("_n") / F.col("_class"))).withColumn("_full", F.col("_bin") < F.floor(F.count("*").over(own) / F.col("_class")))
-
-    def name(rows: DataFrame, level: int, worker) -> DataFrame:
-        """A sequence_id of level, class, worker and bin."""
-        return rows.withColumn("sequence_id", F.lit(level << 60) + F.shiftleft(F.col("_class"), 44) + F.shiftleft(worker, 22) + F.col("_bin"))
-
-    first = fill(dealt, ["_worker", "_class"])
-    # only rows that fill no bin on their worker: under k a class and worker
-    second = cut(fill(first.where("NOT _full").drop("_n", "_bin", "_full"), ["_class"]))
+    row = F.struct(*(F.col(f"`{c}`") for c in found.columns))
+    held = cut(found.select(row.alias("_row"), F.col("length").cast("long").alias("_length"), F.monotonically_increasing_id().alias("_key")))
+    groups = max(1, -(-held.count() // PER_WORKER))
+    whole = F.col("_length") * 2 > capacity
+    out = [held.where(whole).select("_row", F.col("_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    rest = held.where(~whole).withColumn("_class", F.floor(F.lit(capacity) / F.col("_length")).cast("long")).withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
+    order = (F.desc("_length"), "_key")
+    before = F.coalesce(F.sum("_length").over(Window.partitionBy("_group", "_class", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    for level in range(1, LAST):
+        own = Window.partitionBy("_group", "_class")
+        filled = rest.withColumn("_bin", F.floor((F.row_number().over(own.orderBy(*order)) - 1) / F.col("_class"))).withColumn("_full", F.col("_bin") < F.floor(F.count("*").over(own) / F.col("_class")))
+        name = F.lit(level << LEVEL) + F.shiftleft(F.col("_class"), CLASS) + F.shiftleft(F.col("_group"), GROUP) + F.col("_bin")
+        out.append(filled.where("_full").withColumn("offset", before).select("_row", name.alias("sequence_id"), "offset"))
+        rest = filled.where("NOT _full").drop("_bin", "_full")
+        if groups == 1:
+            break
+        groups = -(-groups // FAN)
+        rest = rest.withColumn("_group", F.floor(F.col("_group") / FAN))
 
-    def first_fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "_key"], ascending=[False, True])
+    def first_fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_length", "descending"), ("_key", "ascending")])
         room: list[int] = []
-        bins = []
-        for n in rows["length"]:
+        bins, offsets = [], []
+        for n in rows.column("_length").to_pylist():
             at = next((i for i, x in enumerate(room) if x >= n), len(room))
             if at == len(room):
                 room.append(capacity)
+            bins.append((LAST << LEVEL) + at)
+            offsets.append(capacity - room[at])
             room[at] -= n
-            bins.append(at)
-        return rows.assign(_bin=np.array(bins, dtype=np.int64))
-
-    last = second.where("NOT _full").select(*columns, "_key", "_class", F.lit(0).cast("long").alias("_bin"))
-    last = last.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: first_fit(rows.drop(columns="_all")), last.schema)
-    keep = [*columns, "_key", "sequence_id"]
-    out = name(first.where("_full"), 0, F.col("_worker")).select(*keep)
-    out = out.union(name(second.where("_full"), 1, F.lit(0).cast("long")).select(*keep))
-    out = out.union(last.withColumn("sequence_id", F.lit(2 << 60) + F.col("_bin")).select(*keep))
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_key")
-    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("_key")
+        return pa.table({"_row": rows.column("_row"), "sequence_id": pa.array(bins, pa.int64()), "offset": pa.array(offsets, pa.int64())})
+
+    last = rest.select("_row", "_length", "_key", F.lit(0).alias("_all"))
+    out.append(last.groupBy("_all").applyInArrow(first_fit, out[0].schema))
+    packed = out[0]
+    for part in out[1:]:
+        packed = packed.union(part)
+    return packed.select(*(F.col(f"_row.`{c}`").alias(c) for c in found.columns if c not in ("sequence_id", "offset")), "sequence_id", "offset")
 
 
 def padded(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
