@@ -3,20 +3,21 @@
 A capture is three records of one file: a response (or a revisit without a body), the request and a metadata record; the latter two
 name the former in WARC-Concurrent-To.  Spark's text writer stores them: a row is a record, and its line separator is the two
 CRLF that end a WARC record, so files are committed and retried like any other Spark output and lie on any store.  Files are
-gzip-compressed as a whole and hold at most PER_FILE captures.  They are read as binary files, unpacked and parsed in pieces.
+gzip-compressed as a whole and hold at most PER_FILE captures and about FILE bytes: captures above BIG bytes are written apart, in files
+of as many as the largest of them allows.  They are read as binary files, unpacked and parsed in pieces.
 
 Payloads that are equal (by SHA-1 and length) and at least LEAST bytes long are stored once, with the greatest page_id; the
-others become revisit records that refer to it.
+others become revisit records that refer to it.  Which payloads repeat is found from digests alone; payloads are shuffled only if the
+repeated digests are too many to be broadcast.
 
 Edge cases: a null html counts as empty, a null url as an empty target; a null page_id is written as an empty id and reads as
-null; very long payloads are parsed in pieces of the file and held one at a time; rows that tie for the greatest page_id of a payload are all
+null; very long payloads lie in files of few captures, are parsed in pieces of the file and held one at a time; rows that tie for the greatest page_id of a payload are all
 responses; repeated rows are captures each; an empty table gives an archive without records and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, shared_dir
+from factloom.llm.common import cut, small
+from factloom.sources.shared import working_dir
 
 LEAST = 1000
 PER_FILE = 2000
+#: Bytes of records in a file, before compression, and of a capture that is written apart.
+FILE = 512 << 20
+BIG = 256 << 10
 CRLF = "\r\n"
 PIECE = 1 << 20
 #: Records that go into one batch, by bytes.
@@ -43,19 +48,25 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column | None
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), body)
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, bytes, first): first is the page_id of the response that a revisit refers to, else null."""
+def captures(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(page_id, url, payload, digest, bytes, first, size), and the greatest size.
+
+    first is the page_id of the response that a revisit refers to, else null; size what the capture takes of a file, about.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    shared = base.where(F.col("bytes") >= LEAST).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = base.join(shared, ["digest", "bytes"], "left")
-    return found.withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
+    size = F.col("bytes").cast("long") + 10 * F.octet_length("url")  # the url stands in all three records
+    keys = cut(base.select("page_id", "digest", "bytes", size.alias("size")))
+    repeats = keys.where(F.col("bytes") >= LEAST).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = base.withColumn("size", size).join(small(cut(repeats)), ["digest", "bytes"], "left")
+    return found.withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))), keys.agg(F.max("size")).first()[0] or 0
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Writes three records a row of `pages` (page_id, url, html) to gzip-compressed WARC files under `path`."""
-    rows = captures(pages).withColumn("unique", F.uuid())
+    rows, most = captures(pages)
+    rows = rows.withColumn("unique", F.uuid())
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     clean = F.regexp_replace("url", r"[\r\n]", "%0A")
 
@@ -74,8 +85,10 @@ def write(pages: DataFrame, path: str) -> None:
     request = _record("request", name("request"), [target, ("WARC-Concurrent-To", name("main")), ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
     notes = F.concat(F.lit("page_id: "), page, F.lit(CRLF))
     metadata = _record("metadata", name("metadata"), [target, ("WARC-Concurrent-To", name("main")), ("Content-Type", F.lit("application/warc-fields"))], notes)
-    records = rows.select(F.explode(F.array(F.when(F.col("first").isNull(), response).otherwise(revisit), request, metadata)).alias("value"))
-    records.write.mode("overwrite").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * PER_FILE).text(path)
+    records = F.explode(F.array(F.when(F.col("first").isNull(), response).otherwise(revisit), request, metadata)).alias("value")
+    for folder, some, each in (("some", F.col("size") <= BIG, min(PER_FILE, FILE // BIG)), ("big", F.col("size") > BIG, max(1, FILE // max(1, most)))):
+        own = rows.where(some) if folder == "some" or most > BIG else rows.limit(0)
+        own.select(records).write.mode("overwrite").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * each).text(f"{path}/{folder}")
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -171,7 +184,7 @@ def archived(spark: SparkSession, pages: DataFrame, path: str | None = None) ->
 
     Length and digest of a revisit are those of the record it refers to.
     """
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or working_dir(spark, "warc")
     write(pages, path)
     records = cut(read(spark, path, with_payload=False).drop("payload"))  # the archive is parsed once
     found = cut(assemble(records).withColumns({"has_request": F.col("request").isNotNull(), "has_metadata": F.col("metadata").isNotNull()}).select("page_id", "main.*", "has_request", "has_metadata"))
