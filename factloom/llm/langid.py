@@ -4,12 +4,13 @@ A window is WINDOW bytes of the lower-cased text.  Filters of 2, 3 and 4 bytes o
 filter position; applied, two positions share one table of byte pairs).  Each filter's maximum over the window feeds a softmax
 layer.  A text is scored on all its windows: the mean of their class probabilities, weighted by their bytes.
 
-Training takes a bounded sample of the labelled rows (`PER_LABEL` texts a label, the first by a hash of their id, of each
-`PER_TEXT` evenly spread windows); ids only choose the sample and are never inputs of the network.
+Training takes a bounded sample of the labelled rows (`PER_LABEL` rows a label, the first by a hash of their id, of each
+`PER_TEXT` evenly spread windows): rows, so that an id that many rows share counts no more than others.  Ids only choose the sample and
+are never inputs of the network.  What reaches the driver is PER_LABEL times PER_TEXT windows a label.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, and so is every text where there is nothing to learn
-from; very long texts are scored in blocks of windows; repeated rows get repeated results; an empty table gives an empty result;
-other columns are not read.
+from; very long texts are scored in blocks of windows; labels of equal probability: the first in alphabetical order; repeated rows get
+repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.llm.common import crc_mod
 
@@ -58,45 +60,52 @@ class Network:
         self.weights = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32)
         self.offset = np.zeros(len(labels), dtype=np.float32)
 
+    def params(self) -> list[np.ndarray]:
+        return [*self.tables, *self.bias, self.weights, self.offset]
+
+    def gradients(self, bytes_: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross entropy of some windows, and its gradient for each of `params`; only the positions that won the pooling pass one on."""
+        best, parts, rows = [], [], np.arange(len(y))
+        for table, bias, w in zip(self.tables, self.bias, WIDTHS, strict=True):
+            n = bytes_.shape[1] - w + 1
+            act = table[0][bytes_[:, :n]]
+            for k in range(1, w):
+                act = act + table[k][bytes_[:, k : k + n]]
+            top = act.argmax(axis=1)
+            best.append(top)
+            parts.append(np.take_along_axis(act, top[:, None, :], axis=1)[:, 0] + bias)
+        pooled = np.concatenate(parts, axis=1)
+        hidden = np.maximum(pooled, 0)
+        out = hidden @ self.weights + self.offset
+        p = np.exp(out - out.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        loss = float(-np.log(np.maximum(p[rows, y], 1e-30)).mean())
+        p[rows, y] -= 1
+        p /= len(y)
+        back = (p @ self.weights.T) * (pooled > 0)
+        grads = []
+        for i, w in enumerate(WIDTHS):
+            own = back[:, i * FILTERS : (i + 1) * FILTERS]
+            grad = np.zeros_like(self.tables[i])
+            for k in range(w):
+                np.add.at(grad[k], (np.take_along_axis(bytes_, best[i] + k, axis=1), np.arange(FILTERS)[None, :]), own)
+            grad[:, 0] = 0  # no byte, no weight
+            grads.append(grad)
+        grads += [back[:, i * FILTERS : (i + 1) * FILTERS].sum(axis=0) for i in range(len(WIDTHS))]
+        return loss, [*grads, hidden.T @ p, p.sum(axis=0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
-        """Adam on the cross entropy; only the positions that won the pooling pass a gradient on."""
+        """Adam on the cross entropy."""
         rng = np.random.default_rng(seed)
-        params = [*self.tables, *self.bias, self.weights, self.offset]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        first, second = [np.zeros_like(p) for p in self.params()], [np.zeros_like(p) for p in self.params()]
         step = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
-                bytes_, best, parts = x[rows], [], []
-                for table, bias, w in zip(self.tables, self.bias, WIDTHS, strict=True):
-                    n = WINDOW - w + 1
-                    act = table[0][bytes_[:, :n]]
-                    for k in range(1, w):
-                        act = act + table[k][bytes_[:, k : k + n]]
-                    top = act.argmax(axis=1)
-                    best.append(top)
-                    parts.append(np.take_along_axis(act, top[:, None, :], axis=1)[:, 0] + bias)
-                pooled = np.concatenate(parts, axis=1)
-                hidden = np.maximum(pooled, 0)
-                out = hidden @ self.weights + self.offset
-                p = np.exp(out - out.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(rows)), y[rows]] -= 1
-                p /= len(rows)
-                back = (p @ self.weights.T) * (pooled > 0)
-                grads = []
-                for i, w in enumerate(WIDTHS):
-                    own = back[:, i * FILTERS : (i + 1) * FILTERS]
-                    grad = np.zeros_like(self.tables[i])
-                    for k in range(w):
-                        np.add.at(grad[k], (np.take_along_axis(bytes_, best[i] + k, axis=1), np.arange(FILTERS)[None, :]), own)
-                    grad[:, 0] = 0
-                    grads.append(grad)
-                grads += [back[:, i * FILTERS : (i + 1) * FILTERS].sum(axis=0) for i in range(len(WIDTHS))]
-                grads += [hidden.T @ p, p.sum(axis=0)]
+                _, grads = self.gradients(x[rows], y[rows])
                 step += 1
-                for q, g, m, v in zip(params, grads, first, second, strict=True):
+                for q, g, m, v in zip(self.params(), grads, first, second, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -163,17 +172,17 @@ class Network:
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network:
     """Learns from the labelled texts of `rows`; label values are taken as they are."""
-    own = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    order = (F.xxhash64("id"), "id")
-    # first within PARTS parts of each label, so that no task sorts all rows of a common label
-    first = own.select("id", "label", F.pmod(F.hash("id"), F.lit(PARTS)).alias("part"))
-    for keys in (("label", "part"), ("label",)):
-        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= PER_LABEL)
-    picked = [r.id for r in first.select("id").collect()]
-    # evenly spread windows of each picked text, cut on the executors
+    own = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text")).where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
+    # evenly spread windows, cut on the executors
     span = F.greatest(F.lit(0), F.length("text") - WINDOW)
     starts = [(span * k / max(1, PER_TEXT - 1)).cast("int") + 1 for k in range(PER_TEXT)]
-    found = own.where(F.col("id").isin(picked)).select("label", *(F.substring("text", s, F.lit(WINDOW)).alias(f"w{k}") for k, s in enumerate(starts))).collect()
+    cuts = [f"w{k}" for k in range(PER_TEXT)]
+    found = own.select("id", "label", F.pmod(F.hash("id"), F.lit(PARTS)).alias("part"), *(F.substring("text", s, F.lit(WINDOW)).alias(c) for c, s in zip(cuts, starts, strict=True)))
+    # first within PARTS parts of each label, so that no task sorts all rows of a common label
+    order = (F.xxhash64("id"), "id", *cuts)
+    for keys in (("label", "part"), ("label",)):
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= PER_LABEL)
+    found = found.select("label", *cuts).collect()
     labels = sorted({r.label for r in found})
     if not labels:
         return Network([])
@@ -186,8 +195,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predict(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """(doc_id, *keep, lang_pred, score) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    base = docs.select(F.col(id_col).alias("doc_id"), *(keep or []), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text") + ", lang_pred string, score double"
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *(keep or []), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    schema = StructType([f for f in base.schema if f.name != "_text"]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(sent.value).prepare()
@@ -201,7 +210,7 @@ def predict(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: s
 
 
 def held_out_split(id_col: str = "doc_id", mod: int = 5) -> Column:
-    return crc_mod(F.col(id_col), mod) == 0
+    return crc_mod(F.col(f"`{id_col}`"), mod) == 0
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -213,6 +222,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is recognised with at least this mean probability; `und` ones go."""
     model = train(docs.where(~held_out_split()))
-    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("doc")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     found = predict(docs, model, keep=[whole])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
