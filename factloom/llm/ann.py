@@ -3,15 +3,16 @@
 The trees are fitted on the driver on a bounded sample (SAMPLE rows) of the unit vectors: a node's direction is random, its cut the
 median of its points' projections.  Every row is then indexed: it goes to one leaf of each tree.  A query searches all trees
 through one shared priority queue, ordered by the squared margins by which it misses a node's cuts, and takes leaves until they
-hold PROBE of the sample, or LEAST points where that is more.  Queries and rows meet by leaf; a leaf of many rows is dealt to several tasks.  Candidates
-are scored exactly on the original vectors in doubles, and a task returns at most k rows for each query.
+hold PROBE of the sample, or LEAST points where that is more.  Queries and rows meet by leaf; leaves get smaller as the table grows, and a
+leaf of many rows (told from the sample) is dealt to several tasks.  Candidates are scored exactly on the original vectors in
+doubles, and a task returns at most k rows for each query.  With `exact`, queries visit all leaves of one tree, that is, all rows.
 
 Copies of one vector would all meet in one leaf.  They have the same score and ties go to the smaller id, so of equal vectors
 only the k + 1 smallest ids can be in a result (one may be the query itself); only those are indexed, all of them are queries.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of unlike lengths are padded
-with zeros; fewer than k candidates found: all that were; repeated ids count once, with the best score of their rows, and a query never meets rows of its own id;
-an empty table gives an empty result; other columns are not read.
+with zeros; fewer than k candidates found: all that were; rows of one id are one item, as a query and as a candidate: two items' score is the
+greatest of their rows' cosines, and an item never meets itself; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
-from factloom.llm.topk import matrix, widened
+from factloom.llm.topk import best_of, matrix, widened
 from factloom.llm.vectors import ranked, usable
 
 SAMPLE = 65536
 TREES = 4
-#: Leaves of a tree, and the fewest sample points of one.
+#: Leaves of a tree at least and, where the table has a leaf for every TASK rows, at most; and the fewest sample points of one.
 LEAVES = 128
+MOST_LEAVES = 1024
 LEAF = 48
 #: What a query's leaves hold of the sample, over all trees, as a share of it; at least LEAST points.  Recall needs it this large
 #: for vectors without structure (measured in README); vectors with clusters do with far less.
@@ -41,15 +43,16 @@ TASK = 16384
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, seed: int = 5):
+    def __init__(self, sample: np.ndarray, total: int = 0, exact: bool = False, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.width, self.n = sample.shape[1], len(sample)
+        self.width, self.n, self.exact = sample.shape[1], len(sample), exact
+        leaves = min(MOST_LEAVES, max(LEAVES, total // TASK))
         self.roots: list[int] = []
         direction: list[np.ndarray] = []
         self.cut: list[float] = []
         self.kids: list[tuple[int, int]] = []
         self.held: list[int] = []  # sample points of a leaf
-        for _ in range(TREES):
+        for _ in range(1 if exact else TREES):
             self.roots.append(len(self.kids))
             todo = [(self._node(), np.arange(len(sample)))]
             while todo:
@@ -58,7 +61,7 @@ class Forest:
                 x = sample[rows] @ v
                 cut = float(np.median(x)) if len(rows) else 0.0
                 left = x <= cut
-                if len(rows) <= max(LEAF, self.n // LEAVES) or left.all():
+                if len(rows) <= max(LEAF, self.n // leaves) or left.all():
                     self.held[node] = len(rows)
                     continue
                 kids = self._node(), self._node()
@@ -70,6 +73,8 @@ class Forest:
         for node, v in direction:
             self.direction[node] = v
         self.cut = np.array(self.cut)
+        # tasks of each leaf, if it holds the sample's share of all rows
+        self.tasks = {i: -(-x * total // (self.n * TASK)) for i, x in enumerate(self.held) if x * total > self.n * TASK}
 
     def _node(self) -> int:
         self.kids.append((-1, -1))
@@ -92,7 +97,7 @@ class Forest:
     def probe(self, x: np.ndarray) -> list[int]:
         """Leaves in the order of the shared queue, until they hold enough."""
         margin = self.direction @ x - self.cut
-        want, out = max(PROBE * self.n, LEAST), []
+        want, out = float("inf") if self.exact else max(PROBE * self.n, LEAST), []
         queue = [(0.0, root) for root in self.roots]
         while queue and want > 0:
             missed, node = heapq.heappop(queue)
@@ -123,31 +128,32 @@ def best(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k:
     q, p = widened(q, p)
     q_norm, p_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((p * p).sum(axis=1))
     out = []
+    repeated = len(np.unique(p_ids)) < len(p_ids)
     for at in range(0, len(q), 512):
         rough = (q[at : at + 512] @ p.T) / (q_norm[at : at + 512, None] * p_norm[None, :])
         for i, own in enumerate(q_ids[at : at + 512], at):
             some = np.nonzero(p_ids != own)[0]
             near = rough[i - at, some]
-            if len(some) > k:
+            if len(some) > k and not repeated:
                 some = some[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
             score = (q[i] * p[some]).sum(axis=1) / (q_norm[i] * p_norm[some])
-            out += [(own, p_ids[some[j]], score[j]) for j in np.lexsort((p_ids[some], -score))[:k]]
+            out += [(own, p_ids[some[j]], score[j]) for j in best_of(score, p_ids[some], k, repeated)]
     return out
 
 
-def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by `every`."""
+def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by `every`; `exact` looks at all rows."""
     spark = vectors.sparkSession
-    good = usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull()
-    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+    good = usable(F.col(f"`{vector_col}`")) & F.exists(F.col(f"`{vector_col}`"), lambda x: x != 0) & F.col(f"`{id_col}`").isNotNull()
+    rows = vectors.where(good).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double")).alias("v"))
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    # one more than k of each vector, and k + 1 of one id count once
+    # one more than k of each vector, as one may be the query itself
     items = cut(rows.distinct().withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n"))
     sample = items.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
         return ranked(spark.createDataFrame([], schema), k)
-    forest = spark.sparkContext.broadcast(Forest(unit(matrix(sample["v"]))))
+    forest = spark.sparkContext.broadcast(Forest(unit(matrix(sample["v"])), items.count(), exact))
 
     def index(batches):
         own = forest.value
@@ -155,26 +161,23 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vect
             for at in range(0, len(batch), 2048):
                 some = batch.iloc[at : at + 2048]
                 found = own.leaves(fitted(unit(matrix(some["v"])), own.width))
-                yield pd.DataFrame({"leaf": found.ravel(), "vec_id": np.repeat(some["vec_id"].to_numpy(), TREES), "v": some["v"].repeat(TREES).to_numpy()})
-
-    placed = items.mapInPandas(index, "leaf long, vec_id long, v array<double>")
-    # leaves with more rows than a task should take, which are at most as many as the trees have leaves
-    tasks = {r.leaf: -(-r["count"] // TASK) for r in placed.groupBy("leaf").count().where(F.col("count") > TASK).collect()}
+                ids, trees = some["vec_id"].to_numpy(), found.shape[1]
+                many = np.array([own.tasks.get(x, 1) for x in found.ravel().tolist()], dtype=np.uint64)
+                task = (np.repeat(ids, trees).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % many
+                yield pd.DataFrame({"leaf": found.ravel(), "task": task.astype(np.int64), "vec_id": np.repeat(ids, trees), "v": some["v"].repeat(trees).to_numpy()})
 
     def probe(batches):
         own = forest.value
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at : at + 256]
-                rows = [(i, leaf, task) for i, x in enumerate(fitted(unit(matrix(some["v"])), own.width)) for leaf in own.probe(x) for task in range(tasks.get(leaf, 1))] if len(some) else []
+                rows = [(i, leaf, task) for i, x in enumerate(fitted(unit(matrix(some["v"])), own.width)) for leaf in own.probe(x) for task in range(own.tasks.get(leaf, 1))] if len(some) else []
                 i, leaf, task = np.array(rows, dtype=np.int64).reshape(-1, 3).T
                 yield pd.DataFrame({"leaf": leaf, "task": task, "vec_id": some["vec_id"].to_numpy()[i], "v": some["v"].to_numpy()[i]})
 
-    many = F.lit(1)
-    for leaf, n in tasks.items():
-        many = F.when(F.col("leaf") == leaf, n).otherwise(many)
-    have = placed.withColumn("task", F.pmod(F.xxhash64("vec_id"), many.cast("long")))
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(probe, "leaf long, task long, vec_id long, v array<double>")
+    shape = "leaf long, task long, vec_id long, v array<double>"
+    have = items.mapInPandas(index, shape)
+    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(probe, shape)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

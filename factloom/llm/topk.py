@@ -6,11 +6,13 @@ meets a bucket only if its norm times the bucket's greatest norm reaches that li
 cosine threshold, limit / (|q| |p|max) (none for limits below zero), and the bucket takes one of two prunings: where the threshold is low, by length (the
 prefix of its vectors, longest first, that can reach the limit), where it is high, by coordinate (the vectors whose component in
 the query's largest coordinate lies in the interval that the threshold allows).  What is left is verified by exact products.
-Queries meet buckets in blocks; a task holds QUERIES queries and one bucket, and returns at most k rows for each query.
+Queries meet buckets in blocks; a task holds QUERIES queries and one bucket, and returns at most k rows for each query.  Queries are
+put into blocks by the norm that they need of a candidate, and a bucket goes only to the blocks of which a query asks for it.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors of unlike lengths are padded with zeros;
-ties go to the smaller id; fewer than k candidates: all; repeated ids are rows like any other, but a query never meets rows of
-its own id; an empty table gives an empty result; other columns are not read.
+ties go to the smaller id; fewer than k candidates: all; rows of one id are one item, as a query and as a candidate: two items' score is the
+greatest of their rows' products, and an item never meets itself; products beyond 64 bits are reported as the nearest 64-bit
+number; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ RANGES = 32
 BUCKET = 8192
 QUERIES = 2048
 SEEDS = 2048
+#: Ranges of the norm that queries need, by which they are put into blocks.
+SHELVES = 64
 #: Local cosine threshold from which a bucket is pruned by coordinate.
 STEEP = 0.6
 #: Products below this are exact in doubles.
@@ -54,12 +58,15 @@ def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (q @ p.T).astype(np.int64)
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best by (score desc, id)."""
-    if len(score) > 4 * k:
+def best_of(score: np.ndarray, ids: np.ndarray, k: int, repeated: bool = True) -> np.ndarray:
+    """Indices of the k best by (score desc, id), one for each id; `repeated`: whether ids can occur more than once."""
+    if not repeated and len(score) > 4 * k:
         at = np.nonzero(score >= np.partition(score, len(score) - k)[len(score) - k])[0]
         return at[np.lexsort((ids[at], -score[at]))[:k]]
-    return np.lexsort((ids, -score))[:k]
+    order = np.lexsort((ids, -score))
+    if repeated:
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    return order[:k]
 
 
 def search_bucket(q: np.ndarray, q_ids: np.ndarray, limit: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -75,12 +82,13 @@ def search_bucket(q: np.ndarray, q_ids: np.ndarray, limit: np.ndarray, p: np.nda
     # below zero, shorter vectors reach the limit at smaller cosines than the longest do: no threshold holds for all
     local = np.where(limit[todo] < 0, -1.0, limit[todo] / reach[todo])
     out: list[tuple[int, int, int]] = []
+    repeated = len(np.unique(p_ids)) < len(p_ids)
 
     def verify(i: int, some: np.ndarray | slice, score: np.ndarray | None = None) -> None:
         ids = p_ids[some]
         score = products(q[i : i + 1], p[some])[0] if score is None else score
         at = np.nonzero((ids != q_ids[i]) & (score >= limit[i]))[0]
-        at = at[best_of(score[at], ids[at], k)]
+        at = at[best_of(score[at], ids[at], k, repeated)]
         out.extend((int(q_ids[i]), int(ids[j]), int(score[j])) for j in at)
 
     if np.median(local) >= STEEP:  # by coordinate
@@ -112,7 +120,7 @@ def search_bucket(q: np.ndarray, q_ids: np.ndarray, limit: np.ndarray, p: np.nda
 
 def search(items: DataFrame, queries: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) over rows (vec_id, v array<double> of integers); `queries` tells which rows are queries."""
-    rows = cut(items.select("vec_id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+    rows = cut(items.distinct().select("vec_id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
     spark = rows.sparkSession
     n, limits = rows.agg(F.count("*"), F.percentile_approx("norm", [i / RANGES for i in range(1, RANGES)], 10000)).first()
     schema = "query_id long, vec_id long, score long"
@@ -133,15 +141,17 @@ def search(items: DataFrame, queries: Column, k: int) -> DataFrame:
 
     def limited(batches):
         p, p_ids = seeds.value
+        repeated = len(np.unique(p_ids)) < len(p_ids)
         for batch in batches:
             out = np.full(len(batch), -np.inf)
             if len(batch):
                 q, wide = widened(matrix(batch["v"]), p)
                 score = products(q, wide)
                 for i, x in enumerate(batch["vec_id"]):
-                    own = score[i][p_ids != x]
-                    if len(own) >= k:
-                        out[i] = np.partition(own, len(own) - k)[len(own) - k]
+                    some = np.nonzero(p_ids != x)[0]
+                    own = best_of(score[i][some], p_ids[some], k, repeated)
+                    if len(own) == k:
+                        out[i] = score[i][some[own[-1]]]
             yield batch.assign(limit=out)
 
     asked = cut(rows.where(queries).mapInPandas(limited, "vec_id long, v array<double>, norm double, limit double"))
@@ -155,8 +165,17 @@ def search(items: DataFrame, queries: Column, k: int) -> DataFrame:
         return F.when(meets, F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda s: (F.lit(x) * (1 << 32) + s).cast("long"))).otherwise(none)
 
     places = F.flatten(F.array(*(buckets(x) for x in sizes)))
-    asks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("bucket", F.explode(places)).select("block", "bucket", "vec_id", "v", "limit")
-    have = dealt.withColumn("bucket", bucket).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").cast("long").alias("block"), "bucket", "vec_id", "v")
+    # the norm that a candidate needs for this query; queries that need alike share blocks
+    need = F.when(F.col("norm") > 0, F.col("limit") / F.col("norm")).otherwise(F.lit(float("-inf")))
+    shelves = min(blocks, SHELVES)
+    points = [] if shelves == 1 else sorted(set(asked.agg(F.percentile_approx(need, [i / shelves for i in range(1, shelves)], 10000)).first()[0] or []))
+    shelf = F.lit(0)
+    for i, x in enumerate(points):
+        shelf = F.when(need > x, i + 1).otherwise(shelf)
+    block = shelf.cast("long") * blocks + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(-(-blocks // shelves)))
+    asks = asked.withColumn("block", block).withColumn("bucket", F.explode(places)).select("block", "bucket", "vec_id", "v", "limit")
+    pairs = asks.select(F.col("block").alias("_block"), F.col("bucket").alias("_bucket")).distinct()
+    have = dealt.withColumn("_own", bucket).join(pairs, F.col("_own") == F.col("_bucket")).select(F.col("_block").alias("block"), F.col("_bucket").alias("bucket"), "vec_id", "v")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -165,18 +184,18 @@ def search(items: DataFrame, queries: Column, k: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = asks.groupBy("block", "bucket").cogroup(have.groupBy("block", "bucket")).applyInPandas(meet, schema)
-    return ranked(found, k)
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 
 def integers(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): components turned into floor(scale * x), x as double; held as doubles, which is exact for them."""
-    own = vectors.where(usable(F.col(vector_col)))
+    own = vectors.where(usable(F.col(f"`{vector_col}`")))
 
     def whole(x: Column) -> Column:
         y = F.lit(float(scale)) * x.cast("double")
         return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
 
-    return own.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, whole).alias("v"))
+    return own.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(F.col(f"`{vector_col}`"), whole).alias("v"))
 
 
 def exact_top(vectors: DataFrame, every: int, k: int, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
