@@ -45,3 +45,20 @@ def test_pipeline_on_nothing(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def test_pipeline_on_difficult_rows(spark):
+    """Nulls in any column, repeated rows, a very long text, and columns whose names clash or hold dots, through all stages."""
+    long = "one long text that goes on and on with a.b@c.de and 1.2.3.4 in it " * 8000
+    rows = [(1, "the same words in a text of some length", "en", "s", 1), (1, "the same words in a text of some length", "en", "s", 1), (2, "the same words in a text of some length", None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, "a text without a number that is kept", "en", "s", 3), (5, long, "en", "s", 9), (6, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for name in ("a.b", "_row", "_id", "doc", "label", "w0", "_gone", "component_id", "fp", "_key", "spans", "score", "lang_pred", "length"):
+        docs = docs.withColumn(name, F.lit("x"))
+    first = corpus_pipeline.language(spark, docs, SF)
+    assert first.schema == docs.schema and sorted(r.doc_id or 0 for r in first.select("doc_id").collect()) == [0, 1, 1, 2, 5]
+    second = corpus_pipeline.deduplicate(spark, first, SF)
+    assert second.columns == docs.columns and sorted(r.doc_id or 0 for r in second.select("doc_id").collect()) == [0, 1, 5]
+    third = corpus_pipeline.private(spark, second, SF)
+    assert third.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in third.collect()}[5] == ((masked := long.replace("a.b@c.de", "<EMAIL>").replace("1.2.3.4", "<IP>")), len(masked))
+    last = corpus_pipeline.pack(spark, third, SF)
+    assert {r.doc_id for r in last.collect()} == {None, 1, 5}
