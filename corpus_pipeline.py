@@ -4,20 +4,19 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 documents.  No stage keeps a limit or a sample of its input; only the language network is trained on a bounded, labelled sample.
 
 Edge cases: those of the operators (see their modules); null texts have no language and go in the first stage; an empty table gives an empty
-result; extra columns of documents are carried to the last stage.
+result; extra columns of documents, whatever their names, are carried to the last stage; n_chars is the length of the masked text, where there is one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, pii, simhash
-from factloom.llm.common import shared_dir, table
+from factloom.llm.common import table
 from factloom.llm.queries import packed
 from factloom.session import importable
+from factloom.sources.shared import working_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: personal data is masked; n_chars follows the text."""
     masked = pii.mask(docs)
-    return masked.select(*(F.length("text").cast(masked.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in masked.columns))
+    return masked.select(*(F.length("text").cast(masked.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in masked.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, at = table(spark, sf_dir, "documents"), working_dir(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{i}-{name}")
         docs = spark.read.parquet(f"{at}/{i}-{name}")
