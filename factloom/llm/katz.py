@@ -1,27 +1,29 @@
-"""Word bigram model with Katz backoff, learned from and applied to whole corpora.
+"""Word n-gram model with Katz backoff, learned from and applied to whole corpora.
 
-Tokens are the ASCII-lower-cased words of a text and one end token.  With c for training counts:
+Tokens are the ASCII-lower-cased words of a text and one end token.  The history of a token are the words before it, up to ORDER - 1 and
+no further than to a start mark before the text's first word.  With c for training counts and h' for h without its first word:
 
-    p(w | h) = (D(c(h,w)) / c(h))          if c(h,w) > 0
-               alpha(h) * p(w)             otherwise;  alpha = 1 where h never occurred
-    p(w)     = D1(c(w)) / N                if c(w) > 0,   p0 = what that leaves of 1, for all unknown words together
+    p(w | h) = D(c(h w)) / c(h)               if c(h w) reaches LEAST for its order
+               alpha(h) * p(w | h')           otherwise; alpha = 1 where no n-gram of h reaches it
+    p(w)     = D(c(w)) / N                    if c(w) > 0,   p0 = what that leaves of 1, for all unknown words together
 
-D is the Good-Turing discounted count up to K (Katz's form, by the counts of counts of all training bigrams; D1: words), and c - DELTA
-above K, so that every history leaves some mass.  alpha(h) makes the sum over the vocabulary and the unknown word exactly one.
+D is the Good-Turing discounted count up to K (by the counts of counts of all training n-grams of the order), and c - DELTA above K, so
+that every history leaves some mass; alpha(h) makes the sum over the vocabulary and the unknown word exactly one.  LEAST is
+part of the model, not of its size: trigrams are kept from two occurrences on, as is usual; all are counted, and each history's mass for
+those that occur once goes to its words by the bigrams.
 
-The tables are partitioned by key and never gathered.  A task reads its documents in chunks.  Of each chunk, the partition of w gets
-the distinct bigrams (h, w) with their training counts in the chunk, adds up c(w) and c(h,w), and answers the chunk with both; the
-partition of h gets class counts of h's bigrams, and answers chunks whose bigrams were never seen with the backoff weight.  The
-chunk's tokens, as positions in its list of bigrams, wait in the chunk's home partition, where the answers meet them.  So what
-travels is bounded by the chunks' distinct bigrams, however many partitions there are.  Discounts need global counts of counts:
-each partition of words sends its own (a dozen numbers) to all partitions.  What travels are compressed blocks of numpy arrays,
-one for each sending task, receiving partition and kind.
+The model is built order by order, and each order is stored before the next one: for every partition of histories its n-grams with
+their counts (`counts` reads them as rows).  Texts are read once, into chunks of about CHUNK tokens, stored in buckets by chunk.  For
+each order a chunk asks the partitions about its distinct n-grams, with their training counts in the chunk; a partition adds
+up, stores its part of the table and answers each chunk from it with the counts, and, for histories that need one, with what makes
+the backoff weight.  So what travels is bounded by the chunks' distinct n-grams, and by the rule that an n-gram can
+reach its LEAST only if its parts do: others aren't asked about.  Words get numbers with the first order, which is what later orders
+send.  Discounts need counts of counts over all partitions, a dozen sums an order.  At last the chunks evaluate their tokens: from the
+longest history, recursively through the shorter ones.
 
-`scored` streams the counts through these partitions without keeping them.  `store` writes them as Parquet tables, partitioned
-alike, with the backoff weight of every history, and `evaluate` scores texts from such tables by joins; both give the same scores.
-
-A word with a large share of all tokens is dealt out by its partner to several partitions (`hot_words`: chosen from a sample; the
-choice steers balance only, results don't depend on it).  Words are told apart by 64-bit hashes.
+Partitions follow the number of tokens (PART tokens each).  A history with a large share of all tokens is dealt by its words to
+several partitions, as its count, known from the order before, tells; chunks add up what these say of its weight.
+Blocks that travel are numpy arrays, compressed.  Words are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty (an end token only); very long texts are cut nowhere; repeated rows are repeated documents;
 without training rows all scores are 0 (p0 = 1); an empty table gives an empty result; other columns are not read.
@@ -30,481 +32,483 @@ without training rows all scores are 0 (p0 = 1); an empty table gives an empty r
 from __future__ import annotations
 
 import pickle
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import working_dir
+
+ORDER = 3
+#: Least training count of an n-gram in the model, by order; the last holds for all higher ones.
+LEAST = (1, 1, 2)
 K = 5
 DELTA = 0.5
-#: Tokens of a chunk, and one document more.
+#: Tokens of a chunk, and one document more; tokens of a partition; partitions at least.
 CHUNK = 2_500_000
-#: Partitions of words, histories and chunks; more where spark.sql.shuffle.partitions is.
+PART = 2_500_000
 LEAST_PARTS = 8
-BLOCKS = "part int, sort string, blob binary"
-#: Texts looked at to find words that are dealt to several partitions.
-LOOK = 3000
+#: Bytes of input for a bucket of chunks.
+BUCKET = 8 << 20
 END, START = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def packed(x: np.ndarray) -> tuple:
+def least(order: int) -> int:
+    return LEAST[min(order, len(LEAST)) - 1]
+
+
+# Blocks
+
+
+def _planes(x: np.ndarray) -> tuple:
     """Bytes of like significance together, which compresses far better."""
+    x = np.asarray(x)
     if len(x) and x.dtype.kind in "iu" and x.min() >= 0:
         x = x.astype(np.min_scalar_type(x.max()))
-    return x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+    return x.dtype.str, np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
 
 
-def unpacked(x: tuple) -> np.ndarray:
-    kind = np.dtype(x[0])
-    return np.ascontiguousarray(np.frombuffer(x[1], dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+def block(**columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps({k: _planes(v) for k, v in columns.items()}, protocol=5))
 
 
-def opened(table: pa.Table, *sorts: str) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
-    """Messages (kind and columns) of the blocks of these sorts."""
-    for sort, blob in zip(table.column("sort"), table.column("blob"), strict=True):
-        if sort.as_py() in sorts:
-            for kind, columns in pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_buffer())):
-                yield kind, {k: unpacked(v) for k, v in columns.items()}
+def unblock(blob: bytes | memoryview) -> dict[str, np.ndarray]:
+    out = {}
+    for name, (kind, data) in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)).items():
+        kind = np.dtype(kind)
+        x = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+        out[name] = x.astype(np.int64) if kind.kind in "iu" else x  # of hashes the same bits
+    return out
 
 
-class Outbox:
-    """What one task sends: one compressed block for each receiving partition and sort."""
+def deltas(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)).astype(np.uint64)
 
-    def __init__(self) -> None:
-        self.held: dict[tuple[int, str], list] = {}
 
-    def add(self, part: int, sort: str, kind: str, **columns: np.ndarray) -> None:
-        self.held.setdefault((int(part), sort), []).append((kind, {k: packed(v) for k, v in columns.items()}))
+def sums(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x.astype(np.uint64), dtype=np.uint64)
 
-    def table(self) -> pa.Table:
-        blobs = [zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5)) for x in self.held.values()]
-        parts, sorts = [p for p, _ in self.held], [s for _, s in self.held]
-        return pa.table({"part": pa.array(parts, pa.int32()), "sort": pa.array(sorts, pa.string()), "blob": pa.array(blobs, pa.binary())})
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * MIX
+    return x ^ (x >> np.uint64(29))
 
-def deltas(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_keys, prepend=np.uint64(0)).astype(np.uint64)
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mixed(keys) >> np.uint64(31)) % np.uint64(parts)).astype(np.int64)
 
-def sums(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(x.astype(np.uint64), dtype=np.uint64)
 
+# Figures of a whole order
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The home partition of words or document keys."""
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
+def discounts(n: np.ndarray, low: int = 1) -> np.ndarray:
+    """Discounted counts D(1) to D(K), from the numbers of types that occur once to K+1 times; those below `low` are not in the model."""
+    n = n.astype(float)
+    r = np.arange(1, K + 1)
+    plain = r - DELTA  # where the counts of counts are too few for Good-Turing
+    if n[low - 1 : K + 1].min() <= 0:
+        return plain
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = (r + 1) * n[1:] / (r * n[:K])
+        if low == 1:  # Katz's form: what the discounts free is the mass of types that occur once
+            most = (K + 1) * n[K] / n[0]
+            ratio = (ratio - most) / (1 - most) if most != 1 else np.full(K, -1.0)
+    return np.where((ratio > 0) & (ratio < 1), ratio * r, plain)
 
-class Spread:
-    """Into how many partitions a word is dealt: hashes of hot words, ascending, and their counts of partitions."""
 
-    def __init__(self, hot: dict[int, int], parts: int):
-        self.parts = parts
-        self.keys = np.array(sorted(hot), dtype=np.uint64)
-        self.many = np.array([hot[int(k)] for k in self.keys], dtype=np.int64)
+class Totals:
+    """Global figures of one order, from the partitions' counts of counts (1 to K+1, then above) and sum of counts."""
 
-    def width(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(keys), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.many[at], 1)
+    def __init__(self, order: int, x: np.ndarray):
+        self.order = order
+        self.low = discounts(x[: K + 1], least(order))
+        self.v, self.n = int(x[: K + 2].sum()), int(x[K + 2])
+        left = ((np.arange(1, K + 1) - self.low) * x[:K]).sum() + DELTA * x[K : K + 2].sum()
+        self.p0 = left / self.n if self.n else 1.0
 
-    def dest(self, keys: np.ndarray, partners: np.ndarray) -> np.ndarray:
-        width = self.width(keys)
-        home = part_of(keys, self.parts)
-        some = width > 1
-        home[some] = (home[some] + ((partners[some].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(35)).astype(np.int64) % width[some])) % self.parts
-        return home
+    def cut(self, c: np.ndarray) -> np.ndarray:
+        """The discounted count; 0 for n-grams that the model does not have."""
+        return np.where(c < least(self.order), 0.0, np.where(c > K, c - DELTA, self.low[np.clip(c, 1, K) - 1]))
 
 
-def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows by destination; `order` sorts by it."""
-    if not len(order):
-        return
-    at = np.nonzero(np.diff(dest[order], prepend=-1))[0]
-    for i, j in zip(at, [*at[1:], len(order)], strict=True):
-        yield int(dest[order[i]]), order[i:j]
+def _figures(c: np.ndarray) -> np.ndarray:
+    return np.append(np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1:], c.sum())
 
 
-def chunks(spread: Spread, least: int = CHUNK):
-    """Map side: documents (key, id, held out, text) -> bigrams for the partitions of words, tokens for the chunk's home."""
+# Chunks
 
-    def emit(words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], nth: int) -> pa.Table:
-        hashes = np.array([END, START, *(xxhash.xxh64_intdigest(w) for w in list(words)[2:])], dtype=np.uint64)
-        rank = np.empty(len(hashes), dtype=np.int64)
-        rank[order := np.argsort(hashes)] = np.arange(len(hashes))
-        hashes = hashes[order]
+
+def cut_up(size: int = CHUNK):
+    """Documents (key, id, held out, text) -> chunks (chunk, tokens, blob): their words, and tokens as places in these."""
+
+    def emit(words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple]) -> pa.RecordBatch:
+        hashes = np.array([START, END, *(xxhash.xxh64_intdigest(w) for w in list(words)[2:])], dtype=np.uint64)
+        order = np.concatenate(([0], 1 + np.argsort(hashes[1:])))  # the start mark first, then by hash
+        rank = np.empty(len(hashes), dtype=np.int32)
+        rank[order] = np.arange(len(hashes))
         lengths = np.array([len(x) + 1 for x in ids])
         ends = np.cumsum(lengths) - 1
-        w = np.zeros(ends[-1] + 1, dtype=np.int32)
+        w = np.ones(ends[-1] + 1, dtype=np.int32)
         w[np.delete(np.arange(len(w)), ends)] = np.concatenate(ids)
-        ids.clear()
-        h = np.concatenate((np.ones(1, dtype=np.int32), w[:-1]))
-        h[ends[:-1] + 1] = 1
         keys, own, known, held = (np.array(x) for x in zip(*docs, strict=True))
-        learn = np.repeat(~held, lengths)
-        code = rank[w]
-        code *= len(hashes)
-        code += rank[h]
-        del w, h
-        pair, at = np.unique(code, return_inverse=True)
-        del code
-        at = at.astype(np.int32)
-        times = np.bincount(at[learn], minlength=len(pair))
-        w, h = np.divmod(pair, len(hashes))
-        out, dest = Outbox(), part_of(hashes, spread.parts)[w]
-        wide = np.nonzero(spread.width(hashes) > 1)[0]
-        if len(wide):
-            some = np.isin(w, wide)
-            dest[some] = spread.dest(hashes[w[some]], hashes[h[some]])
-            total = np.bincount(w, weights=times, minlength=len(hashes)).astype(np.int64)
-            for word in wide:
-                home, many = part_of(hashes[word : word + 1], spread.parts)[0], spread.width(hashes[word : word + 1])[0]
-                for i in range(many):
-                    out.add((home + i) % spread.parts, "ask", "wide", word=hashes[word : word + 1], count=total[word : word + 1])
-        # the list of bigrams is in the order of what each partition gets; `first` is where a partition's part of it begins
-        order = np.argsort(dest, kind="stable")
-        slot = np.empty(len(order), dtype=np.int64)
-        slot[order] = np.arange(len(order))
-        chunk = keys[:1]
-        # chunks of a task go to neighbouring homes, first chunks of neighbouring tasks too
-        home = (int(chunk[0] >> 33) + nth) % spread.parts
-        out.add(home, "chunk", "chunk", chunk=chunk, id=own, known=known.astype(np.uint8), held=held.astype(np.uint8), n=lengths, slot=slot[at], size=np.array([len(pair)]))
-        first = 0
-        for p, r in _split(dest, order):
-            uw, nw = np.unique(w[r], return_counts=True)
-            uh, ih = np.unique(h[r], return_inverse=True)
-            out.add(p, "ask", "pairs", chunk=chunk, home=np.array([home]), first=np.array([first]), w=deltas(hashes[uw]), n=nw, h=deltas(hashes[uh]), hi=ih, times=times[r])
-            first += len(r)
-        return out.table()
+        blob = block(words=deltas(hashes[order][1:]), w=rank[w], n=lengths, id=own, known=known.astype(np.uint8), held=held.astype(np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array(keys[:1]), pa.array([len(w)], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "tokens", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         docs: list[tuple] = []
-        size = nth = 0
+        many = 0
         for batch in batches:
             for key, own, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not docs:
-                    words, size = {b"\x00 end": 0, b"\x00 start": 1}, 0
+                    words, many = {b"\x00 start": 0, b"\x00 end": 1}, 0
                 found = tokens(text)
                 ids.append(np.array([words.setdefault(x, len(words)) for x in found], dtype=np.int32))
                 docs.append((key, own or 0, own is not None, bool(held)))
-                size += len(found) + 1
-                if size >= least:
-                    yield from emit(words, ids, docs, nth).to_batches()
-                    ids, docs, nth = [], [], nth + 1
+                many += len(found) + 1
+                if many >= size:
+                    yield emit(words, ids, docs)
+                    ids, docs = [], []
         if docs:
-            yield from emit(words, ids, docs, nth).to_batches()
+            yield emit(words, ids, docs)
 
     return run
 
 
-def _combine(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Dictionaries and indices into them -> one sorted dictionary and all indices."""
-    every = np.unique(np.concatenate([d for d, _ in parts]))
-    return every, np.concatenate([np.searchsorted(every, d)[i] for d, i in parts])
+class Chunk:
+    """A chunk's tokens and distinct n-grams, and what is known of these so far.
+
+    Of each order m: `code` (the m-gram that ends at a token, or -1), and of the m-grams `pre` (the m-1-gram that they begin
+    with), `last` (their last word), `suf` (the m-1-gram that they end with), `times` (in training texts) and `c` (count of all training texts).
+    """
+
+    def __init__(self, blob: bytes, parts: int):
+        x = unblock(blob)
+        self.parts, self.own = parts, x
+        self.words = sums(x["words"])  # place i + 1; place 0 is the start mark
+        self.w, self.n, self.size = x["w"].astype(np.int64), x["n"], len(x["words"]) + 1
+        self.first = np.cumsum(self.n) - self.n
+        self.pos = np.arange(len(self.w)) - np.repeat(self.first, self.n)
+        self.learn = np.repeat(x["held"] == 0, self.n)
+        every = np.arange(self.size)
+        self.code, self.pre, self.last, self.suf = [None, self.w], [None, None], [None, every], [None, None]
+        self.times, self.c, self.alpha = [None, np.bincount(self.w[self.learn], minlength=self.size)], [None], [None, None]
+
+    def ask_words(self) -> list[tuple[int, np.ndarray]]:
+        """Words of each partition, by place."""
+        dest = part_of(self.words, self.parts)
+        order = np.argsort(dest, kind="stable")
+        return [(p, 1 + some) for p, some in _split(dest, order)]
+
+    def receive_words(self, answers: dict[int, dict]) -> None:
+        self.ids, c = np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64)
+        for p, some in self.ask_words():
+            x = answers[p]
+            c[some] = x["c"]
+            self.ids[some] = np.where(x["c"] > 0, x["id"].astype(np.int64) * self.parts + p + 1, 0)
+        c[0] = c[np.searchsorted(self.words, END) + 1]  # as often as texts begin, they end
+        self.c.append(c)
+
+    def extend(self, m: int) -> None:
+        """The distinct m-grams."""
+        before = np.concatenate(([0], self.code[m - 1][:-1]))
+        some = self.pos >= m - 2
+        if m == 2:
+            before[self.first] = 0
+        pair, at = np.unique(before[some] * self.size + self.w[some], return_inverse=True)
+        code = np.full(len(self.w), -1, dtype=np.int64)
+        code[some] = at
+        suf = np.empty(len(pair), dtype=np.int64)
+        suf[at] = self.code[m - 1][some]
+        pre, last = np.divmod(pair, self.size)
+        self.code.append(code)
+        self.pre.append(pre)
+        self.last.append(last)
+        self.suf.append(suf)
+        self.times.append(np.bincount(at[self.learn[some]], minlength=len(pair)))
+
+    def spelt(self, m: int, grams: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the words of m-grams."""
+        return [self.ids[grams]] if m == 1 else [*self.spelt(m - 1, self.pre[m][grams]), self.ids[self.last[m][grams]]]
+
+    def ask(self, m: int, total: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each partition: histories (m-1-grams, in order of their words), how many m-grams of each, whether its weight is needed, and the m-grams."""
+        good = self.c[m - 1] >= least(m)
+        known = good[self.pre[m]]
+        asked = np.nonzero(known & good[self.suf[m]])[0]
+        hist = np.unique(self.pre[m][known])
+        if not len(hist):
+            return []
+        spelt = self.spelt(m - 1, hist)
+        order = np.lexsort(spelt[::-1])
+        hist, spelt = hist[order], [x[order] for x in spelt]
+        place = np.zeros(len(good), dtype=np.int64)
+        place[hist] = np.arange(len(hist))
+        need = np.zeros(len(hist), dtype=bool)
+        need[place[np.delete(self.pre[m], asked)[np.delete(known, asked)]]] = True
+        key = np.zeros(len(hist), dtype=np.uint64)
+        for x in spelt:
+            key = mixed(key + x.astype(np.uint64) + np.uint64(1))
+        home = part_of(key, self.parts)
+        width = np.minimum(self.parts, 1 + self.c[m - 1][hist] * 2 * self.parts // max(1, total))
+        # a history's home, and for wide ones the partitions after it
+        copies = np.repeat(np.arange(len(hist)), width)
+        shift = np.arange(len(copies)) - np.repeat(np.cumsum(width) - width, width)
+        entry = np.sort((home[copies] + shift) % self.parts * len(hist) + copies)
+        own, word = place[self.pre[m][asked]], self.ids[self.last[m][asked]]
+        dealt = (part_of(word, 1 << 30) % width[own] + home[own]) % self.parts
+        at = np.searchsorted(entry, dealt * len(hist) + own)
+        order = np.lexsort((word, at))
+        asked, at = asked[order], at[order]
+        many = np.bincount(at, minlength=len(entry))
+        dest, rows = np.divmod(entry, len(hist))
+        out, edge = [], np.cumsum(many)
+        for p, some in _split(dest, np.arange(len(dest))):
+            a, b = some[0], some[-1] + 1
+            out.append((p, hist[rows[a:b]], many[a:b], need[rows[a:b]] | (width[rows[a:b]] > 1), asked[edge[a] - many[a] : edge[b - 1]]))
+        return out
+
+    def receive(self, m: int, totals: list[Totals], answers: dict[int, dict]) -> None:
+        c = np.zeros(len(self.pre[m]), dtype=np.int64)
+        kept, used = np.zeros(len(self.c[m - 1])), np.zeros(len(self.c[m - 1]))
+        for p, hist, _, _, grams in self.ask(m, totals[1].n):
+            x = answers[p]
+            c[grams] = x["c"]
+            if len(x["at"]):
+                at = hist[np.cumsum(x["at"].astype(np.int64))]
+                np.add.at(kept, at, sum(x[f"n{r}"] * totals[m].low[r - 1] for r in range(least(m), K + 1)) + x["mass"] - DELTA * x["many"])
+                np.add.at(used, at, x["used"])
+        self.c.append(c)
+        own = self.c[m - 1]
+        below = totals[1].n if m == 2 else self.c[m - 2][self.suf[m - 1]]
+        alpha, some = np.zeros(len(own)), np.nonzero(kept > 0)[0]
+        alpha[some] = np.log10(np.maximum(1 - kept[some] / own[some], 1e-300)) - np.log10(np.maximum(1 - used[some] / (below if m == 2 else below[some]), 1e-300))
+        self.alpha.append(alpha)
+
+    def scores(self, totals: list[Totals]) -> pa.Table:
+        first, order = totals[1], len(totals) - 1
+        c = self.c[1]
+        log = np.log10(np.where(c > 0, first.cut(c) / max(1, first.n), first.p0))
+        token = np.zeros(len(self.w))
+        for m in range(2, order + 1):
+            c, own = self.c[m], self.c[m - 1][self.pre[m]]
+            seen = c >= least(m)
+            here = self.alpha[m][self.pre[m]] + log[self.suf[m]]
+            here[seen] = np.log10(totals[m].cut(c[seen])) - np.log10(own[seen])
+            log, some = here, self.code[m] >= 0
+            token[some] = log[self.code[m][some]]
+        if order == 1:
+            token = log[self.w]
+        add = lambda x: np.add.reduceat(x, self.first)
+        c = self.c[1][self.w]
+        base = add(np.log10(c + 1.0)) - self.n * np.log10(first.n + first.v + 1)
+        ids = pa.array(self.own["id"].astype(np.int64), mask=self.own["known"] == 0)
+        return pa.table({"doc_id": ids, "held_out": pa.array(self.own["held"] > 0), "n_tokens": self.n, "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(len(self.n), first.n), "base_score": base, "score": add(token)})
 
 
-def _classes(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, K + 1)
+def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows by destination; `order` sorts by it."""
+    if len(order):
+        at = np.nonzero(np.diff(dest[order], prepend=-1))[0]
+        for i, j in zip(at, [*at[1:], len(order)], strict=True):
+            yield int(dest[order[i]]), order[i:j]
+
+
+def _restored(left: pa.Table, right: pa.Table, parts: int, totals: list[Totals], order: int) -> Chunk:
+    """A chunk with all that has been answered, ready to ask about `order`."""
+    answers: dict[int, dict] = {}
+    for m, p, blob in zip(right.column("answers").to_pylist(), right.column("part").to_pylist(), right.column("blob"), strict=True):
+        answers.setdefault(m, {})[p] = blob.as_buffer()
+    out = Chunk(left.column("blob")[0].as_buffer(), parts)
+    if order > 1:
+        out.receive_words({p: unblock(b) for p, b in answers[1].items()})
+    for m in range(2, order + 1):
+        out.extend(m)
+        if m < order:
+            out.receive(m, totals, {p: unblock(b) for p, b in answers.get(m, {}).items()})
+    return out
 
 
-def by_word(spread: Spread):
-    """Partition of words: counts, answers to the chunks, and what goes on to histories."""
+ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
-    def run(table: pa.Table) -> pa.Table:
-        here = table.column("part")[0].as_py()
-        out, pairs, wide = Outbox(), [], Counter()
-        for kind, x in opened(table, "ask"):
-            if kind == "wide":
-                wide[int(x["word"][0])] += int(x["count"][0])
-            else:
-                pairs.append(x)
-        if not pairs and not wide:
-            return out.table()
-        uw, uh, w, h, times, cw, width = _gathered(pairs, wide, spread)
-        pair, at = np.unique(w * max(1, len(uh)) + h, return_inverse=True)
-        c = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
-        pw, ph = np.divmod(pair, max(1, len(uh)))
-        # counts of counts; a word that is dealt to several partitions counts at its home alone
-        home = (width == 1) | (part_of(uw, spread.parts) == here)
-        stats = np.concatenate((np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2], np.bincount(np.minimum(cw[home], K + 2), minlength=K + 3)[1:], [cw[home].sum()]))
-        for p in range(spread.parts):
-            out.add(p, "history", "stats", x=stats)
-        # what histories get: how many bigrams of each pair of classes they have, and their own count
-        seen = c > 0
-        code = (_classes(c[seen]) - 1) * (K + 1) + _classes(cw[pw[seen]]) - 1
-        both, back = np.unique(ph[seen] * (K + 1) ** 2 + code, return_inverse=True)
-        hist, code = np.divmod(both, (K + 1) ** 2)
-        many, mass = np.bincount(back, minlength=len(both)), np.bincount(back, weights=cw[pw[seen]], minlength=len(both)).astype(np.int64)
-        own = home & (cw > 0)
-        key = np.concatenate((uh[hist], np.where(uw[own] == END, START, uw[own])))
-        code = np.concatenate((code, np.full(own.sum(), (K + 1) ** 2)))
-        many, mass = np.concatenate((many, cw[own])), np.concatenate((mass, np.zeros(own.sum(), dtype=np.int64)))
-        rows = np.arange(len(key))
-        dest, first = [part_of(key, spread.parts)], [rows]
-        many_parts = spread.width(key)
-        for i in np.nonzero(many_parts > 1)[0]:
-            dest.append((dest[0][i] + np.arange(1, many_parts[i])) % spread.parts)
-            first.append(np.full(many_parts[i] - 1, i))
-        dest, rows = np.concatenate(dest), np.concatenate(first)
-        for p, r in _split(dest, np.lexsort((key[rows], dest))):
-            r = rows[r]
-            out.add(p, "history", "history", h=deltas(key[r]), code=code[r], many=many[r], mass=mass[r])
-        # answers in the order of the questions, and the slots of bigrams never seen in training
-        asked, slots, start = np.zeros(len(w), dtype=np.int32), np.zeros(len(w), dtype=np.int64), 0
-        for i, x in enumerate(pairs):
-            some = slice(start, start + len(x["hi"]))
-            asked[some], slots[some] = i, int(x["first"][0]) + np.arange(len(x["hi"]))
-            words = w[some][np.cumsum(x["n"].astype(np.int64)) - 1]
-            out.add(int(x["home"][0]), "answer", "counts", chunk=x["chunk"], first=x["first"], c=c[at[some]], n=x["n"], cw=cw[words])
-            start = some.stop
-        new = np.nonzero(c[at] == 0)[0]
-        chunk, homes = (np.array([int(x[name][0]) for x in pairs], dtype=np.int64) for name in ("chunk", "home"))
-        dest = spread.dest(uh[h[new]], slots[new] + asked[new])
-        for p, r in _split(dest, np.lexsort((h[new], asked[new], dest))):
-            r = new[r]
-            ua, ia = np.unique(asked[r], return_inverse=True)
-            uu, iu = np.unique(h[r], return_inverse=True)
-            out.add(p, "history", "unseen", h=deltas(uh[uu]), hi=iu, chunk=chunk[ua], home=homes[ua], ci=ia, slot=slots[r])
-        return out.table()
+
+def asking(order: int, parts: int, totals: list[Totals]):
+    """Chunk side of an order: (part, chunk, blob) for each partition."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return ASK.empty_table()
+        own, rows = _restored(left, right, parts, totals, order), []
+        chunk = left.column("chunk")[0].as_py()
+        if order == 1:
+            rows = [(p, chunk, block(words=deltas(own.words[some - 1]), times=own.times[1][some])) for p, some in own.ask_words()]
+        else:
+            for p, hist, many, need, grams in own.ask(order, totals[1].n):
+                spelt = own.spelt(order - 1, hist)
+                columns = {"h0": deltas(spelt[0])} | {f"h{i}": x for i, x in enumerate(spelt[1:], 1)}
+                rows.append((p, chunk, block(**columns, many=many, need=need.view(np.uint8), w=own.ids[own.last[order][grams]], times=own.times[order][grams], below=own.c[order - 1][own.suf[order][grams]])))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ASK, strict=True)], schema=ASK) if rows else ASK.empty_table()
 
     return run
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Discounted counts D(1) to D(K), from the numbers of types that occur once to K+1 times."""
-    n = n.astype(float)
-    r = np.arange(1, K + 1)
-    plain = r - DELTA  # where the counts of counts are too few for Good-Turing
-    if n[: K + 1].min() <= 0:
-        return plain
-    most = (K + 1) * n[K] / n[0]
-    ratio = ((r + 1) * n[1:] / (r * n[:K]) - most) / (1 - most) if most != 1 else np.full(K, -1.0)
-    return np.where((ratio > 0) & (ratio < 1), ratio * r, plain)
+# Partitions
 
+SAID = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("figures", pa.list_(pa.int64()))])
 
-class Totals:
-    """Global figures, from the partitions' counts of counts."""
-
-    def __init__(self, x: np.ndarray):
-        self.pairs = discounts(x[: K + 1])
-        words = x[K + 1 : 2 * K + 3]
-        self.words = discounts(words[: K + 1])
-        self.n, self.v = int(x[2 * K + 3]), int(words.sum())
-        left = ((np.arange(1, K + 1) - self.words) * words[:K]).sum() + DELTA * words[K:].sum()
-        self.p0 = left / self.n if self.n else 1.0
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        """Probability of a word of count c."""
-        return np.where(c == 0, self.p0, np.where(c > K, c - DELTA, self.words[np.clip(c, 1, K) - 1]) / max(1, self.n))
+def _said(part: int, figures: np.ndarray, stored: bytes, answers: list[tuple[int, bytes]]) -> pa.Table:
+    rows = [("figures", None, part, None, figures.tolist()), ("counts", None, part, stored, None), *(("answer", chunk, part, blob, None) for chunk, blob in answers)]
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SAID, strict=True)], schema=SAID)
 
 
-def by_history(spread: Spread):
-    """Partition of histories: backoff weights for the chunks' unseen bigrams; answers about counts pass through."""
+def _asked(table: pa.Table) -> tuple[int, list[int], list[dict]]:
+    chunks = table.column("chunk").to_pylist()
+    order = np.argsort(chunks, kind="stable").tolist()
+    return table.column("part")[0].as_py(), [chunks[i] for i in order], [unblock(table.column("blob")[i].as_buffer()) for i in order]
 
-    def run(table: pa.Table) -> pa.Table:
-        out, hist, new, stats = Outbox(), [], [], np.zeros(2 * K + 4, dtype=np.int64)
-        for kind, x in opened(table, "history"):
-            if kind == "stats":
-                stats += x["x"].astype(np.int64)
-            else:
-                (hist if kind == "history" else new).append(x)
-        out.add(table.column("part")[0].as_py(), "weight", "stats", x=stats)
-        answers = table.filter(pc.equal(table.column("sort"), "answer"))
-        if not new:
-            return pa.concat_tables([answers, out.table()])
-        total = Totals(stats)
-        uh, h = _combine([(sums(x["h"]), x["hi"]) for x in new])
-        chunk, slot = np.concatenate([x["chunk"].astype(np.int64)[x["ci"]] for x in new]), np.concatenate([x["slot"].astype(np.int64) for x in new])
-        home = np.concatenate([x["home"].astype(np.int64)[x["ci"]] for x in new])
-        own, left, used = np.zeros(len(uh)), np.zeros(len(uh)), np.zeros(len(uh))
-        for x in hist:
-            keys = sums(x["h"])
-            at = np.minimum(np.searchsorted(uh, keys), len(uh) - 1)
-            r = np.nonzero(uh[at] == keys)[0]
-            at, code, many, mass = at[r], x["code"][r].astype(np.int64), x["many"][r].astype(float), x["mass"][r].astype(float)
-            count = code == (K + 1) ** 2
-            np.add.at(own, at[count], many[count])
-            at, code, many, mass = at[~count], code[~count], many[~count], mass[~count]
-            pair, word = np.divmod(code, K + 1)
-            np.add.at(left, at, np.where(pair == K, DELTA, pair + 1 - total.pairs[np.minimum(pair, K - 1)]) * many)
-            np.add.at(used, at, np.where(word == K, mass - DELTA * many, total.words[np.minimum(word, K - 1)] * many))
-        # left / own is alpha's numerator; the history's own count is taken off each of its occurrences by the chunk
-        alpha = np.where(own > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - used / max(1, total.n), 1e-300)), 0.0)
-        for p, r in _split(home, np.lexsort((h, chunk, home))):
-            # one weight for each history of a chunk, and how many of the slots it holds for
-            edge = np.nonzero((np.diff(chunk[r], prepend=-1) != 0) | (np.diff(h[r], prepend=-1) != 0))[0]
-            uc, ic = np.unique(chunk[r[edge]], return_inverse=True)
-            out.add(p, "weight", "weights", chunk=uc, ci=ic, alpha=alpha[h[r[edge]]], n=np.diff(edge, append=len(r)), slot=slot[r])
-        return pa.concat_tables([answers, out.table()])
 
-    return run
+def count_words(table: pa.Table) -> pa.Table:
+    """Partition of words: counts, numbers for those that occur in training, and answers."""
+    part, chunks, asked = _asked(table)
+    words = [sums(x["words"]) for x in asked]
+    every = np.unique(np.concatenate(words))
+    at = [np.searchsorted(every, x) for x in words]
+    c = np.bincount(np.concatenate(at), weights=np.concatenate([x["times"] for x in asked]), minlength=len(every)).astype(np.int64)
+    ident = np.cumsum(c > 0) - 1
+    stored = block(word=deltas(every[c > 0]), c=c[c > 0])
+    return _said(part, _figures(c[c > 0]), stored, [(chunk, block(c=c[a], id=np.maximum(ident[a], 0))) for chunk, a in zip(chunks, at, strict=True)])
 
 
-def by_chunk(first: pa.Table, second: pa.Table) -> pa.Table:
-    """Home of chunks: tokens, and what partitions of words and of histories have answered about their bigrams."""
-    answers: dict[int, list] = {}
-    weights: dict[int, list] = {}
-    stats = np.zeros(2 * K + 4, dtype=np.int64)
-    for kind, x in opened(second, "weight"):
-        if kind == "stats":
-            stats += x["x"].astype(np.int64)
-        else:
-            alpha, owner = np.repeat(x["alpha"], x["n"]), np.repeat(x["ci"], x["n"])
-            for i, chunk in enumerate(x["chunk"].tolist()):
-                some = owner == i
-                weights.setdefault(chunk, []).append((x["slot"][some], alpha[some]))
-    for _, x in opened(second, "answer"):
-        answers.setdefault(int(x["chunk"][0]), []).append(x)
-    total = Totals(stats)
-    # log10 of the discounted count of a class; the others follow from the count
-    low = np.log10(np.concatenate(([1.0], total.pairs)))
-    out = []
-    for _, own in opened(first, "chunk"):
-        size, chunk = int(own["size"][0]), int(own["chunk"][0])
-        c, cw, alpha = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size)
-        for x in answers.pop(chunk, []):
-            some = slice(int(x["first"][0]), int(x["first"][0]) + len(x["c"]))
-            c[some], cw[some] = x["c"], np.repeat(x["cw"], x["n"])
-        for slot, value in weights.pop(chunk, []):
-            alpha[slot] = value
-        bigram = np.where(c > K, np.log10(np.maximum(c - DELTA, DELTA)), low[np.minimum(c, K)])
-        # a word's occurrence stands for its count as the next token's history; the end's for that of the next start
-        score = np.where(c > 0, bigram, alpha + np.log10(total.p(cw))) - np.log10(np.maximum(cw, 1))
-        slot, n = own["slot"], own["n"].astype(np.int64)
-        at = np.cumsum(n) - n
-        add = lambda x, slot=slot, at=at: np.add.reduceat(x[slot], at)
-        ids = pa.array(own["id"].astype(np.int64), mask=own["known"] == 0)
-        known, base = add((cw > 0).astype(np.int64)), add(np.log10(cw + 1.0)) - n * np.log10(total.n + total.v + 1)
-        out.append(pa.table({"doc_id": ids, "held_out": pa.array(own["held"] > 0), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total.n), "base_score": base, "score": add(score)}))
-    return pa.concat_tables(out) if out else SCHEMA.empty_table()
-
-
-def counted(spread: Spread):
-    """Partition of words as rows: (w, c) of its words with h null, and (h, w, c, cw) of its bigrams."""
+def _history(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers of histories, in order of their words, for parallel columns of these; and the words of each."""
+    key, folded = columns[0].astype(np.uint64), []
+    for x in columns[1:]:
+        every, key = np.unique(key, return_inverse=True)
+        folded.append(every)
+        key = key.astype(np.uint64) << np.uint64(32) | x.astype(np.uint64)
+    every, at = np.unique(key, return_inverse=True)
+    spelt, rest = [], every
+    for before in reversed(folded):
+        spelt.insert(0, (rest & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        rest = before[(rest >> np.uint64(32)).astype(np.int64)]
+    return at, [rest.astype(np.int64), *spelt]
+
+
+def counting(order: int, below: Totals):
+    """Partition of histories: counts of its n-grams, and answers with these and with what makes the histories' weights."""
 
     def run(table: pa.Table) -> pa.Table:
-        here = table.column("part")[0].as_py()
-        pairs, wide = [], Counter()
-        for kind, x in opened(table, "ask"):
-            if kind == "wide":
-                wide[int(x["word"][0])] += int(x["count"][0])
-            else:
-                pairs.append(x)
-        uw, uh, w, h, times, cw, width = _gathered(pairs, wide, spread)
-        pair, at = np.unique(w * max(1, len(uh)) + h, return_inverse=True)
-        c = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
-        pair, c = pair[c > 0], c[c > 0]
-        pw, ph = np.divmod(pair, max(1, len(uh)))
-        own = ((width == 1) | (part_of(uw, spread.parts) == here)) & (cw > 0)
-        none = own.sum()
-        return pa.table({
-            "part": pa.array(np.full(none + len(pair), here, dtype=np.int32)),
-            "h": pa.array(np.concatenate((np.zeros(none, dtype=np.int64), uh[ph].view(np.int64))), mask=np.arange(none + len(pair)) < none),
-            "w": np.concatenate((uw[own], uw[pw])).view(np.int64),
-            "c": np.concatenate((cw[own], c)),
-            "cw": np.concatenate((cw[own], cw[pw])),
-        })
+        part, chunks, asked = _asked(table)
+        columns = [np.concatenate([sums(x["h0"]).astype(np.int64) for x in asked]), *(np.concatenate([x[f"h{i}"] for x in asked]) for i in range(1, order - 1))]
+        at, spelt = _history(columns)
+        starts = np.cumsum([0, *(len(x["h0"]) for x in asked)])
+        hist = np.concatenate([np.repeat(at[a:b], x["many"]) for x, a, b in zip(asked, starts, starts[1:], strict=False)])
+        w, times, low = (np.concatenate([x[name] for x in asked]).astype(np.int64) for name in ("w", "times", "below"))
+        pair, first, back = np.unique(hist.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_index=True, return_inverse=True)
+        c = np.bincount(back, weights=times, minlength=len(pair)).astype(np.int64)
+        kept = np.nonzero(c >= least(order))[0]
+        own, size = (pair[kept] >> np.uint64(32)).astype(np.int64), len(spelt[0])
+        stats = {f"n{r}": np.bincount(own[c[kept] == r], minlength=size) for r in range(least(order), K + 1)}
+        large = c[kept] > K
+        stats |= {"many": np.bincount(own[large], minlength=size), "mass": np.bincount(own[large], weights=c[kept][large], minlength=size).astype(np.int64), "used": np.bincount(own, weights=below.cut(low[first[kept]]), minlength=size)}
+        some = np.unique(own)
+        stored = block(**{f"h{i}": x[some] for i, x in enumerate(spelt)}, many=np.bincount(own, minlength=size)[some], w=(pair[kept] & np.uint64(0xFFFFFFFF)).astype(np.int64), c=c[kept])
+        here, grams = np.bincount(own, minlength=size) > 0, np.cumsum([0, *(len(x["w"]) for x in asked)])
+        answers = []
+        for i, (chunk, x) in enumerate(zip(chunks, asked, strict=True)):
+            count = c[back[grams[i] : grams[i + 1]]]
+            count = np.where(count >= least(order), count, 0)
+            mine = at[starts[i] : starts[i + 1]]
+            missed = np.bincount(np.repeat(np.arange(len(mine)), x["many"])[count == 0], minlength=len(mine)) > 0
+            tell = np.nonzero(here[mine] & (missed | (x["need"] > 0)))[0]
+            answers.append((chunk, block(c=count, at=np.diff(tell, prepend=0), **{k: v[mine[tell]] for k, v in stats.items()})))
+        return _said(part, _figures(c[c >= least(order)]), stored, answers)
 
     return run
 
 
-def _gathered(pairs: list[dict], wide: Counter, spread: Spread) -> tuple:
-    """What all chunks ask of a partition: dictionaries of words and histories, indices into them with training counts, and words' counts."""
-    none = np.zeros(0, dtype=np.int64)
-    # a word that is dealt out is counted at its home even if none of its bigrams came there
-    uw, w = _combine([(np.array(sorted(wide), dtype=np.uint64), none), *((sums(x["w"]), np.repeat(np.arange(len(x["n"])), x["n"])) for x in pairs)])
-    uh, h = _combine([(none.astype(np.uint64), none), *((sums(x["h"]), x["hi"]) for x in pairs)])
-    times = np.concatenate([none, *(x["times"].astype(np.int64) for x in pairs)])
-    cw = np.bincount(w, weights=times, minlength=len(uw)).astype(np.int64)
-    width = spread.width(uw)
-    for i in np.nonzero(width > 1)[0]:
-        cw[i] = wide[int(uw[i])]
-    return uw, uh, w, h, times, cw, width
-
+# The whole
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+TABLE = "chunk long, part int, blob binary, figures array<long>, `order` int, kind string"
+
+
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, path: str | None = None) -> DataFrame:
+    """Scores every row of `docs`; rows with `held_out` false are what the model learns from.  The model's tables are stored under `path`."""
+    spark, path = docs.sparkSession, path or working_dir(docs.sparkSession, "katz")
+    own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(100_000, max(LEAST_PARTS, -(-size // BUCKET))) if size < 1 << 55 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"katz_{uuid.uuid4().hex}"
+    cut = own.mapInArrow(cut_up(chunk), "chunk long, tokens long, blob binary")
+    cut.write.format("parquet").option("path", f"{path}/chunks").option("compression", "none").bucketBy(buckets, "chunk").saveAsTable(name)
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    many = chunks.agg(F.sum("tokens")).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-many // PART))
+    totals: list = [None]
+    for m in range(1, order + 1):
+        asked = _met(chunks, path, m - 1).applyInArrow(asking(m, parts, totals), "part int, chunk long, blob binary")
+        said = asked.groupBy("part").applyInArrow(count_words if m == 1 else counting(m, totals[-1]), "kind string, chunk long, part int, blob binary, figures array<long>")
+        said.write.option("compression", "none").partitionBy("kind").parquet(f"{path}/model/order={m}")
+        figures = _read(spark, path, "figures").where(F.col("order") == m).select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col").alias("x")).collect()
+        x = np.zeros(K + 3, dtype=np.int64)
+        for r in figures:
+            x[r.pos] = r.x
+        totals.append(Totals(m, x))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return SCHEMA.empty_table()
+        done = _restored(left, right, parts, totals, order + 1) if order == 1 else _finished(left, right, parts, totals, order)
+        return done.scores(totals)
+
+    return _met(chunks, path, order).applyInArrow(finish, SCORES)
+
+
+def _finished(left: pa.Table, right: pa.Table, parts: int, totals: list[Totals], order: int) -> Chunk:
+    out = _restored(left, right, parts, totals, order)
+    out.receive(order, totals, {p: unblock(b.as_buffer()) for m, p, b in zip(right.column("answers").to_pylist(), right.column("part").to_pylist(), right.column("blob"), strict=True) if m == order})
+    return out
 
 
-def hot_words(texts: DataFrame, rows: int, parts: int) -> dict[int, int]:
-    """Hashes of words with over half a partition's share of a sample's tokens, and how many partitions they are dealt to."""
-    share = min(1.0, LOOK / max(1, rows))
-    found = Counter(t for r in texts.sample(fraction=share, seed=3).limit(2 * LOOK).collect() for t in [*tokens(r.text), b"", b" "])
-    n = sum(found.values())
-    return {xxhash.xxh64_intdigest(w): int(min(parts, 1 + c * parts * 2 // n)) for w, c in found.items() if c * parts * 2 > n}
-
-
-def _sent(docs: DataFrame, held_out: Column, id_col: str, text_col: str, chunk: int = CHUNK) -> tuple[DataFrame, Spread]:
-    """Blocks for the partitions of words, and how words are dealt to them."""
-    parts = max(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    spread = Spread(hot_words(own.select("text"), docs.count(), parts), parts)
-    return own.mapInArrow(chunks(spread, chunk), BLOCKS), spread
-
-
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Scores every row of `docs`; rows with `held_out` false are what the model learns from."""
-    sent, spread = _sent(docs, held_out, id_col, text_col, chunk)
-    words = sent.groupBy("part").applyInArrow(by_word(spread), BLOCKS)
-    # the tokens are read from the exchange that the partitions of words have read, and written once
-    return sent.groupBy("part").cogroup(words.groupBy("part").applyInArrow(by_history(spread), BLOCKS).groupBy("part")).applyInArrow(by_chunk, SCORES)
-
-
-def store(docs: DataFrame, held_out: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> Totals:
-    """Writes the model's tables under `path`: counts (part, h, w, c, cw; h null for words) and backoff (h, own, alpha)."""
-    sent, spread = _sent(docs, held_out, id_col, text_col)
-    sent.groupBy("part").applyInArrow(counted(spread), "part int, h long, w long, c long, cw long").write.mode("overwrite").partitionBy("part").parquet(f"{path}/counts")
-    counts = docs.sparkSession.read.schema("h long, w long, c long, cw long, part int").parquet(f"{path}/counts")
-    total = totals(counts)
-    pairs = counts.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("own"), F.sum(_cut("c", total.pairs)).alias("kept"), (F.sum(_cut("cw", total.words)) / max(1, total.n)).alias("used"))
-    pairs.select("h", "own", ((1 - F.col("kept") / F.col("own")) / (1 - F.col("used"))).alias("alpha")).write.mode("overwrite").parquet(f"{path}/backoff")
-    return total
-
-
-def totals(counts: DataFrame) -> Totals:
-    """Global figures of a table of counts: a dozen sums."""
-    exact = [F.count(F.when(F.col("h").isNotNull() & (F.col("c") == r), 1)) for r in range(1, K + 2)] + [F.count(F.when(F.col("h").isNull() & (F.col("c") == r), 1)) for r in range(1, K + 2)]
-    rest = [F.count(F.when(F.col("h").isNull() & (F.col("c") > K + 1), 1)), F.sum(F.when(F.col("h").isNull(), F.col("c")))]
-    return Totals(np.array([x or 0 for x in counts.agg(*(x.alias(f"x{i}") for i, x in enumerate([*exact, *rest]))).first()], dtype=np.int64))
+def _read(spark, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(TABLE).option("basePath", f"{path}/model").parquet(f"{path}/model/*").where(F.col("kind") == kind)
 
 
-def _cut(count: str, low: np.ndarray) -> Column:
-    """The discounted count."""
-    out = F.col(count) - DELTA
-    for r in range(1, K + 1):
-        out = F.when(F.col(count) == r, float(low[r - 1])).otherwise(out)
-    return out
+def _met(chunks: DataFrame, path: str, order: int):
+    """Chunks, and the answers up to an order, by chunk."""
+    spark = chunks.sparkSession
+    if order:
+        answers = _read(spark, path, "answer").where(F.col("order") <= order).select("chunk", F.col("order").alias("answers"), "part", "blob")
+    else:
+        answers = spark.createDataFrame([], "chunk long, answers int, part int, blob binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
 
-def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, position, log10_p) of each token: the bigram if the tables have it, else its history's weight times the word."""
+def counts(spark, path: str) -> DataFrame:
+    """The stored model as rows (order, part, words array<long>, c): of order 1 the word's hash, above the numbers of the words."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                w = np.array([*(xxhash.xxh64_intdigest(t) for t in tokens(batch.column(1)[i].as_py())), END], dtype=np.uint64)
-                h = np.concatenate(([START], w[:-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(w), i))), pa.array(np.arange(len(w))), pa.array(h.view(np.int64)), pa.array(w.view(np.int64))], names=["doc_id", "position", "h", "w"])
-
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    counts, backoff = spark.read.schema("h long, w long, c long, cw long, part int").parquet(f"{path}/counts"), spark.read.parquet(f"{path}/backoff")
-    total = totals(counts)
-    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, f"doc_id {kind}, position long, h long, w long")
-    found = asked.join(counts.where("h IS NOT NULL").select("h", "w", F.col("c").alias("pair")), ["h", "w"], "left").join(backoff, "h", "left").join(counts.where("h IS NULL").select("w", F.col("c").alias("word")), "w", "left")
-    word = F.when(F.col("word").isNull(), float(total.p0)).otherwise(_cut("word", total.words) / max(1, total.n))
-    p = F.when(F.col("pair").isNotNull(), _cut("pair", total.pairs) / F.col("own")).otherwise(F.coalesce("alpha", F.lit(1.0)) * word)
-    return found.select("doc_id", "position", F.log10(p).alias("log10_p"))
+            for order, part, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
+                x, m = unblock(blob.as_buffer()), order.as_py()
+                c = x["c"].astype(np.int64)
+                columns = [sums(x["word"]).view(np.int64)] if m == 1 else [*(np.repeat(x[f"h{i}"].astype(np.int64), x["many"]) for i in range(m - 1)), x["w"].astype(np.int64)]
+                words = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(columns, axis=1).ravel()), m).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), m, dtype=np.int32)), pa.array(np.full(len(c), part.as_py(), dtype=np.int32)), words, pa.array(c)], names=["order", "part", "words", "c"])
+
+    return _read(spark, path, "counts").select("order", "part", "blob").mapInArrow(run, "`order` int, part int, words array<long>, c long")

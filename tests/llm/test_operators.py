@@ -556,62 +556,94 @@ def test_masking_many_spans_is_linear(spark):
 # 8 Katz
 
 
-def katz_brute(texts, held):
-    uni, bi = collections.Counter(), collections.Counter()
+def katz_brute(texts, held, order):
+    """Counts of all orders, N, V, and p(history, word) by the definition."""
+    c = [collections.Counter() for _ in range(order + 1)]
     for t, h in zip(texts, held, strict=True):
         if not h:
             x = [1, *katz.tokens(t), 0]
-            uni.update(x[1:])
-            bi.update(zip(x, x[1:], strict=False))
-    n, v = sum(uni.values()), len(uni)
-
-    def discounts(counts):
-        return katz.discounts(np.array([sum(c == r for c in counts.values()) for r in range(1, katz.K + 2)]))
-
-    d1, d2 = discounts(uni), discounts(bi)
-    cut = lambda c, d: c - katz.DELTA if c > katz.K else d[c - 1]
-    p0 = 1 - sum(cut(c, d1) for c in uni.values()) / n if n else 1.0
-    own, mass, seen = collections.Counter(), collections.Counter(), collections.Counter()
-    for (h, w), c in bi.items():
-        own[h] += c
-        mass[h] += cut(c, d2)
-        seen[h] += cut(uni[w], d1) / n
+            for i in range(1, len(x)):
+                for m in range(1, min(order, i + 1) + 1):
+                    c[m][tuple(x[i - m + 1 : i + 1])] += 1
+    n, v = sum(c[1].values()), len(c[1])
+    low = [None, *(katz.discounts(np.array([sum(k == r for k in c[m].values()) for r in range(1, katz.K + 2)]), katz.least(m)) for m in range(1, order + 1))]
+    cut = lambda m, k: k - katz.DELTA if k > katz.K else low[m][k - 1]
+    p0 = 1 - sum(cut(1, k) for k in c[1].values()) / n if n else 1.0
+    after = collections.defaultdict(list)
+    for m in range(2, order + 1):
+        for g, k in c[m].items():
+            if k >= katz.least(m):
+                after[g[:-1]].append(g[-1])
+    own = collections.Counter()
+    for m in range(2, order + 1):
+        for g, k in c[m].items():
+            own[g[:-1]] += k
 
     def p(h, w):
-        if c := bi.get((h, w)):
-            return cut(c, d2) / own[h]
-        low = cut(uni[w], d1) / n if w in uni else p0
-        return low * (1 - mass[h] / own[h]) / (1 - seen[h]) if own[h] else low
+        if not h:
+            return cut(1, c[1][(w,)]) / n if c[1][(w,)] else p0
+        m = len(h) + 1
+        if c[m][(*h, w)] >= katz.least(m):
+            return cut(m, c[m][(*h, w)]) / own[h]
+        if not after[h]:
+            return p(h[1:], w)
+        return p(h[1:], w) * (1 - sum(cut(m, c[m][(*h, x)]) for x in after[h]) / own[h]) / (1 - sum(p(h[1:], x) for x in after[h]))
 
-    return uni, n, v, p
+    return c, n, v, p
 
 
-@pytest.mark.parametrize(("parts", "chunk"), [(1, 4_000_000), (5, 200), (64, 4_000_000), (64, 1)])
-def test_katz(spark, docs, monkeypatch, parts, chunk):
-    monkeypatch.setattr(katz, "LEAST_PARTS", parts)
-    rng = random.Random(9)
+def katz_texts(seed=9, many=300):
+    rng = random.Random(seed)
     words = ["The", "the", "of", *(f"w{i}" for i in range(40))]
-    texts = [" ".join(rng.choices(words, weights=[400, 200, 100, *(40 / (i + 1) for i in range(40))], k=rng.choice([0, 1, 5, 60]))) for _ in range(300)] + ["new words only", None, "the " * 3000]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r.doc_id: r for r in katz.scored(frame, crc_mod(F.col("doc_id"), 7) == 2, chunk=chunk).collect()}
+    return [" ".join(rng.choices(words, weights=[400, 200, 100, *(40 / (i + 1) for i in range(40))], k=rng.choice([0, 1, 2, 5, 60]))) for _ in range(many)] + ["new words only", "the new", None, "the " * 3000]
+
+
+def katz_check(found, texts, order):
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    uni, n, v, p = katz_brute(texts, held)
+    c, n, v, p = katz_brute(texts, held, order)
     for i, t in enumerate(texts):
         x, r = [1, *katz.tokens(t), 0], found[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(x) - 1, sum(w in uni for w in x[1:]), n)
-        assert math.isclose(r.base_score, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x[1:]), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(x, x[1:], strict=False)), rel_tol=1e-9)
-    for h in (1, b"the", b"w3", b"unknown"):
-        assert math.isclose(sum(p(h, w) for w in uni) + p(h, b"never seen"), 1, rel_tol=1e-9)
-
-
-def test_katz_tables(spark, docs, tmp_path):
-    held = crc_mod(F.col("doc_id"), 7) == 2
-    frame = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    katz.store(frame, held, str(tmp_path / "model"))
-    stored = {r.doc_id: r.s for r in katz.evaluate(frame, str(tmp_path / "model")).groupBy("doc_id").agg(F.sum("log10_p").alias("s")).collect()}
-    direct = {r.doc_id: r.score for r in katz.scored(frame, held).collect()}
-    assert all(math.isclose(stored[i], s, rel_tol=1e-9) for i, s in direct.items()) and len(stored) == len(direct)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(x) - 1, sum((w,) in c[1] for w in x[1:]), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[1][(w,)] + 1) / (n + v + 1)) for w in x[1:]), rel_tol=1e-9)
+        memo = {}
+        expected = 0.0
+        for j in range(1, len(x)):
+            h = tuple(x[max(0, j - order + 1) : j])
+            if (h, x[j]) not in memo:
+                memo[h, x[j]] = math.log10(p(h, x[j]))
+            expected += memo[h, x[j]]
+        assert math.isclose(r.score, expected, rel_tol=1e-9)
+    for h in ((1,), (b"the",), (1, b"the"), (b"the", b"the"), (b"the", b"w3"), (b"unknown", b"the"), (b"of", b"unknown")):
+        if len(h) < order:
+            assert math.isclose(sum(p(h, w) for (w,) in c[1]) + p(h, b"never seen"), 1, rel_tol=1e-9)
+    return c
+
+
+@pytest.mark.parametrize(("order", "parts", "chunk"), [(1, 5, 200), (2, 1, 4_000_000), (2, 64, 200), (3, 5, 200), (3, 64, 4_000_000), (3, 64, 1), (4, 5, 700)])
+def test_katz(spark, monkeypatch, tmp_path, order, parts, chunk):
+    monkeypatch.setattr(katz, "LEAST_PARTS", parts)
+    texts = katz_texts()
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3, "doc_id")
+    found = {r.doc_id: r for r in katz.scored(frame, crc_mod(F.col("doc_id"), 7) == 2, order=order, chunk=chunk, path=str(tmp_path / "model")).collect()}
+    c = katz_check(found, texts, order)
+    stored = collections.defaultdict(list)
+    for r in katz.counts(spark, str(tmp_path / "model")).collect():
+        assert len(r.words) == r.order
+        stored[r.order].append((tuple(r.words), r.c))
+    for m in range(1, order + 1):
+        assert sorted(k for _, k in stored[m]) == sorted(k for k in c[m].values() if k >= katz.least(m))
+        assert len({g for g, _ in stored[m]}) == len(stored[m])
+    assert {g: k for (g,), k in stored[1]} == {int(np.uint64(xxhash.xxh64_intdigest(w or b"")).view(np.int64)): k for (w,), k in c[1].items()}
+
+
+def test_katz_query(spark, tmp_path):
+    from factloom.llm import queries
+
+    texts = katz_texts(seed=10)
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, chunk string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op8_katz(spark, str(tmp_path))
+    assert katz.ORDER == 3 and found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    katz_check({r.doc_id: r for r in found.collect()}, texts, 3)
 
 
 def test_katz_rows(spark, docs, empty):
