@@ -1,6 +1,8 @@
 """The three tools: save a conversation's context, load it, search it.
 
-Documents are kept by `Store`; every search is one Spark plan over the documents' facts, for one project or for all of them.
+Documents are kept by `Store`; every search is one Spark plan over the documents' facts, for one project or for all of them.  What a save
+states becomes facts by the same operators that work on whole tables.  Embeddings are cached, searches logged on disk; feedback is
+learned from them by a thread of its own, after the answer.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ import logging
 import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +20,11 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.config import EngineConfig
 from factloom.functions.embedding import QUERY_PREFIX, Embedder, HashingEmbedder
-from factloom.operators import feedback, search
+from factloom.operators import feedback, ingest, search
 from factloom.operators.rerank import Reranker, encode_posterior, try_load
 from factloom.sources import documents
-from factloom.sources.documents import Store, now
+from factloom.sources.documents import SearchLog, Store, now
+from factloom.sources.vectors import CachedEmbedder
 
 log = logging.getLogger(__name__)
 
@@ -50,11 +54,14 @@ def limit_of(args: dict, default: int) -> int:
 class Engine:
     def __init__(self, spark: SparkSession, root: str | Path, config: EngineConfig | None = None, embedder: Embedder | None = None):
         self.spark, self.config, self.store = spark, config or EngineConfig(), Store(root)
-        self.embedder = embedder or HashingEmbedder()
+        own = embedder or HashingEmbedder()
+        self.embedder = CachedEmbedder(own, Path(root) / f"embeddings-{getattr(own, 'dimension', 'model')}.bin")
         self.posterior_path = Path(root) / "posterior.bin"
         self.model: Reranker | None = try_load(self.config.bll_weights_path, self.posterior_path) if self.config.bll_enabled and self.config.bll_weights_path else None
-        self.searches: list[tuple] = []
+        self.searches = SearchLog(Path(root) / "searches.jsonl")
         self.lock = threading.Lock()
+        self.learner, self.learning = ThreadPoolExecutor(max_workers=1), Future()
+        self.learning.set_result(None)
         self.tools: dict[str, Callable[[dict], dict]] = {"save_thread": self.save_thread, "load_thread": self.load_thread, "search_memory": self.search_memory}
 
     # Saving
@@ -70,49 +77,65 @@ class Engine:
                 given = args["state"] if isinstance(args["state"], dict) else {}
                 thread["state"] = {k: strings(given.get(k)) for k in ("completed", "in_progress", "pending")}
             summary = args.get("summary") if isinstance(args.get("summary"), str) else ""
-            decided: dict[str, str] = {}
-            for item in args.get("decisions") if isinstance(args.get("decisions"), list) else []:
-                text = item.get("decision") if isinstance(item, dict) else None
-                if isinstance(text, str) and text.strip():
-                    reason = item.get("reason").strip() if isinstance(item.get("reason"), str) else ""
-                    decided.setdefault(text.strip().lower(), f"{text.strip()} (Reason: {reason})" if reason else text.strip())
-            said = [(t, schemas.DECISION) for t in decided.values()] + [(t, schemas.GENERAL) for t in strings(args.get("facts"))]
+            said = self.stated(args)
             try:
-                vectors = self.embedder.embed([t for t, _ in said]) if said else []
+                vectors = self.embedder.embed([f["content"] for f in said]) if said else []
             except Exception:
                 log.exception("no embeddings for this save")
                 vectors = [None] * len(said)
-            session, n = str(uuid.uuid4()), self.config.context_window_size
+            session = str(uuid.uuid4())
             new = []
-            for i, ((text, category), vector) in enumerate(zip(said, vectors, strict=True)):
-                near = [said[j][0] for j in range(max(0, i - n), min(len(said), i + n + 1)) if j != i]
-                fact = {"id": str(uuid.uuid4()), "content": text, "category": category, "confidence": 1.0, "created_at": at, "updated_at": at, "utility": {"alpha": 1.0, "beta": 1.0, "decay_rate": 0.0}, "access_count": 0, "context_window": near, "session_id": session}
+            for f, vector in zip(said, vectors, strict=True):
+                fact = {"id": str(uuid.uuid4()), "content": f["content"], "category": f["category"], "confidence": 1.0, "created_at": at, "updated_at": at, "utility": {"alpha": 1.0, "beta": 1.0, "decay_rate": 0.0}, "access_count": 0, "context_window": f["context_window"], "session_id": session}
                 new.append(fact | ({"embedding": list(vector)} if vector is not None else {}))
             thread["facts"] += new
             thread["sessions"].append({"id": session, "summary": summary, "fact_ids": [f["id"] for f in new], "created_at": at})
             thread["updated_at"] = at
-            local = self.store.save_thread(thread, use_local)
-            drained, self.searches = self.searches, []
-        self.learn(path, drained)
-        return {"success": True, "project_path": path, "storage_location": "local" if local else "global", "facts_saved": len(new), "total_facts": len(thread["facts"]), "total_sessions": len(thread["sessions"])}
-
-    def learn(self, path: str, searches: list[tuple]) -> None:
-        """Feedback from earlier searches of this project; other projects' searches stay for their own save."""
-        own, rest = [s for s in searches if s[1] == path], [s for s in searches if s[1] != path]
-        self.searches = rest + self.searches
-        if self.model is None or not own:
-            return
+            self.store.save_thread(thread, use_local)
+        self.learning = self.learner.submit(self.learn, path)
+        # the location is the one that was asked for, though a project with a folder of its own is stored there
+        return {"success": True, "project_path": path, "storage_location": "local" if use_local else "global", "facts_saved": len(new), "total_facts": len(thread["facts"]), "total_sessions": len(thread["sessions"])}
+
+    def stated(self, args: dict) -> list[dict]:
+        """The facts of a save call, in order."""
+        decided = [(i, x["decision"], x["reason"] if isinstance(x.get("reason"), str) else None) for i, x in enumerate(args["decisions"] if isinstance(args.get("decisions"), list) else []) if isinstance(x, dict) and isinstance(x.get("decision"), str)]
+        stated = list(enumerate(strings(args.get("facts"))))
+        if not decided and not stated:
+            return []
+        decisions = self.spark.createDataFrame([("call", *x) for x in decided], "call_id string, pos int, decision string, reason string")
+        statements = self.spark.createDataFrame([("call", *x) for x in stated], "call_id string, pos int, content string")
+        rows = ingest.facts(ingest.decisions(decisions), statements, self.config.context_window_size)
+        return [r.asDict() for r in sorted(rows.collect(), key=lambda r: r.ord)]
+
+    def settle(self) -> None:
+        """Waits until the feedback of the last save is learned."""
+        self.learning.result()
+
+    def learn(self, path: str) -> None:
+        """Feedback from earlier searches of this project; other projects' searches stay for their own save.
+
+        Searches leave the log when they are learned from, or where there is no model to learn; a failure leaves them for the next save.
+        """
         try:
-            _, facts, _ = documents.normalised(documents.scan(self.spark, [str(self.store.thread_file(path))]))
-            key = documents.hashlib.md5(path.encode()).hexdigest()
-            rows = self.spark.createDataFrame([(s[0], key, s[2], s[3]) for s in own], "search_id string, project_id string, query_embedding array<float>, returned_fact_ids array<string>")
-            model = feedback.learned(rows, facts, self.model)
-            if model.updates > self.model.updates:
-                self.model = model
-                self.posterior_path.write_bytes(encode_posterior(model))
+            with self.lock:
+                own = [s for s in self.searches.records() if s["project_path"] == path]
+            if self.model is not None and own:
+                self.learn_from(path, own)
+            if own:
+                with self.lock:
+                    self.searches.remove({s["search_id"] for s in own})
         except Exception:
             log.exception("feedback was not taken over")
 
+    def learn_from(self, path: str, own: list[dict]) -> None:
+        _, facts, _ = documents.normalised(documents.scan(self.spark, [str(self.store.thread_file(path))]))
+        key = documents.hashlib.md5(path.encode()).hexdigest()
+        rows = self.spark.createDataFrame([(s["search_id"], key, s["query_embedding"], s["returned_fact_ids"]) for s in own], "search_id string, project_id string, query_embedding array<float>, returned_fact_ids array<string>")
+        model = feedback.learned(rows, facts, self.model)
+        if model.updates > self.model.updates:
+            self.model = model
+            self.posterior_path.write_bytes(encode_posterior(model))
+
     # Loading
 
     def load_thread(self, args: dict) -> dict:
@@ -153,15 +176,21 @@ class Engine:
                     f |= {"access_count": f["access_count"] + 1, "last_used_at": at}
             if ids:
                 file.write_text(documents.json.dumps(thread, indent=2, ensure_ascii=False))
-            self.searches.append((str(uuid.uuid4()), path, vector, ids))
+            self.searches.append({"search_id": str(uuid.uuid4()), "project_path": path, "ts": at, "query_embedding": list(vector), "returned_fact_ids": ids})
         return {"success": True, "query": text, "project_path": path, "results": found}
 
     def search_all(self, text: str, vector: list[float], limit: int) -> dict:
-        valid, invalid = self.store.searchable()
-        files = [str(f) for p in valid if (f := self.store.thread_file(p))]
+        shared = documents.scan_directory(self.spark, str(self.store.root)) if any(self.store.root.glob("projects/*/thread.json")) else None
+        valid, invalid = self.store.searchable([r.project_path for r in shared.select("project_path").collect()] if shared is not None else [])
+        files = [str(f) for p in valid if (f := self.store.local_dir(p) / "thread.json").exists()]
+        threads = documents.scan(self.spark, files) if files else None
+        if shared is not None:  # documents that their project has not in its own folder
+            wanted = self.spark.createDataFrame([(p,) for p in valid if not (self.store.local_dir(p) / "thread.json").exists()], "project_path string")
+            shared = shared.join(wanted, "project_path", "left_semi")
+            threads = shared if threads is None else threads.unionByName(shared)
         found = []
-        if files:
-            projects, facts, sessions = documents.normalised(documents.scan(self.spark, files))
+        if threads is not None:
+            projects, facts, sessions = documents.normalised(threads)
             hits = search.across(self.hits(facts, text, vector, limit), limit)
             rows = search.results_across(hits, facts, sessions, projects).orderBy(F.desc(F.round("score", 9)), "project_path").toJSON().collect()
             found = [_filled(documents.json.loads(r), ("session_summary",)) for r in rows]

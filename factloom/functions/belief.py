@@ -26,6 +26,12 @@ def equals(alpha: Column, beta: Column, value: Column) -> Column:
     return F.abs(mean(alpha, beta) - value) < SAME_MEAN
 
 
+def compared(alpha: Column, beta: Column, value: Column) -> Column:
+    """-1, 0 or 1: how the mean stands to a value; null where it can't be told."""
+    m = mean(alpha, beta)
+    return F.when(~F.isnan(m) & ~F.isnan(value), F.signum(m - value).cast("int"))
+
+
 def sample(alpha: Column, beta: Column, key: Column, seed: int = 0) -> Column:
     """A draw from Beta(alpha, beta) for each key; invalid parameters count as (1, 1).  Keyed, so that a retried task draws the same."""
 

@@ -16,8 +16,8 @@ from factloom.operators import cache, catalog, feedback, ingest, search
 from factloom.operators.rerank import Reranker, features_of, predicted_of, stats_of
 from factloom.operators.windows import numbered, top
 from factloom.plans.tables import FACTS_SQL, QUERY_TEXT, SESSIONS_SQL, facts, lexical_sql, query_vector, sessions, table
-from factloom.sources import documents
-from factloom.sources.shared import working_dir
+from factloom.sources import documents, model
+from factloom.sources.shared import kept, working_dir
 from factloom.streaming import feedback as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,15 @@ def search_result_projection(spark, sf_dir):
     return found.withColumns({"score": F.round("score", 6), "context": F.array_join("context", "|")})
 
 
+@query(fused_sql(LIMIT) + f", {SESSIONS_SQL} SELECT content, category, round(score, 6) AS score, array_to_string(context_window, '|') AS context, summary AS session_summary, '/conv/' || project_id AS project_path, TIMESTAMP '2025-01-01' AS created_at FROM best JOIN facts USING (project_id, ord) LEFT JOIN s USING (project_id) WHERE rank <= 5 ORDER BY round(best.score, 9) DESC, project_id, ord LIMIT 20")
+def search_result_projection_cross_project(spark, sf_dir):
+    rows = facts(spark, sf_dir).withColumn("created_at", F.lit(NOW).cast("timestamp"))
+    hits = search.across(search.hybrid(rows, query_vector(spark, sf_dir), QUERY_TEXT, LIMIT), 20)
+    projects = rows.select("project_id").distinct().withColumn("project_path", F.concat(F.lit("/conv/"), F.col("project_id").cast("string")))
+    found = search.results_across(hits, rows, sessions(spark, sf_dir), projects)
+    return found.withColumns({"score": F.round("score", 6), "context": F.array_join("context", "|")})
+
+
 # Reranking
 
 
@@ -155,20 +164,20 @@ def predict_sql(version: int) -> str:
     return FACTS_SQL + "," + phi_sql(version) + "SELECT project_id, ord, round(0.5 * a - 0.25 * b + 0.1, 6) AS mean, round(greatest(a * a + 0.5 * a * b + 0.5 * b * b + 0.1, 1e-8), 6) AS variance FROM phis"
 
 
-def predicted(spark, sf_dir, version):
+def predicted(spark, sf_dir, model):
     q = vectors.literal(query_vector(spark, sf_dir)).cast("array<float>")
-    rows = facts(spark, sf_dir, context=False).where("embedding IS NOT NULL").select("project_id", "ord", predicted_of(weights(version), q, F.col("embedding")).alias("p"))
+    rows = facts(spark, sf_dir, context=False).where("embedding IS NOT NULL").select("project_id", "ord", predicted_of(model, q, F.col("embedding")).alias("p"))
     return rows.select("project_id", "ord", F.round("p.mean", 6).alias("mean"), F.round("p.variance", 6).alias("variance"))
 
 
 @query(predict_sql(1))
 def bll_v1_predict(spark, sf_dir):
-    return predicted(spark, sf_dir, 1)
+    return predicted(spark, sf_dir, weights(1))
 
 
 @query(predict_sql(2))
 def bll_v2_predict(spark, sf_dir):
-    return predicted(spark, sf_dir, 2)
+    return predicted(spark, sf_dir, weights(2))
 
 
 @query(fused_sql(LIMIT) + "," + phi_sql(2) + """, norms AS (SELECT project_id, ord, (rrf - min(rrf) OVER p) / greatest(max(rrf) OVER p - min(rrf) OVER p, 1e-8) AS norm FROM fused WINDOW p AS (PARTITION BY project_id)),
@@ -201,8 +210,8 @@ POSTERIOR_SQL = """, s AS (SELECT count(*) AS n, 8 / 7.0 + 10 * sum(a * a) AS p,
 SELECT n AS updates, round((t * u - q * v) / (p * t - q * q), 4) AS mu0, round((p * v - q * u) / (p * t - q * q), 4) AS mu1, round(t / (p * t - q * q), 6) AS sigma00 FROM s"""
 
 
-def posterior_row(spark, model):
-    return spark.createDataFrame([(model.updates, *(float(x) for x in model.mu), float(model.sigma[0, 0]))], "updates long, mu0 double, mu1 double, sigma00 double").select("updates", F.round("mu0", 4).alias("mu0"), F.round("mu1", 4).alias("mu1"), F.round("sigma00", 6).alias("sigma00"))
+def posterior_row(spark, after):
+    return spark.createDataFrame([(after.updates, *(float(x) for x in after.mu), float(after.sigma[0, 0]))], "updates long, mu0 double, mu1 double, sigma00 double").select("updates", F.round("mu0", 4).alias("mu0"), F.round("mu1", 4).alias("mu1"), F.round("sigma00", 6).alias("sigma00"))
 
 
 @query(FACTS_SQL + "," + phi_sql(2) + "," + REWARDS + POSTERIOR_SQL)
@@ -210,6 +219,23 @@ def bll_posterior(spark, sf_dir):
     return posterior_row(spark, weights(2).updated(stats_of(observations(spark, sf_dir), 2)))
 
 
+@query(predict_sql(1).replace("a * a + 0.5 * a * b + 0.5 * b * b", "a * a + 0.5 * b * b"))
+def bll_weights_scan(spark, sf_dir):
+    """Predictions by weights that were written as a file, which has the variances only, and read again."""
+    to = f"{working_dir(spark, 'weights')}/model.bin"
+    model.write_weights(spark, weights(1), to)
+    return predicted(spark, sf_dir, model.read_weights(spark, to))
+
+
+@query(FACTS_SQL + "," + phi_sql(2) + "," + REWARDS + POSTERIOR_SQL)
+def bll_state_scan(spark, sf_dir):
+    """The posterior after it was stored in two versions and read again."""
+    to, prior = working_dir(spark, "state"), weights(2)
+    model.append_state(spark, prior, to)
+    model.append_state(spark, prior.updated(stats_of(observations(spark, sf_dir), 2)), to)
+    return posterior_row(spark, model.latest_state(spark, prior, to))
+
+
 # Feedback
 
 
@@ -274,9 +300,33 @@ def ingest_facts(spark, sf_dir):
     return ingest.facts(ingest.decisions(decision_rows(spark, sf_dir)), stated).select("call_id", "ord", "content", "category", F.array_join("context_window", "|").alias("context"))
 
 
+@query("SELECT conv_id AS project_id, conv_id AS session_id, string_agg(conv_id || '-' || turn, ',' ORDER BY turn) AS fact_ids FROM conversations GROUP BY conv_id")
+def session_fact_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), F.concat_ws("-", "conv_id", "turn").alias("fact_id"))
+    return ingest.session_facts(rows).withColumn("fact_ids", F.array_join("fact_ids", ","))
+
+
+@query("""WITH c AS (SELECT conv_id AS project_id, role = 'assistant' AS new, text AS content, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) - 1 AS pos FROM conversations),
+n AS (SELECT project_id, count(*) AS n FROM c WHERE NOT new GROUP BY 1)
+SELECT project_id, CASE WHEN new THEN pos + coalesce(n, 0) ELSE pos END AS ord, md5(content) AS content FROM c LEFT JOIN n USING (project_id)""")
+def facts_append(spark, sf_dir):
+    """The assistants' turns saved after all others of their conversation."""
+    own = Window.partitionBy("conv_id", F.col("role") == "assistant").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("ord", (F.row_number().over(own) - 1).cast("long"))
+    part = lambda some: rows.where(some).select(F.col("conv_id").alias("project_id"), "ord", F.md5("text").alias("content"))
+    return ingest.appended(part("role <> 'assistant'"), part("role = 'assistant'"))
+
+
 # Catalog
 
 
+def project_path(key: str = "c_custkey", nation: str = "c_nationkey"):
+    return F.concat(F.lit("/home/"), F.col(nation).cast("string"), F.lit("/p"), F.col(key).cast("string"))
+
+
+PATH_SQL = "'/home/' || c_nationkey || '/p' || c_custkey"
+
+
 def order_sessions(spark, sf_dir):
     """Orders as sessions of their customers; ord is the order's place among them."""
     own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -304,6 +354,32 @@ def document_scan(spark, sf_dir):
     return found.select(F.element_at(F.split("fact_id", "-"), 1).cast("long").alias("project_id"), F.element_at(F.split("fact_id", "-"), 2).cast("long").alias("ord"), "category", F.md5("content").alias("content"), (F.length("content") % 2 == 0).alias("even"))
 
 
+@query("SELECT conv_id AS project_id, turn AS ord, role AS category, md5(text) AS content FROM conversations WHERE text IS NOT NULL")
+def directory_scan(spark, sf_dir):
+    """Conversations as documents of a storage root, beside broken ones and one without required fields, which a scan of all leaves out."""
+    to = working_dir(spark, "root")
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    item = F.struct("turn", F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("content"), F.col("role").alias("category")).alias("fact"))
+    docs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    none = F.expr("cast(array() as array<string>)")
+    own = docs.select(F.concat(F.lit("/conv/"), F.col("conv_id").cast("string")).alias("project_path"), F.col("conv_id").cast("string").alias("project_hash"), F.transform("items", lambda x: x["fact"]).alias("facts"), none.alias("sessions"), F.expr("map('k', 1)").alias("metadata"))
+    own.write.option("maxRecordsPerFile", 1).json(f"{to}/projects/some/thread.json")
+    spark.createDataFrame([("{ not json",), ("{}",)], "value string").write.option("maxRecordsPerFile", 1).text(f"{to}/projects/bad/thread.json")
+    _, found, _ = documents.normalised(documents.scan_directory(spark, to))
+    return found.select(F.element_at(F.split("fact_id", "-"), 1).cast("long").alias("project_id"), F.element_at(F.split("fact_id", "-"), 2).cast("long").alias("ord"), "category", F.md5("content").alias("content"))
+
+
+@query(f"SELECT c_custkey::VARCHAR AS project_id, c_name AS name, {PATH_SQL} AS last_known_path, TIMESTAMP '2024-01-01' + to_days((c_custkey % 300)::INT) AS last_seen FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def registry_scan(spark, sf_dir):
+    """A registry document for each nation, written and scanned."""
+    to = working_dir(spark, "registry")
+    rows = registered(spark, sf_dir).withColumn("nation", F.element_at(F.split("last_known_path", "/"), 3))
+    entry = F.struct(F.col("project_id").cast("string").alias("key"), F.struct("name", "last_known_path", F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_seen")).alias("value"))
+    docs = rows.groupBy("nation").agg(F.map_from_entries(F.collect_list(entry)).alias("projects"))
+    docs.select(F.lit(1).alias("version"), "projects").write.option("maxRecordsPerFile", 1).json(to)
+    return documents.scan_registry(spark, to)
+
+
 @query()
 def english_search(spark, sf_dir):
     """Stemmed search over the documents."""
@@ -336,13 +412,6 @@ def thread_overview(spark, sf_dir):
     return out.select("project_id", "architecture", listed.alias("recent_sessions"), F.array_join("recent_decisions", ",").alias("recent_decisions"), "total_facts", "total_sessions")
 
 
-def project_path(key: str = "c_custkey", nation: str = "c_nationkey"):
-    return F.concat(F.lit("/home/"), F.col(nation).cast("string"), F.lit("/p"), F.col(key).cast("string"))
-
-
-PATH_SQL = "'/home/' || c_nationkey || '/p' || c_custkey"
-
-
 def registered(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), project_path().alias("last_known_path"), F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(c_custkey % 300 AS int))").alias("last_seen"))
 
@@ -413,6 +482,21 @@ def embedding_cache_lookup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.hex("key")).alias("key"), "hit", F.col("embedding")[0].cast("long").alias("cached"))
 
 
+@query("""WITH c AS (SELECT DISTINCT md5(text) AS key FROM documents WHERE lang = 'en' AND text IS NOT NULL)
+SELECT doc_id, key IS NOT NULL AS before, text IS NOT NULL AS after FROM documents LEFT JOIN c ON key = md5(text)""")
+def embedding_cache_fill(spark, sf_dir):
+    """Look up, compute what is missing, append, look up again."""
+    to, docs = working_dir(spark, "cache"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    none = spark.createDataFrame([], "key binary, embedding array<float>, pos long")
+    cache.append(cache.missing(docs.where("lang = 'en'"), none), to)
+    stored = cache.latest(spark.read.parquet(to))
+    # kept: two scans of one path in one plan would share the files listed first
+    before = kept(cache.looked_up(docs, stored).select("doc_id", F.col("hit").alias("before")))
+    cache.append(cache.missing(docs, stored), to)
+    after = cache.looked_up(docs, cache.latest(spark.read.parquet(to))).select("doc_id", F.col("hit").alias("after"))
+    return before.join(after, "doc_id")
+
+
 @query("SELECT s_suppkey, (1 + s_suppkey % 5) / (2.0::DOUBLE + s_suppkey % 5 + s_nationkey % 3) AS mean, s_suppkey % 5 = 0 AND s_nationkey % 3 = 0 AS uninformed FROM supplier")
 def belief_mean(spark, sf_dir):
     a, b = (1 + F.col("s_suppkey") % 5).cast("float"), (1 + F.col("s_nationkey") % 3).cast("float")

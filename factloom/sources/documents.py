@@ -54,8 +54,32 @@ def read_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, D
     return tuple(spark.read.parquet(f"{root}/{name}") for name in ("projects", "facts", "sessions"))
 
 
+class SearchLog:
+    """Searches that await feedback: a line of JSON each, so that they outlive the process."""
+
+    def __init__(self, path: Path):
+        self.path = path
+
+    def append(self, record: dict) -> None:
+        with self.path.open("a") as file:
+            file.write(json.dumps(record) + "\n")
+
+    def records(self) -> list[dict]:
+        return [json.loads(x) for x in self.path.read_text().splitlines() if x.strip()] if self.path.exists() else []
+
+    def remove(self, ids: set[str]) -> None:
+        """All other records stay; the file is replaced as a whole."""
+        rest = [r for r in self.records() if r["search_id"] not in ids]
+        new = self.path.with_suffix(".new")
+        new.write_text("".join(json.dumps(r) + "\n" for r in rest))
+        new.replace(self.path)
+
+
 class Store:
-    """Document storage on the driver's file system: a project's own folder, or a shared root by the path's key."""
+    """Document storage: a project's own folder, or a shared root by the path's key.
+
+    Documents are written by the driver and searched by all tasks: on a cluster, folders that all see (a shared mount).
+    """
 
     def __init__(self, root: str | Path):
         self.root = Path(root)
@@ -116,15 +140,10 @@ class Store:
             if known is None or known["last_known_path"] != path:
                 self.register(meta["project_id"], meta["project_name"], path)
 
-    def searchable(self) -> tuple[list[str], list[str]]:
-        """Paths of all known projects whose folder exists, and of the others."""
+    def searchable(self, stored: list[str]) -> tuple[list[str], list[str]]:
+        """Paths of the registry's projects and of stored documents whose folder exists, and of the others."""
         paths = [p["last_known_path"] for p in self.load_registry()["projects"].values()]
-        for file in sorted(self.root.glob("projects/*/thread.json")):
-            try:
-                paths.append(json.loads(file.read_text())["project_path"])
-            except (ValueError, KeyError, OSError):
-                continue  # a broken document is not listed
-        paths = list(dict.fromkeys(paths))
+        paths = list(dict.fromkeys(paths + sorted(stored)))
         return [p for p in paths if Path(p).is_dir()], [p for p in paths if not Path(p).is_dir()]
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.rerank import Reranker, decode
+from factloom.operators.rerank import Reranker, decode, encode
 
 STATE = "updates long, mu array<double>, sigma array<double>"
 
@@ -18,6 +18,14 @@ def read_weights(spark: SparkSession, path: str) -> Reranker:
     return decode(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
 
 
+def write_weights(spark: SparkSession, model: Reranker, path: str) -> None:
+    """The weights as one file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(encode(model)))
+    out.close()
+
+
 def append_state(spark: SparkSession, model: Reranker, path: str) -> None:
     """A version of the posterior, by its number of updates."""
     row = [(model.updates, model.mu.tolist(), model.sigma.ravel().tolist())]

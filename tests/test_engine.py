@@ -12,6 +12,7 @@ from factloom.operators.rerank import encode
 from factloom.server import Server
 from factloom.sources import documents
 from factloom.sources.documents import Store
+from factloom.sources.vectors import CachedEmbedder
 from tests.test_retrieval import fixture
 
 
@@ -69,7 +70,7 @@ def test_search(spark, tmp_path):
     assert engine.search_memory({"query": "x", "project_path": "/none"})["success"] is False
     engine.store.register("gone", "gone", "/no/such/dir")
     assert engine.search_memory({"query": "green", "limit": 0}) | {"results": []} == {"success": True, "query": "green", "searched_projects": 2, "results": [], "invalid_projects": ["/no/such/dir"]}
-    assert len(engine.searches) == 2
+    assert len(engine.searches.records()) == 2
 
 
 def test_feedback_on_save(spark, tmp_path):
@@ -77,12 +78,50 @@ def test_feedback_on_save(spark, tmp_path):
     engine = Engine(spark, tmp_path / "root", config.EngineConfig(bll_weights_path=str(tmp_path / "w")))
     save(engine, tmp_path, facts=["green paint", "blue paint"])
     engine.search_memory({"query": "paint", "project_path": str(tmp_path)})
-    engine.searches.append(("s", "/other", [0.0] * 64, ["x"]))
+    engine.searches.append({"search_id": "s", "project_path": "/other", "query_embedding": [0.0] * 64, "returned_fact_ids": ["x"]})
+    engine = Engine(spark, tmp_path / "root", engine.config)  # the log outlives the process
     save(engine, tmp_path, facts=["more"])
-    assert engine.model.updates == 2 and engine.posterior_path.exists() and [s[1] for s in engine.searches] == ["/other"]
+    engine.settle()
+    assert engine.model.updates == 2 and engine.posterior_path.exists() and [s["project_path"] for s in engine.searches.records()] == ["/other"]
     assert Engine(spark, tmp_path / "root", engine.config).model.updates == 2
 
 
+def test_failed_feedback_stays_in_the_log(spark, tmp_path, monkeypatch):
+    (tmp_path / "w").write_bytes(encode(fixture(2, 64)))
+    engine = Engine(spark, tmp_path / "root", config.EngineConfig(bll_weights_path=str(tmp_path / "w")))
+    engine.searches.append({"search_id": "s", "project_path": str(tmp_path), "query_embedding": [0.0] * 64, "returned_fact_ids": ["x"]})
+    monkeypatch.setattr(engine, "learn_from", lambda *a: 1 / 0)
+    assert save(engine, tmp_path, facts=["x"])["success"]
+    engine.settle()
+    assert len(engine.searches.records()) == 1
+
+
+def test_location_is_the_one_asked_for(engine, tmp_path):
+    save(engine, tmp_path, facts=["x"])
+    assert save(engine, tmp_path, use_local_storage=False)["storage_location"] == "global"
+    assert (tmp_path / config.FOLDER / "thread.json").exists()
+
+
+def test_cached_embedder(tmp_path):
+    asked = []
+
+    class Model:
+        dimension = 2
+
+        def embed(self, texts):
+            asked.extend(texts)
+            return [[float(len(t)), 1.0] for t in texts]
+
+    path = tmp_path / "c" / "cache.bin"
+    first = CachedEmbedder(Model(), path)
+    assert first.embed(["one", "three", "one"]) == [[3.0, 1.0], [5.0, 1.0], [3.0, 1.0]] and first.embed(["three"]) == [[5.0, 1.0]] and asked == ["one", "three"]
+    path.write_bytes(path.read_bytes() + b"partial")
+    again = CachedEmbedder(Model(), path)
+    assert again.embed(["one", "fourth"]) == [[3.0, 1.0], [6.0, 1.0]] and asked == ["one", "three", "fourth"] and path.stat().st_size == 3 * 24
+    (tmp_path / "dir").mkdir()
+    assert CachedEmbedder(Model(), tmp_path / "dir").embed(["x"]) == [[1.0, 1.0]]
+
+
 @pytest.mark.parametrize("given, expected", [(3, 3), (0, 0), (-1, 5), (2.5, 5), ("7", 5), (None, 5), (True, 5)])
 def test_limit(given, expected):
     assert limit_of({"limit": given}, 5) == expected

@@ -129,6 +129,7 @@ def test_beliefs(spark):
     a, b = F.col("a"), F.col("b")
     found = rows.select(belief.mean(a, b), belief.uninformed(a, b), belief.equals(a, b, F.lit(0.5))).collect()
     assert found[0] == (0.5, True, True) and not found[1][1]
+    assert [r[0] for r in rows.select(belief.compared(a, b, F.lit(0.5))).collect()] == [0, 1, 1, -1]
     draws = [r[0] for r in rows.where("a = 5").crossJoin(spark.range(100)).select(belief.sample(a, b, F.col("id"))).collect()]
     assert all(0 <= x <= 1 for x in draws) and len(set(draws)) > 90
 
