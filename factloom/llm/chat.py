@@ -9,7 +9,7 @@ and no text can forge a turn.
 Edge cases: null text and null role count as empty; other roles are written with their name in control strings of their own and
 never carry loss; a turn that the machine does not allow leaves its state as it is and makes the conversation invalid (`valid`
 false, `first_error` its index), yet it is still written; a null conv_id is a conversation of its own; repeated rows are
-repeated turns; an empty table gives an empty result; other columns are not read.  A conversation is one row of output, so its
+repeated turns; texts of any length are written whole; turns that tie in all of turn, role and text are equal, so their order does not matter; an empty table gives an empty result; other columns are not read.  A conversation is one row of output, so its
 turns meet in one task, as its digests need.
 """
 

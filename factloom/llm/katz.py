@@ -50,7 +50,7 @@ LEAST = (1, 1, 2)
 K = 5
 DELTA = 0.5
 #: Tokens of a chunk, and one document more; tokens of a partition; partitions at least.
-CHUNK = 2_500_000
+CHUNK = 2_000_000
 PART = 2_500_000
 LEAST_PARTS = 8
 #: Bytes of input for a bucket of chunks.
@@ -197,9 +197,9 @@ class Chunk:
         x = unblock(blob)
         self.parts, self.own = parts, x
         self.words = sums(x["words"])  # place i + 1; place 0 is the start mark
-        self.w, self.n, self.size = x["w"].astype(np.int64), x["n"], len(x["words"]) + 1
+        self.w, self.n, self.size = x.pop("w").astype(np.int32), x["n"], len(x["words"]) + 1
         self.first = np.cumsum(self.n) - self.n
-        self.pos = np.arange(len(self.w)) - np.repeat(self.first, self.n)
+        self.pos = (np.arange(len(self.w)) - np.repeat(self.first, self.n)).astype(np.int32)
         self.learn = np.repeat(x["held"] == 0, self.n)
         every = np.arange(self.size)
         self.code, self.pre, self.last, self.suf = [None, self.w], [None, None], [None, every], [None, None]
@@ -222,21 +222,25 @@ class Chunk:
 
     def extend(self, m: int) -> None:
         """The distinct m-grams."""
-        before = np.concatenate(([0], self.code[m - 1][:-1]))
-        some = self.pos >= m - 2
+        pair = np.zeros(len(self.w), dtype=np.int64)
+        pair[1:] = self.code[m - 1][:-1]
         if m == 2:
-            before[self.first] = 0
-        pair, at = np.unique(before[some] * self.size + self.w[some], return_inverse=True)
-        code = np.full(len(self.w), -1, dtype=np.int64)
+            pair[self.first] = 0
+        pair *= self.size
+        pair += self.w
+        some = self.pos >= m - 2
+        pair, at = np.unique(pair[some], return_inverse=True)
+        at = at.astype(np.int32)
+        code = np.full(len(self.w), -1, dtype=np.int32)
         code[some] = at
-        suf = np.empty(len(pair), dtype=np.int64)
+        suf = np.empty(len(pair), dtype=np.int32)
         suf[at] = self.code[m - 1][some]
         pre, last = np.divmod(pair, self.size)
         self.code.append(code)
-        self.pre.append(pre)
-        self.last.append(last)
+        self.pre.append(pre.astype(np.int32))
+        self.last.append(last.astype(np.int32))
         self.suf.append(suf)
-        self.times.append(np.bincount(at[self.learn[some]], minlength=len(pair)))
+        self.times.append(np.bincount(at[self.learn[some]], minlength=len(pair)).astype(np.int32))
 
     def spelt(self, m: int, grams: np.ndarray) -> list[np.ndarray]:
         """Numbers of the words of m-grams."""
