@@ -41,7 +41,7 @@ def strings(value: object) -> list[str]:
 def required(args: dict, name: str) -> str:
     value = args.get(name)
     if not isinstance(value, str):
-        raise ToolError(f"{name} is required")
+        raise ToolError(f"the argument {name!r} has to be a string")
     return value
 
 
@@ -165,7 +165,7 @@ class Engine:
         with self.lock:
             file = self.store.thread_file(path)
             if file is None:
-                return {"success": False, "message": f"No saved thread found for project: {path}"}
+                return {"success": False, "message": f"nothing is saved for {path}"}
             _, facts, sessions = documents.normalised(documents.scan(self.spark, [str(file)]))
             rows = search.results(self.hits(facts, text, vector, limit), facts, sessions).orderBy("rank").drop("rank", "project_id").toJSON().collect()
             found = [_filled(documents.json.loads(r), ("session_summary",)) for r in rows]

@@ -10,6 +10,7 @@ from typing import TextIO
 
 log = logging.getLogger(__name__)
 
+# Fixed values of the protocol: its version, error codes and method names, and below the tools' names and arguments.
 PROTOCOL = "2024-11-05"
 PARSE, METHOD, PARAMS, INTERNAL = -32700, -32601, -32602, -32603
 
@@ -74,17 +75,17 @@ class Server:
                 return self.call(ident, params)
             if method in self.methods:
                 return _success(ident, self.methods[method](params if isinstance(params, dict) else {}))
-            return _success(None, {}) if ident is None else _error(ident, METHOD, f"Method not found: {method}")
+            return _success(None, {}) if ident is None else _error(ident, METHOD, f"{method!r} is not a method of this server")
         except Exception as error:
             log.exception("request failed")
-            return _error(ident, INTERNAL, f"Internal error: {error}")
+            return _error(ident, INTERNAL, f"the request failed: {error}")
 
     def call(self, ident: object, params: object) -> dict:
         if not isinstance(params, dict):
-            return _error(ident, PARAMS, "Missing params")
+            return _error(ident, PARAMS, "a call needs params, as an object")
         name = params.get("name") if isinstance(params.get("name"), str) else ""
         if name not in self.tools:
-            return _error(ident, PARAMS, f"Tool not found: {name}")
+            return _error(ident, PARAMS, f"{name!r} is not a tool of this server")
         arguments = params.get("arguments")
         try:
             return _success(ident, _content(self.tools[name](arguments if isinstance(arguments, dict) else {})))
@@ -101,7 +102,7 @@ class Server:
             if not isinstance(request, dict) or not isinstance(request.get("method"), str):
                 raise ValueError("not a request")
         except ValueError as error:
-            return json.dumps(_error(None, PARSE, f"Parse error: {error}"))
+            return json.dumps(_error(None, PARSE, f"the line is no request: {error}"))
         response = self.handle(request)
         return json.dumps(response, ensure_ascii=False, default=str) if request.get("id") is not None or "error" in response else None
 

@@ -173,7 +173,7 @@ def test_server(engine, tmp_path):
     assert call(server, id=6, method="tools/call")["error"]["code"] == -32602 and call(server, id=6, method="tools/call", params={"name": "x"})["error"]["code"] == -32602
     assert call(server, method="tools/call")["error"]["code"] == -32602  # errors are sent for notifications too
     failed = call(server, id=7, method="tools/call", params={"name": "search_memory", "arguments": {}})["result"]
-    assert failed["isError"] and "query is required" in failed["content"][0]["text"]
+    assert failed["isError"] and "'query' has to be" in failed["content"][0]["text"]
     done = call(server, id=8, method="tools/call", params={"name": "load_thread", "arguments": {"project_path": "/no"}})["result"]
     assert json.loads(done["content"][0]["text"]) == {"success": False, "project_path": "/no"} and "isError" not in done
     assert json.loads(server.respond("{"))["error"]["code"] == -32700 and server.respond("  ") is None
