@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(link(classes, radius)).select(F.col("node.fp").alias("_fp"), F.col("label.least").alias("_first"), F.lit(True).alias("_linked"))
     named = classes.join(groups, classes.fp == groups._fp, "left").select("fp", F.when(F.col("_linked"), F.col("_first")).otherwise(F.col("least")).alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    # many documents may share a fingerprint: few classes are broadcast, beyond that Spark splits the documents of a skewed one
+    return marks.join(small(cut(named)), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
