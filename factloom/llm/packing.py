@@ -4,8 +4,8 @@ A piece of length l belongs to reciprocal class k = capacity // l: k pieces of t
 so that each of its pieces wastes little in its class; `pack` then fills the bins of each class with exactly k pieces, on each
 of many workers independently.  Class 1, a piece a bin, needs no worker.  What does not fill a bin on a worker (under k pieces a class) is
 filled again by groups of FAN workers, what is left there by groups of FAN groups, and so on, so that no task sees more than FAN
-times k pieces of a class; the under k pieces a class that are left of the one last group (some ten thousand rows at most,
-whatever the input) go first-fit into common bins.
+times k pieces of a class.  The under k pieces a class that are left of the one last group stay together, as they fit one bin, and
+these bundles, one a class, go first-fit into common bins.
 
 Edge cases: null text counts as empty and still has its end id; documents of any length work (a piece never exceeds the
 capacity); repeated rows are packed each; pieces that tie in length are taken in the order they were read; an empty table gives an
@@ -141,20 +141,23 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rest = rest.withColumn("_group", F.floor(F.col("_group") / FAN))
 
     def first_fit(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("_length", "descending"), ("_key", "ascending")])
+        rows = rows.sort_by([("_size", "descending"), ("_class", "ascending")])
         room: list[int] = []
-        bins, offsets = [], []
-        for n in rows.column("_length").to_pylist():
+        bins, bases = [], []
+        for n in rows.column("_size").to_pylist():
             at = next((i for i, x in enumerate(room) if x >= n), len(room))
             if at == len(room):
                 room.append(capacity)
             bins.append((LAST << LEVEL) + at)
-            offsets.append(capacity - room[at])
+            bases.append(capacity - room[at])
             room[at] -= n
-        return pa.table({"_row": rows.column("_row"), "sequence_id": pa.array(bins, pa.int64()), "offset": pa.array(offsets, pa.int64())})
+        return pa.table({"_of": rows.column("_class"), "sequence_id": pa.array(bins, pa.int64()), "_base": pa.array(bases, pa.int64())})
 
-    last = rest.select("_row", "_length", "_key", F.lit(0).alias("_all"))
-    out.append(last.groupBy("_all").applyInArrow(first_fit, out[0].schema))
+    # a row a class, of which there are no more than the capacity
+    bundles = rest.groupBy("_class").agg(F.sum("_length").alias("_size")).withColumn("_all", F.lit(0))
+    bundles = bundles.groupBy("_all").applyInArrow(lambda rows: first_fit(rows), "_of long, sequence_id long, _base long")
+    last = rest.withColumn("_bin", F.lit(0)).withColumn("_before", before).join(F.broadcast(bundles), F.col("_class") == F.col("_of"))
+    out.append(last.select("_row", "sequence_id", (F.col("_base") + F.col("_before")).alias("offset")))
     packed = out[0]
     for part in out[1:]:
         packed = packed.union(part)
