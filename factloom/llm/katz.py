@@ -3,22 +3,19 @@
 Tokens are the ASCII-lower-cased words of a text and one end token.  The history of a token are the words before it, up to ORDER - 1 and
 no further than to a start mark before the text's first word.  With c for training counts and h' for h without its first word:
 
-    p(w | h) = D(c(h w)) / c(h)               if c(h w) reaches LEAST for its order
-               alpha(h) * p(w | h')           otherwise; alpha = 1 where no n-gram of h reaches it
+    p(w | h) = D(c(h w)) / c(h)               if c(h w) > 0
+               alpha(h) * p(w | h')           otherwise; alpha = 1 where h never occurred
     p(w)     = D(c(w)) / N                    if c(w) > 0,   p0 = what that leaves of 1, for all unknown words together
 
 D is the Good-Turing discounted count up to K (by the counts of counts of all training n-grams of the order), and c - DELTA above K, so
-that every history leaves some mass; alpha(h) makes the sum over the vocabulary and the unknown word exactly one.  LEAST is
-part of the model, not of its size: trigrams are kept from two occurrences on, as is usual; all are counted, and each history's mass for
-those that occur once goes to its words by the bigrams.
+that every history leaves some mass; alpha(h) makes the sum over the vocabulary and the unknown word exactly one.
 
 The model is built order by order, and each order is stored before the next one: for every partition of histories its n-grams with
 their counts (`counts` reads them as rows).  Texts are read once, into chunks of about CHUNK tokens, stored in buckets by chunk.  For
 each order a chunk asks the partitions about its distinct n-grams, with their training counts in the chunk; a partition adds
 up, stores its part of the table and answers each chunk from it with the counts, and, for histories that need one, with what makes
-the backoff weight.  So what travels is bounded by the chunks' distinct n-grams, and by the rule that an n-gram can
-reach its LEAST only if its parts do: others aren't asked about.  Words get numbers with the first order, which is what later orders
-send.  Discounts need counts of counts over all partitions, a dozen sums an order.  At last the chunks evaluate their tokens: from the
+the backoff weight.  So what travels is bounded by the chunks' distinct n-grams, less those of which a part never
+occurred.  Words get numbers with the first order, which is what later orders send.  Discounts need counts of counts over all partitions, a dozen sums an order.  At last the chunks evaluate their tokens: from the
 longest history, recursively through the shorter ones.
 
 Partitions follow the number of tokens (PART tokens each).  A history with a large share of all tokens is dealt by its words to
@@ -45,8 +42,6 @@ from pyspark.sql import functions as F
 from factloom.sources.shared import working_dir
 
 ORDER = 3
-#: Least training count of an n-gram in the model, by order; the last holds for all higher ones.
-LEAST = (1, 1, 2)
 K = 5
 DELTA = 0.5
 #: Tokens of a chunk, and one document more; tokens of a partition; partitions at least.
@@ -63,10 +58,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def least(order: int) -> int:
-    return LEAST[min(order, len(LEAST)) - 1]
-
-
 # Blocks
 
 
@@ -78,17 +69,18 @@ def _planes(x: np.ndarray) -> tuple:
     return x.dtype.str, np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
 
 
+def _flat(kind: str, data: bytes) -> np.ndarray:
+    kind = np.dtype(kind)
+    x = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return x.astype(np.int64) if kind.kind in "iu" else x  # of hashes the same bits
+
+
 def block(**columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps({k: _planes(v) for k, v in columns.items()}, protocol=5))
 
 
 def unblock(blob: bytes | memoryview) -> dict[str, np.ndarray]:
-    out = {}
-    for name, (kind, data) in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)).items():
-        kind = np.dtype(kind)
-        x = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
-        out[name] = x.astype(np.int64) if kind.kind in "iu" else x  # of hashes the same bits
-    return out
+    return {k: _flat(*v) for k, v in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)).items()}
 
 
 def deltas(ascending: np.ndarray) -> np.ndarray:
@@ -111,34 +103,30 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 # Figures of a whole order
 
 
-def discounts(n: np.ndarray, low: int = 1) -> np.ndarray:
-    """Discounted counts D(1) to D(K), from the numbers of types that occur once to K+1 times; those below `low` are not in the model."""
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Discounted counts D(1) to D(K), from the numbers of types that occur once to K+1 times: what they free is the mass of types that occur once."""
     n = n.astype(float)
     r = np.arange(1, K + 1)
     plain = r - DELTA  # where the counts of counts are too few for Good-Turing
-    if n[low - 1 : K + 1].min() <= 0:
+    if n[: K + 1].min() <= 0:
         return plain
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = (r + 1) * n[1:] / (r * n[:K])
-        if low == 1:  # Katz's form: what the discounts free is the mass of types that occur once
-            most = (K + 1) * n[K] / n[0]
-            ratio = (ratio - most) / (1 - most) if most != 1 else np.full(K, -1.0)
+    most = (K + 1) * n[K] / n[0]
+    ratio = ((r + 1) * n[1:] / (r * n[:K]) - most) / (1 - most) if most != 1 else np.full(K, -1.0)
     return np.where((ratio > 0) & (ratio < 1), ratio * r, plain)
 
 
 class Totals:
     """Global figures of one order, from the partitions' counts of counts (1 to K+1, then above) and sum of counts."""
 
-    def __init__(self, order: int, x: np.ndarray):
-        self.order = order
-        self.low = discounts(x[: K + 1], least(order))
+    def __init__(self, x: np.ndarray):
+        self.low = discounts(x[: K + 1])
         self.v, self.n = int(x[: K + 2].sum()), int(x[K + 2])
         left = ((np.arange(1, K + 1) - self.low) * x[:K]).sum() + DELTA * x[K : K + 2].sum()
         self.p0 = left / self.n if self.n else 1.0
 
     def cut(self, c: np.ndarray) -> np.ndarray:
         """The discounted count; 0 for n-grams that the model does not have."""
-        return np.where(c < least(self.order), 0.0, np.where(c > K, c - DELTA, self.low[np.clip(c, 1, K) - 1]))
+        return np.where(c < 1, 0.0, np.where(c > K, c - DELTA, self.low[np.clip(c, 1, K) - 1]))
 
 
 def _figures(c: np.ndarray) -> np.ndarray:
@@ -148,20 +136,28 @@ def _figures(c: np.ndarray) -> np.ndarray:
 # Chunks
 
 
+def places(many: np.ndarray) -> np.ndarray:
+    """Places of words in a chunk, from their numbers of tokens: small numbers for frequent words; place 0 is the start mark."""
+    out = np.empty(len(many), dtype=np.int64)
+    out[np.argsort(-many, kind="stable")] = 1 + np.arange(len(many))
+    return out
+
+
 def cut_up(size: int = CHUNK):
     """Documents (key, id, held out, text) -> chunks (chunk, tokens, blob): their words, and tokens as places in these."""
 
     def emit(words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple]) -> pa.RecordBatch:
         hashes = np.array([START, END, *(xxhash.xxh64_intdigest(w) for w in list(words)[2:])], dtype=np.uint64)
-        order = np.concatenate(([0], 1 + np.argsort(hashes[1:])))  # the start mark first, then by hash
-        rank = np.empty(len(hashes), dtype=np.int32)
-        rank[order] = np.arange(len(hashes))
         lengths = np.array([len(x) + 1 for x in ids])
         ends = np.cumsum(lengths) - 1
         w = np.ones(ends[-1] + 1, dtype=np.int32)
         w[np.delete(np.arange(len(w)), ends)] = np.concatenate(ids)
         keys, own, known, held = (np.array(x) for x in zip(*docs, strict=True))
-        blob = block(words=deltas(hashes[order][1:]), w=rank[w], n=lengths, id=own, known=known.astype(np.uint8), held=held.astype(np.uint8))
+        by_hash = 1 + np.argsort(hashes[1:])
+        many = np.bincount(w, minlength=len(hashes))[by_hash]
+        rank = np.zeros(len(hashes), dtype=np.int32)
+        rank[by_hash] = places(many)
+        blob = block(words=deltas(hashes[by_hash]), many=many, w=rank[w], n=lengths, id=own, known=known.astype(np.uint8), held=held.astype(np.uint8))
         return pa.RecordBatch.from_arrays([pa.array(keys[:1]), pa.array([len(w)], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "tokens", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +192,7 @@ class Chunk:
     def __init__(self, blob: bytes, parts: int):
         x = unblock(blob)
         self.parts, self.own = parts, x
-        self.words = sums(x["words"])  # place i + 1; place 0 is the start mark
+        self.words, self.place = sums(x["words"]), places(x["many"])  # in order of hashes
         self.w, self.n, self.size = x.pop("w").astype(np.int32), x["n"], len(x["words"]) + 1
         self.first = np.cumsum(self.n) - self.n
         self.pos = (np.arange(len(self.w)) - np.repeat(self.first, self.n)).astype(np.int32)
@@ -206,18 +202,18 @@ class Chunk:
         self.times, self.c, self.alpha = [None, np.bincount(self.w[self.learn], minlength=self.size)], [None], [None, None]
 
     def ask_words(self) -> list[tuple[int, np.ndarray]]:
-        """Words of each partition, by place."""
+        """Words of each partition, as indices of `words`."""
         dest = part_of(self.words, self.parts)
-        order = np.argsort(dest, kind="stable")
-        return [(p, 1 + some) for p, some in _split(dest, order)]
+        return list(_split(dest, np.argsort(dest, kind="stable")))
 
     def receive_words(self, answers: dict[int, dict]) -> None:
         self.ids, c = np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64)
         for p, some in self.ask_words():
-            x = answers[p]
+            x, some = answers[p], self.place[some]
             c[some] = x["c"]
-            self.ids[some] = np.where(x["c"] > 0, x["id"].astype(np.int64) * self.parts + p + 1, 0)
-        c[0] = c[np.searchsorted(self.words, END) + 1]  # as often as texts begin, they end
+            known = np.argsort(-x["c"], kind="stable")[: len(x["id"])]
+            self.ids[some[known]] = sums(x["id"]).astype(np.int64) * self.parts + p + 1
+        c[0] = c[self.place[np.searchsorted(self.words, END)]]  # as often as texts begin, they end
         self.c.append(c)
 
     def extend(self, m: int) -> None:
@@ -248,32 +244,40 @@ class Chunk:
 
     def ask(self, m: int, total: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each partition: histories (m-1-grams, in order of their words), how many m-grams of each, whether its weight is needed, and the m-grams."""
-        good = self.c[m - 1] >= least(m)
+        good = self.c[m - 1] > 0
         known = good[self.pre[m]]
         asked = np.nonzero(known & good[self.suf[m]])[0]
-        hist = np.unique(self.pre[m][known])
+        hist = self.pre[m][known]  # ascending
+        hist = hist[np.diff(hist, prepend=-1) != 0]
         if not len(hist):
             return []
         spelt = self.spelt(m - 1, hist)
-        order = np.lexsort(spelt[::-1])
+        order = _sorted(*spelt)
         hist, spelt = hist[order], [x[order] for x in spelt]
         place = np.zeros(len(good), dtype=np.int64)
         place[hist] = np.arange(len(hist))
         need = np.zeros(len(hist), dtype=bool)
-        need[place[np.delete(self.pre[m], asked)[np.delete(known, asked)]]] = True
+        known[asked] = False
+        need[place[self.pre[m][known]]] = True
         key = np.zeros(len(hist), dtype=np.uint64)
         for x in spelt:
             key = mixed(key + x.astype(np.uint64) + np.uint64(1))
         home = part_of(key, self.parts)
         width = np.minimum(self.parts, 1 + self.c[m - 1][hist] * 2 * self.parts // max(1, total))
         # a history's home, and for wide ones the partitions after it
+        start = np.cumsum(width) - width
         copies = np.repeat(np.arange(len(hist)), width)
-        shift = np.arange(len(copies)) - np.repeat(np.cumsum(width) - width, width)
-        entry = np.sort((home[copies] + shift) % self.parts * len(hist) + copies)
+        entry = (home[copies] + np.arange(len(copies)) - start[copies]) % self.parts * len(hist) + copies
+        by = np.argsort(entry)
+        slot = np.empty(len(entry), dtype=np.int64)
+        slot[by] = np.arange(len(entry))
+        entry = entry[by]
         own, word = place[self.pre[m][asked]], self.ids[self.last[m][asked]]
-        dealt = (part_of(word, 1 << 30) % width[own] + home[own]) % self.parts
-        at = np.searchsorted(entry, dealt * len(hist) + own)
-        order = np.lexsort((word, at))
+        at = start[own]
+        wide = width[own] > 1
+        at[wide] += part_of(word[wide], 1 << 30) % width[own[wide]]
+        at = slot[at]
+        order = _sorted(at, word)
         asked, at = asked[order], at[order]
         many = np.bincount(at, minlength=len(entry))
         dest, rows = np.divmod(entry, len(hist))
@@ -290,9 +294,9 @@ class Chunk:
             x = answers[p]
             c[grams] = x["c"]
             if len(x["at"]):
-                at = hist[np.cumsum(x["at"].astype(np.int64))]
-                np.add.at(kept, at, sum(x[f"n{r}"] * totals[m].low[r - 1] for r in range(least(m), K + 1)) + x["mass"] - DELTA * x["many"])
-                np.add.at(used, at, x["used"])
+                at = hist[np.cumsum(x["at"])]  # a history is told of once by a partition
+                kept[at] += (sum(x[f"n{r}"] * totals[m].low[r - 1] for r in range(1, K + 1)) + x["mass"] - DELTA * x["many"])[x["row"]]
+                used[at] += x["used"][x["row"]]
         self.c.append(c)
         own = self.c[m - 1]
         below = totals[1].n if m == 2 else self.c[m - 2][self.suf[m - 1]]
@@ -307,7 +311,7 @@ class Chunk:
         token = np.zeros(len(self.w))
         for m in range(2, order + 1):
             c, own = self.c[m], self.c[m - 1][self.pre[m]]
-            seen = c >= least(m)
+            seen = c > 0
             here = self.alpha[m][self.pre[m]] + log[self.suf[m]]
             here[seen] = np.log10(totals[m].cut(c[seen])) - np.log10(own[seen])
             log, some = here, self.code[m] >= 0
@@ -321,6 +325,14 @@ class Chunk:
         return pa.table({"doc_id": ids, "held_out": pa.array(self.own["held"] > 0), "n_tokens": self.n, "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(len(self.n), first.n), "base_score": base, "score": add(token)})
 
 
+def _sorted(*keys: np.ndarray) -> np.ndarray:
+    """The order by the keys, the first one foremost, all below 2^32; rows differ."""
+    if len(keys) > 2:
+        return np.lexsort(keys[::-1])
+    key = keys[0].astype(np.uint64)
+    return np.argsort(key << np.uint64(32) | keys[1].astype(np.uint64) if len(keys) == 2 else key)
+
+
 def _split(dest: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows by destination; `order` sorts by it."""
     if len(order):
@@ -356,7 +368,7 @@ def asking(order: int, parts: int, totals: list[Totals]):
         own, rows = _restored(left, right, parts, totals, order), []
         chunk = left.column("chunk")[0].as_py()
         if order == 1:
-            rows = [(p, chunk, block(words=deltas(own.words[some - 1]), times=own.times[1][some])) for p, some in own.ask_words()]
+            rows = [(p, chunk, block(words=deltas(own.words[some]), times=own.times[1][own.place[some]])) for p, some in own.ask_words()]
         else:
             for p, hist, many, need, grams in own.ask(order, totals[1].n):
                 spelt = own.spelt(order - 1, hist)
@@ -384,15 +396,20 @@ def _asked(table: pa.Table) -> tuple[int, list[int], list[dict]]:
 
 
 def count_words(table: pa.Table) -> pa.Table:
-    """Partition of words: counts, numbers for those that occur in training, and answers."""
+    """Partition of words: counts, numbers for those that occur in training (small ones for frequent words, which compress), and answers."""
     part, chunks, asked = _asked(table)
     words = [sums(x["words"]) for x in asked]
     every = np.unique(np.concatenate(words))
     at = [np.searchsorted(every, x) for x in words]
     c = np.bincount(np.concatenate(at), weights=np.concatenate([x["times"] for x in asked]), minlength=len(every)).astype(np.int64)
-    ident = np.cumsum(c > 0) - 1
-    stored = block(word=deltas(every[c > 0]), c=c[c > 0])
-    return _said(part, _figures(c[c > 0]), stored, [(chunk, block(c=c[a], id=np.maximum(ident[a], 0))) for chunk, a in zip(chunks, at, strict=True)])
+    ident = np.empty(len(every), dtype=np.int64)
+    ident[np.argsort(-c, kind="stable")] = np.arange(len(every))
+    stored = block(word=deltas(every[c > 0]), c=c[c > 0], id=ident[c > 0])
+    answers = []
+    for chunk, a in zip(chunks, at, strict=True):
+        known = a[np.argsort(-c[a], kind="stable")[: np.count_nonzero(c[a])]]  # numbers ascend in this order
+        answers.append((chunk, block(c=c[a], id=deltas(ident[known]))))
+    return _said(part, _figures(c[c > 0]), stored, answers)
 
 
 def _history(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -420,25 +437,36 @@ def counting(order: int, below: Totals):
         starts = np.cumsum([0, *(len(x["h0"]) for x in asked)])
         hist = np.concatenate([np.repeat(at[a:b], x["many"]) for x, a, b in zip(asked, starts, starts[1:], strict=False)])
         w, times, low = (np.concatenate([x[name] for x in asked]).astype(np.int64) for name in ("w", "times", "below"))
-        pair, first, back = np.unique(hist.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_index=True, return_inverse=True)
+        pair, back = np.unique(hist.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_inverse=True)
+        under = np.empty(len(pair), dtype=np.int64)
+        under[back] = low  # the same from all chunks
         c = np.bincount(back, weights=times, minlength=len(pair)).astype(np.int64)
-        kept = np.nonzero(c >= least(order))[0]
+        kept = np.nonzero(c)[0]
         own, size = (pair[kept] >> np.uint64(32)).astype(np.int64), len(spelt[0])
-        stats = {f"n{r}": np.bincount(own[c[kept] == r], minlength=size) for r in range(least(order), K + 1)}
+        stats = {f"n{r}": np.bincount(own[c[kept] == r], minlength=size) for r in range(1, K + 1)}
         large = c[kept] > K
-        stats |= {"many": np.bincount(own[large], minlength=size), "mass": np.bincount(own[large], weights=c[kept][large], minlength=size).astype(np.int64), "used": np.bincount(own, weights=below.cut(low[first[kept]]), minlength=size)}
+        stats |= {"many": np.bincount(own[large], minlength=size), "mass": np.bincount(own[large], weights=c[kept][large], minlength=size).astype(np.int64), "used": np.bincount(own, weights=below.cut(under[kept]), minlength=size)}
+        # histories are alike in few ways: `way` numbers these, small numbers for frequent ones
+        mark = np.zeros(size, dtype=np.uint64)
+        for x in stats.values():
+            mark = mixed(mark + np.ascontiguousarray(x).view(np.uint64))
+        _, way, often = np.unique(mark, return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), dtype=np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        way, sample = rank[way], np.empty(len(often), dtype=np.int64)
+        sample[way] = np.arange(size)
         some = np.unique(own)
         stored = block(**{f"h{i}": x[some] for i, x in enumerate(spelt)}, many=np.bincount(own, minlength=size)[some], w=(pair[kept] & np.uint64(0xFFFFFFFF)).astype(np.int64), c=c[kept])
         here, grams = np.bincount(own, minlength=size) > 0, np.cumsum([0, *(len(x["w"]) for x in asked)])
         answers = []
         for i, (chunk, x) in enumerate(zip(chunks, asked, strict=True)):
             count = c[back[grams[i] : grams[i + 1]]]
-            count = np.where(count >= least(order), count, 0)
             mine = at[starts[i] : starts[i + 1]]
             missed = np.bincount(np.repeat(np.arange(len(mine)), x["many"])[count == 0], minlength=len(mine)) > 0
             tell = np.nonzero(here[mine] & (missed | (x["need"] > 0)))[0]
-            answers.append((chunk, block(c=count, at=np.diff(tell, prepend=0), **{k: v[mine[tell]] for k, v in stats.items()})))
-        return _said(part, _figures(c[c >= least(order)]), stored, answers)
+            ways, row = np.unique(way[mine[tell]], return_inverse=True)
+            answers.append((chunk, block(c=count, at=np.diff(tell, prepend=0), row=row, **{k: v[sample[ways]] for k, v in stats.items()})))
+        return _said(part, _figures(c[c > 0]), stored, answers)
 
     return run
 
@@ -472,7 +500,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         x = np.zeros(K + 3, dtype=np.int64)
         for r in figures:
             x[r.pos] = r.x
-        totals.append(Totals(m, x))
+        totals.append(Totals(x))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

@@ -566,14 +566,13 @@ def katz_brute(texts, held, order):
                 for m in range(1, min(order, i + 1) + 1):
                     c[m][tuple(x[i - m + 1 : i + 1])] += 1
     n, v = sum(c[1].values()), len(c[1])
-    low = [None, *(katz.discounts(np.array([sum(k == r for k in c[m].values()) for r in range(1, katz.K + 2)]), katz.least(m)) for m in range(1, order + 1))]
+    low = [None, *(katz.discounts(np.array([sum(k == r for k in c[m].values()) for r in range(1, katz.K + 2)])) for m in range(1, order + 1))]
     cut = lambda m, k: k - katz.DELTA if k > katz.K else low[m][k - 1]
     p0 = 1 - sum(cut(1, k) for k in c[1].values()) / n if n else 1.0
     after = collections.defaultdict(list)
     for m in range(2, order + 1):
         for g, k in c[m].items():
-            if k >= katz.least(m):
-                after[g[:-1]].append(g[-1])
+            after[g[:-1]].append(g[-1])
     own = collections.Counter()
     for m in range(2, order + 1):
         for g, k in c[m].items():
@@ -583,7 +582,7 @@ def katz_brute(texts, held, order):
         if not h:
             return cut(1, c[1][(w,)]) / n if c[1][(w,)] else p0
         m = len(h) + 1
-        if c[m][(*h, w)] >= katz.least(m):
+        if c[m][(*h, w)]:
             return cut(m, c[m][(*h, w)]) / own[h]
         if not after[h]:
             return p(h[1:], w)
@@ -619,7 +618,7 @@ def katz_check(found, texts, order):
     return c
 
 
-@pytest.mark.parametrize(("order", "parts", "chunk"), [(1, 5, 200), (2, 1, 4_000_000), (2, 64, 200), (3, 5, 200), (3, 64, 4_000_000), (3, 64, 1), (4, 5, 700)])
+@pytest.mark.parametrize(("order", "parts", "chunk"), [(1, 5, 200), (2, 64, 200), (3, 1, 200), (3, 64, 4_000_000), (3, 64, 1), (4, 5, 700)])
 def test_katz(spark, monkeypatch, tmp_path, order, parts, chunk):
     monkeypatch.setattr(katz, "LEAST_PARTS", parts)
     texts = katz_texts()
@@ -631,7 +630,7 @@ def test_katz(spark, monkeypatch, tmp_path, order, parts, chunk):
         assert len(r.words) == r.order
         stored[r.order].append((tuple(r.words), r.c))
     for m in range(1, order + 1):
-        assert sorted(k for _, k in stored[m]) == sorted(k for k in c[m].values() if k >= katz.least(m))
+        assert sorted(k for _, k in stored[m]) == sorted(k for k in c[m].values() if k)
         assert len({g for g, _ in stored[m]}) == len(stored[m])
     assert {g: k for (g,), k in stored[1]} == {int(np.uint64(xxhash.xxh64_intdigest(w or b"")).view(np.int64)): k for (w,), k in c[1].items()}
 
