@@ -45,7 +45,7 @@ ORDER = 3
 K = 5
 DELTA = 0.5
 #: Tokens of a chunk, and one document more; tokens of a partition; partitions at least.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 PART = 2_500_000
 LEAST_PARTS = 8
 #: Bytes of input for a bucket of chunks.
@@ -76,7 +76,7 @@ def _flat(kind: str, data: bytes) -> np.ndarray:
 
 
 def block(**columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps({k: _planes(v) for k, v in columns.items()}, protocol=5))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps({k: _planes(v) for k, v in columns.items()}, protocol=5))
 
 
 def unblock(blob: bytes | memoryview) -> dict[str, np.ndarray]:
